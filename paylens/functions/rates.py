@@ -18,17 +18,22 @@ def whole_div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def pct(part: Column, whole: Column) -> Column:
-    """100 * part / whole with two decimals, halves away from zero; 0 rows give NULL.
+def ratio(part: Column, whole: Column, digits: int) -> Column:
+    """part / whole rounded to ``digits``, halves away from zero; NULL if whole is 0.
 
-    Done in integers, so the last digit does not depend on floating point.
+    Done in whole numbers, so the last digit does not depend on floating point.
     """
-    size = F.abs(part)
+    scale = 10**digits
     doubled = F.nullif(whole * 2, F.lit(0))
-    rounded = whole_div(size * 20000 + whole, doubled) / F.lit(100.0)
+    rounded = whole_div(F.abs(part) * (2 * scale) + whole, doubled) / F.lit(float(scale))
     return F.when(part < 0, -rounded).otherwise(rounded)
 
 
+def pct(part: Column, whole: Column) -> Column:
+    """100 * part / whole with two decimals."""
+    return ratio(part * 100, whole, 2)
+
+
 def split_sum(value: Column, name: str, digits: int) -> dict[str, Column]:
     """Two BIGINT sums that together hold the exact sum of a fixed-point value.
 
@@ -48,6 +53,13 @@ def joined(name: str, digits: int) -> Column:
     return (high + F.col(f"{name}_lo").cast("double")) / F.lit(float(10**digits))
 
 
+def joined_mean(name: str, digits: int, count: Column, places: int) -> Column:
+    """Sum held in two parts divided by a count, rounded exactly."""
+    units = F.col(f"{name}_hi").cast("decimal(38,0)") * (1 << _SPLIT_BITS)
+    units = (units + F.col(f"{name}_lo")).cast("decimal(38,0)")
+    return ratio(units, (count * 10**digits).cast("decimal(38,0)"), places)
+
+
 def mean(total: Column, count: Column) -> Column:
     return total / F.nullif(count, F.lit(0))
 

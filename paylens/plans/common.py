@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import bands, calendar
-from ..functions.rates import joined, mean, money, pct
+from ..functions.rates import joined, joined_mean, mean, money, pct, ratio
 from ..operators.rollup import MONEY_DIGITS, SCORE_DIGITS, Key, Where
 
 TXN = "transaction_history"
@@ -65,7 +65,7 @@ def average(name: str) -> Column:
 
 
 def average_2dp(name: str) -> Column:
-    return money(mean(joined("value", MONEY_DIGITS), F.col("priced"))).alias(name)
+    return joined_mean("value", MONEY_DIGITS, F.col("priced"), 2).alias(name)
 
 
 def average_risk(name: str) -> Column:
@@ -77,7 +77,7 @@ def average_score(name: str) -> Column:
 
 
 def average_score_2dp(name: str) -> Column:
-    return money(mean(F.col("score"), F.col("scored"))).alias(name)
+    return ratio(F.col("score"), F.col("scored"), 2).alias(name)
 
 
 def desc(column: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rates import fourfold, mean, money, pct
+from ..functions.rates import fourfold, mean, money, pct, ratio
 from ..operators.percentiles import exact_percentiles
 from ..operators.rollup import rollup, rollup_around, rollup_through
 from .catalog import report
@@ -45,7 +45,7 @@ def fraud_by_merchant_type(t):
         t, TXN, MERCHANTS, "merchant_id", ["merchant_type"], "rows ids fraud clean"
     ).select(
         "merchant_type", n("ids", "txn_count"), n("fraud", "fraud_count"),
-        rate("fraud", "fraud_rate_pct"), fourfold(share).alias("fraud_mean"),
+        rate("fraud", "fraud_rate_pct"), ratio(F.col("fraud"), flags, 4).alias("fraud_mean"),
         fourfold(F.sqrt(variance)).alias("fraud_std_dev"),
     ).orderBy(desc("fraud_rate_pct"), "merchant_type")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rates import joined, mean, money, split_sum, tally
+from ..functions.rates import joined, joined_mean, money, ratio, split_sum, tally
 from ..operators.fanout import children, copies
 from ..operators.joins import left_lookup
 from ..operators.rollup import MONEY_DIGITS, rollup_through
@@ -98,10 +98,10 @@ def customer_360(t, exact=False):
         F.coalesce("devices", F.lit(0)).alias("device_count"),
         counted("txns", "total_txns"),
         money(value * times).alias("total_txn_amount"),
-        money(mean(value, F.col("priced"))).alias("avg_txn_amount"),
+        joined_mean("value", MONEY_DIGITS, F.col("priced"), 2).alias("avg_txn_amount"),
         counted("fraud", "fraud_txns"),
         counted("failed", "failed_txns"),
-        money(mean(F.col("score"), F.col("scored"))).alias("avg_satisfaction_score"),
+        ratio(F.col("score"), F.col("scored"), 2).alias("avg_satisfaction_score"),
         F.col("latest").alias("last_transaction_date"),
     )
 
