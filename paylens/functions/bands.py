@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # The labels and bounds below are part of the published results.
 AGE_BANDS = ((25, "Under 25"), (35, "25-34"), (45, "35-44"), (55, "45-54"))
 AGE_REST = "55+"
@@ -18,17 +15,16 @@ AGING_BANDS = ((2, "0-1 days"), (8, "2-7 days"), (31, "8-30 days"))
 AGING_REST = "Over 30 days (stale)"
 
 
-def below(value: Column, steps, rest: str) -> Column:
+def _labels(value: str, test: str, steps, rest: str) -> str:
+    cases = " ".join(f"WHEN {value} {test} {bound} THEN '{text}'" for bound, text in steps)
+    return f"CASE {cases} ELSE '{rest}' END"
+
+
+def below(value: str, steps, rest: str) -> str:
     """The label of the first step whose bound lies above the value."""
-    label = F
-    for bound, text in steps:
-        label = label.when(value < bound, text)
-    return label.otherwise(rest)
+    return _labels(value, "<", steps, rest)
 
 
-def at_least(value: Column, steps, rest: str) -> Column:
+def at_least(value: str, steps, rest: str) -> str:
     """The label of the first step whose bound the value reaches."""
-    label = F
-    for bound, text in steps:
-        label = label.when(value >= bound, text)
-    return label.otherwise(rest)
+    return _labels(value, ">=", steps, rest)

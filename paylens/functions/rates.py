@@ -2,71 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 _SPLIT_BITS = 20
 _LOW_MASK = (1 << _SPLIT_BITS) - 1
 
 
-def tally(condition: Column) -> Column:
+def tally(condition: str) -> str:
     """Rows for which the condition holds (NULL for no rows at all, as in SQL)."""
-    return F.sum(F.when(condition, 1).otherwise(0))
+    return f"sum(CASE WHEN {condition} THEN 1 ELSE 0 END)"
 
 
-def whole_div(a: Column, b: Column) -> Column:
-    return F.call_function("div", a, b)
+def whole_div(a: str, b: str) -> str:
+    return f"(({a}) div nullif({b}, 0))"
 
 
-def ratio(part: Column, whole: Column, digits: int) -> Column:
+def ratio(part: str, whole: str, digits: int) -> str:
     """part / whole rounded to ``digits``, halves away from zero; NULL if whole is 0.
 
     Done in whole numbers, so the last digit does not depend on floating point.
     """
     scale = 10**digits
-    doubled = F.nullif(whole * 2, F.lit(0))
-    rounded = whole_div(F.abs(part) * (2 * scale) + whole, doubled) / F.lit(float(scale))
-    return F.when(part < 0, -rounded).otherwise(rounded)
+    size = f"((abs({part}) * {2 * scale} + {whole}) div nullif(({whole}) * 2, 0)) / {scale}.0D"
+    return f"(CASE WHEN ({part}) < 0 THEN -1 ELSE 1 END * ({size}))"
 
 
-def pct(part: Column, whole: Column) -> Column:
+def pct(part: str, whole: str) -> str:
     """100 * part / whole with two decimals."""
-    return ratio(part * 100, whole, 2)
+    return ratio(f"(({part}) * 100)", whole, 2)
 
 
-def split_sum(value: Column, name: str, digits: int) -> dict[str, Column]:
+def split_sum(value: str, name: str, digits: int) -> dict[str, str]:
     """Two BIGINT sums that together hold the exact sum of a fixed-point value.
 
     A decimal sum costs about twelve times as much as a double sum and a single
     BIGINT sum overflows at this scale; a double sum depends on row order.
     ``joined`` turns the two parts into a double.
     """
-    units = F.rint(value * F.lit(float(10**digits))).cast("bigint")
+    units = f"CAST(rint({value} * {10**digits}.0D) AS BIGINT)"
     return {
-        f"{name}_hi": F.sum(F.shiftright(units, _SPLIT_BITS)),
-        f"{name}_lo": F.sum(units.bitwiseAND(F.lit(_LOW_MASK).cast("bigint"))),
+        f"{name}_hi": f"sum(shiftright({units}, {_SPLIT_BITS}))",
+        f"{name}_lo": f"sum({units} & {_LOW_MASK}L)",
     }
 
 
-def joined(name: str, digits: int) -> Column:
-    high = F.col(f"{name}_hi").cast("double") * float(1 << _SPLIT_BITS)
-    return (high + F.col(f"{name}_lo").cast("double")) / F.lit(float(10**digits))
+def joined(name: str, digits: int) -> str:
+    return (f"((CAST({name}_hi AS DOUBLE) * {1 << _SPLIT_BITS}.0D"
+            f" + CAST({name}_lo AS DOUBLE)) / {10**digits}.0D)")
 
 
-def joined_mean(name: str, digits: int, count: Column, places: int) -> Column:
+def joined_mean(name: str, digits: int, count: str, places: int) -> str:
     """Sum held in two parts divided by a count, rounded exactly."""
-    units = F.col(f"{name}_hi").cast("decimal(38,0)") * (1 << _SPLIT_BITS)
-    units = (units + F.col(f"{name}_lo")).cast("decimal(38,0)")
-    return ratio(units, (count * 10**digits).cast("decimal(38,0)"), places)
-
-
-def mean(total: Column, count: Column) -> Column:
-    return total / F.nullif(count, F.lit(0))
+    units = (f"CAST(CAST({name}_hi AS DECIMAL(38, 0)) * {1 << _SPLIT_BITS} + {name}_lo"
+             " AS DECIMAL(38, 0))")
+    return ratio(units, f"CAST({count} * {10**digits}L AS DECIMAL(38, 0))", places)
 
 
-def fourfold(value: Column) -> Column:
-    return F.round(value, 4)
+def mean(total: str, count: str) -> str:
+    return f"({total} / nullif({count}, 0))"
 
 
-def money(value: Column) -> Column:
-    return F.round(value, 2)
+def rounded(value: str, places: int = 2) -> str:
+    return f"round({value}, {places})"

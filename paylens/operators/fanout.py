@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def children(df: DataFrame, on: str, **measures: Column) -> DataFrame:
+def children(df: DataFrame, on: str, **measures: str) -> DataFrame:
     """One row per parent, so that joining it multiplies nothing."""
-    return df.groupBy(on).agg(*[c.alias(name) for name, c in measures.items()])
+    return df.groupBy(on).agg(*[F.expr(f"{sql} AS {name}") for name, sql in measures.items()])
 
 
-def copies(*counts: str) -> Column:
+def copies(*counts: str) -> str:
     """How often a row of one child is repeated by left-joining the others.
 
     A double: the product of several children of one hot parent can exceed a
     BIGINT. It is exact up to 2**53.
     """
-    factor = F.lit(1.0)
-    for count in counts:
-        factor = factor * F.greatest(F.coalesce(F.col(count), F.lit(0)), F.lit(1))
-    return factor
+    factors = " * ".join(f"greatest(coalesce({count}, 0), 1)" for count in counts)
+    return f"(1.0D * {factors})"

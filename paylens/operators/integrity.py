@@ -66,13 +66,12 @@ def repeated_keys(df: DataFrame, key: str, name: str = "row_count") -> DataFrame
 
 def null_counts(columns: Sequence[str], names: dict[str, str] | None = None) -> list[Column]:
     names = names or {}
-    return [tally(F.col(c).isNull()).alias(names.get(c, c)) for c in columns]
+    return [F.expr(f"{tally(f'{c} IS NULL')} AS {names.get(c, c)}") for c in columns]
 
 
 def range_check(df: DataFrame, column: str, low, high) -> DataFrame:
-    value = F.col(column)
     return df.agg(
         F.min(column).alias("min_risk"),
         F.max(column).alias("max_risk"),
-        tally((value < low) | (value > high)).alias("out_of_range"),
+        F.expr(f"{tally(f'{column} < {low} OR {column} > {high}')} AS out_of_range"),
     )

@@ -16,23 +16,24 @@ from pyspark.sql import functions as F
 _STEP = 4  # a bucket class spans a factor of 2**4
 _FINE = 12  # each class is cut into at most 2**12 buckets
 _CLASSES = range(16, 61, _STEP)
-_UNIT = 10_000.0
+_UNIT = "10000.0D"
 
 
-def _bucket(value: Column) -> Column:
+def _bucket(value: str) -> str:
     """A monotone bucket number in integer arithmetic; about 50,000 per sign.
 
     Bucket width follows magnitude, as in a logarithmic histogram with linear
     steps, so small and large values are both resolved to better than 0.4 %.
     """
-    units = F.rint(F.abs(value) * F.lit(_UNIT)).cast("bigint")
-    placed = F
-    for rank, bits in enumerate(_CLASSES):
-        number = F.shiftright(units, bits - _FINE) + rank * (1 << _FINE)
-        placed = placed.when(units < (1 << bits), number)
+    units = f"CAST(rint(abs({value}) * {_UNIT}) AS BIGINT)"
+    cases = " ".join(
+        f"WHEN {units} < {1 << bits}L THEN shiftright({units}, {bits - _FINE})"
+        f" + {rank * (1 << _FINE)}L"
+        for rank, bits in enumerate(_CLASSES)
+    )
     top = len(_CLASSES) * (1 << _FINE)
-    position = placed.otherwise(F.shiftright(units, 60 - _FINE) + top)
-    return F.when(value < 0, -position - 1).otherwise(position)
+    place = f"CASE {cases} ELSE shiftright({units}, {60 - _FINE}) + {top}L END"
+    return f"CASE WHEN {value} < 0 THEN -({place}) - 1 ELSE {place} END"
 
 
 def exact_percentiles(df: DataFrame, column: str, wanted: dict[str, float]) -> DataFrame:
@@ -43,7 +44,7 @@ def exact_percentiles(df: DataFrame, column: str, wanted: dict[str, float]) -> D
     """
     names = list(wanted)
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    values = values.select("v", _bucket(F.col("v")).alias("bucket"))
+    values = values.select("v", F.expr(_bucket("v")).alias("bucket"))
 
     # The histogram has a bounded number of rows, so an ordered running total is cheap.
     counted = values.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))

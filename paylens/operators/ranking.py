@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rates import pct
@@ -23,5 +23,4 @@ def change_from_previous(df: DataFrame, order: str, value: str, previous: str,
     """The value of the previous row of a short series and the change in percent."""
     before = F.lag(value).over(Window.orderBy(order))
     df = df.withColumn(previous, before)
-    changed: Column = pct(F.col(value) - F.col(previous), F.col(previous))
-    return df.withColumn(growth, changed)
+    return df.withColumn(growth, F.expr(pct(f"({value} - {previous})", previous)))

@@ -8,7 +8,7 @@ fact rows a single customer or merchant owns.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +21,10 @@ from .sizing import fits_broadcast
 
 @dataclass(frozen=True)
 class Facet:
+    """Aggregates over fact rows, by column name, and how partial results combine."""
+
     reads: tuple[str, ...]
-    parts: Callable[[], dict[str, Column]]
+    parts: dict[str, str]
     combine: str | None = "sum"  # None: cannot be built from partial results
 
 
@@ -32,109 +34,96 @@ class Key:
 
     name: str
     reads: tuple[str, ...]
-    make: Callable[[], Column]
-    finish: Callable[[Column], Column] | None = None
+    value: str | Column
+    finish: str | None = None
+
+    def column(self) -> Column:
+        made = F.expr(self.value) if isinstance(self.value, str) else self.value
+        return made.alias(self.name)
 
 
 @dataclass(frozen=True)
 class Where:
     reads: tuple[str, ...]
-    make: Callable[[], Column]
+    test: str
 
 
 MONEY_DIGITS = 4
 SCORE_DIGITS = 10
 
 
-def _rows() -> Facet:
-    return Facet((), lambda: {"rows": F.count(F.lit(1))})
+def _aggregate(name: str, column: str, sql: str, combine: str | None = "sum") -> Facet:
+    return Facet((column,), {name: sql}, combine)
 
 
-def _present(column: str, name: str) -> Facet:
-    return Facet((column,), lambda: {name: F.count(column)})
+def _present(name: str, column: str) -> Facet:
+    return _aggregate(name, column, f"count({column})")
 
 
-def _tally(name: str, column: str, test: Callable[[Column], Column]) -> Facet:
-    return Facet((column,), lambda: {name: tally(test(F.col(column)))})
+def _tally(name: str, column: str, test: str = "{}") -> Facet:
+    return _aggregate(name, column, tally(test.format(column)))
 
 
 def _exact(name: str, column: str, digits: int) -> Facet:
-    return Facet((column,), lambda: split_sum(F.col(column), name, digits))
-
-
-def _plain_sum(name: str, column: str) -> Facet:
-    return Facet((column,), lambda: {name: F.sum(column)})
-
-
-def _yes(c: Column) -> Column:
-    return c
+    return Facet((column,), split_sum(column, name, digits))
 
 
-def _no(c: Column) -> Column:
-    return ~c
-
-
-def _is(value: str) -> Callable[[Column], Column]:
-    return lambda c: c == value
-
+_ROWS = Facet((), {"rows": "count(1)"})
 
 FACETS: dict[str, dict[str, Facet]] = {
     "transaction_history": {
-        "rows": _rows(),
-        "ids": _present("transaction_id", "ids"),
+        "rows": _ROWS,
+        "ids": _present("ids", "transaction_id"),
         "value": _exact("value", "amount", MONEY_DIGITS),
-        "priced": _present("amount", "priced"),
-        "low": Facet(("amount",), lambda: {"low": F.min("amount")}, "min"),
-        "high": Facet(("amount",), lambda: {"high": F.max("amount")}, "max"),
-        "spread": Facet(("amount",), lambda: {"spread": F.stddev_samp("amount")}, None),
-        "fraud": _tally("fraud", "fraud_flag", _yes),
-        "clean": _tally("clean", "fraud_flag", _no),
-        "reversed": _tally("reversed", "reversal_flag", _yes),
-        "failed": _tally("failed", "status", _is("failed")),
-        "success": _tally("success", "status", _is("success")),
-        "pending": _tally("pending", "status", _is("pending")),
-        "latest": Facet(("timestamp",), lambda: {"latest": F.max("timestamp")}, "max"),
+        "priced": _present("priced", "amount"),
+        "low": _aggregate("low", "amount", "min(amount)", "min"),
+        "high": _aggregate("high", "amount", "max(amount)", "max"),
+        "spread": _aggregate("spread", "amount", "stddev_samp(amount)", None),
+        "fraud": _tally("fraud", "fraud_flag"),
+        "clean": _tally("clean", "fraud_flag", "NOT {}"),
+        "reversed": _tally("reversed", "reversal_flag"),
+        "failed": _tally("failed", "status", "{} = 'failed'"),
+        "success": _tally("success", "status", "{} = 'success'"),
+        "pending": _tally("pending", "status", "{} = 'pending'"),
+        "latest": _aggregate("latest", "timestamp", "max(timestamp)", "max"),
     },
     "customer_feedback": {
-        "rows": _rows(),
-        "ids": _present("feedback_id", "ids"),
-        "score": _plain_sum("score", "satisfaction_score"),
-        "scored": _present("satisfaction_score", "scored"),
-        "resolved": _tally("resolved", "resolved", _yes),
-        "open": _tally("open", "resolved", _no),
-        "low": _tally("low", "satisfaction_score", lambda c: c <= 2),
-        "high": _tally("high", "satisfaction_score", lambda c: c >= 4),
+        "rows": _ROWS,
+        "ids": _present("ids", "feedback_id"),
+        "score": _aggregate("score", "satisfaction_score", "sum(satisfaction_score)"),
+        "scored": _present("scored", "satisfaction_score"),
+        "resolved": _tally("resolved", "resolved"),
+        "open": _tally("open", "resolved", "NOT {}"),
+        "low": _tally("low", "satisfaction_score", "{} <= 2"),
+        "high": _tally("high", "satisfaction_score", "{} >= 4"),
     },
     "device_info": {
-        "rows": _rows(),
-        "ids": _present("device_id", "ids"),
-        "rooted": _tally("rooted", "is_rooted", _yes),
+        "rows": _ROWS,
+        "ids": _present("ids", "device_id"),
+        "rooted": _tally("rooted", "is_rooted"),
     },
     "customer_details": {
-        "rows": _rows(),
-        "ages": _plain_sum("ages", "age"),
-        "aged": _present("age", "aged"),
+        "rows": _ROWS,
+        "ages": _aggregate("ages", "age", "sum(age)"),
+        "aged": _present("aged", "age"),
         "risk": _exact("risk", "risk_score", SCORE_DIGITS),
-        "risked": _present("risk_score", "risked"),
-        "business": _tally("business", "is_business_user", _yes),
+        "risked": _present("risked", "risk_score"),
+        "business": _tally("business", "is_business_user"),
     },
-    "account_details": {"rows": _rows()},
-    "merchant": {"rows": _rows()},
+    "account_details": {"rows": _ROWS},
+    "merchant": {"rows": _ROWS},
     "fraud_alert": {
-        "rows": _rows(),
-        "resolved": _tally("resolved", "resolved", _yes),
-        "open": _tally("open", "resolved", _no),
+        "rows": _ROWS,
+        "resolved": _tally("resolved", "resolved"),
+        "open": _tally("open", "resolved", "NOT {}"),
     },
 }
 
-_COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
-
-
 def as_keys(keys: Iterable[Key | str]) -> list[Key]:
     made = []
     for key in keys:
         if isinstance(key, str):
-            key = Key(key, (key,), lambda name=key: F.col(name))
+            key = Key(key, (key,), key)
         made.append(key)
     return made
 
@@ -151,27 +140,27 @@ def _needed(facets: Sequence[Facet], keys: Sequence[Key], where: Where | None, *
 
 
 def _measures(facets: Sequence[Facet]) -> list[Column]:
-    return [column.alias(name) for f in facets for name, column in f.parts().items()]
+    return [F.expr(f"{sql} AS {name}") for f in facets for name, sql in f.parts.items()]
 
 
 def _combined(facets: Sequence[Facet]) -> list[Column]:
-    return [_COMBINE[f.combine](name).alias(name) for f in facets for name in f.parts()]
+    return [F.expr(f"{f.combine}({name}) AS {name}") for f in facets for name in f.parts]
 
 
 def _finish(df: DataFrame, keys: Sequence[Key]) -> DataFrame:
-    late = {k.name: k.finish(F.col(k.name)) for k in keys if k.finish}
+    late = {k.name: F.expr(k.finish) for k in keys if k.finish}
     return df.withColumns(late) if late else df
 
 
 def _grouped(df: DataFrame, keys: Sequence[Key], measures: list[Column]) -> DataFrame:
-    return df.groupBy(*[k.make().alias(k.name) for k in keys]).agg(*measures)
+    return df.groupBy(*[k.column() for k in keys]).agg(*measures)
 
 
 def scan(tables: Tables, table: str, columns: Sequence[str], where: Where | None) -> DataFrame:
     if not columns:
         columns = [tables.columns(table)[0]]
     df = tables.scan(table, *columns)
-    return df.where(where.make()) if where else df
+    return df.where(where.test) if where else df
 
 
 def rollup(
@@ -189,7 +178,7 @@ def lookup_rows(
 ) -> DataFrame:
     """The join column and the finished grouping columns of a lookup table."""
     rows = scan(tables, table, _needed((), keys, where, on), where)
-    columns = [k.make().alias(k.name) for k in keys if k.name != on]
+    columns = [k.column() for k in keys if k.name != on]
     return rows.select(on, *columns)
 
 
@@ -248,8 +237,8 @@ def rollup_around(
     parents = lookup_rows(tables, lookup, on, [*keys, *(c for c in carried if c not in keys)])
 
     zero = {
-        name: F.coalesce(F.col(name), F.lit(1 if name == "rows" else 0))
-        for f in measures if f.combine == "sum" for name in f.parts()
+        name: F.expr(f"coalesce({name}, {1 if name == 'rows' else 0})")
+        for f in measures if f.combine == "sum" for name in f.parts
         if not name.startswith("value")
     }
     joined = parents.join(per_key, on, "left").withColumns(zero)
@@ -257,7 +246,7 @@ def rollup_around(
     if count_as:
         merged.append(F.count_distinct(on).alias(count_as))
     for column, name in (weighted or {}).items():
-        weight = F.when(F.col(column).isNotNull(), F.col("rows"))
-        merged.append((F.sum(F.col(column) * weight) / F.sum(weight)).alias(name))
+        weight = f"sum(CASE WHEN {column} IS NOT NULL THEN rows END)"
+        merged.append(F.expr(f"sum({column} * rows) / {weight} AS {name}"))
     df = _grouped(joined, as_keys(k.name for k in keys), merged)
     return _finish(df, keys)

@@ -15,4 +15,6 @@ def with_share(grouped: DataFrame, count: str, name: str = "pct_share") -> DataF
     result's shuffle, and no window gathers all the groups in one task.
     """
     total = grouped.agg(F.sum(count)).scalar()
-    return grouped.withColumn(name, pct(F.col(count), total))
+    return grouped.withColumn("total_", total).withColumn(
+        name, F.expr(pct(count, "total_"))
+    ).drop("total_")

@@ -19,7 +19,8 @@ def accounts_by_status(t):
 
 @report("q11_02_activity_on_closed_accounts")
 def activity_on_closed_accounts(t, states=("blocked", "suspended")):
-    closed = Where(("status",), lambda: F.col("status").isin(*states))
+    listed = ", ".join(f"'{state}'" for state in states)
+    closed = Where(("status",), f"status IN ({listed})")
     keys = ["upi_id", "customer_id", "bank_name", "account_type", "status"]
     return rollup_through(
         t, TXN, ACCOUNTS, "upi_id", keys, "ids latest", lookup_where=closed

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import bands, calendar
-from ..functions.rates import joined, joined_mean, mean, money, pct, ratio
+from ..functions.rates import joined, joined_mean, mean, pct, ratio, rounded
 from ..operators.rollup import MONEY_DIGITS, SCORE_DIGITS, Key, Where
 
 TXN = "transaction_history"
@@ -17,67 +17,70 @@ ACCOUNTS = "account_details"
 FEEDBACK = "customer_feedback"
 ALERTS = "fraud_alert"
 
+VALUE = joined("value", MONEY_DIGITS)
+
 
 def month(column: str, name: str) -> Key:
-    return Key(
-        name, (column,), lambda: calendar.month_number(F.col(column)), calendar.month_text
-    )
+    return Key(name, (column,), calendar.month_number(column), calendar.month_text(name))
 
 
 def age_band(name: str) -> Key:
-    return Key(name, ("age",),
-               lambda: bands.below(F.col("age"), bands.AGE_BANDS, bands.AGE_REST))
+    return Key(name, ("age",), bands.below("age", bands.AGE_BANDS, bands.AGE_REST))
 
 
 def risk_band(name: str) -> Key:
     return Key(name, ("risk_score",),
-               lambda: bands.at_least(F.col("risk_score"), bands.RISK_BANDS, bands.RISK_REST))
+               bands.at_least("risk_score", bands.RISK_BANDS, bands.RISK_REST))
 
 
 def renamed(column: str, name: str) -> Key:
-    return Key(name, (column,), lambda: F.col(column))
+    return Key(name, (column,), column)
 
 
 def status_is(value: str) -> Where:
-    return Where(("status",), lambda: F.col("status") == value)
+    return Where(("status",), f"status = '{value}'")
+
+
+def named(sql: str, name: str) -> Column:
+    return F.expr(f"{sql} AS {name}")
 
 
 def n(facet: str, name: str) -> Column:
-    return F.col(facet).alias(name)
+    return named(facet, name)
 
 
 def rate(part: str, name: str, whole: str = "rows") -> Column:
-    return pct(F.col(part), F.col(whole)).alias(name)
+    return named(pct(part, whole), name)
 
 
 def total(name: str) -> Column:
     """Sum of amount."""
-    return joined("value", MONEY_DIGITS).alias(name)
+    return named(VALUE, name)
 
 
 def total_2dp(name: str) -> Column:
-    return money(joined("value", MONEY_DIGITS)).alias(name)
+    return named(rounded(VALUE), name)
 
 
 def average(name: str) -> Column:
     """Average amount."""
-    return mean(joined("value", MONEY_DIGITS), F.col("priced")).alias(name)
+    return named(mean(VALUE, "priced"), name)
 
 
 def average_2dp(name: str) -> Column:
-    return joined_mean("value", MONEY_DIGITS, F.col("priced"), 2).alias(name)
+    return named(joined_mean("value", MONEY_DIGITS, "priced", 2), name)
 
 
 def average_risk(name: str) -> Column:
-    return mean(joined("risk", SCORE_DIGITS), F.col("risked")).alias(name)
+    return named(mean(joined("risk", SCORE_DIGITS), "risked"), name)
 
 
 def average_score(name: str) -> Column:
-    return mean(F.col("score"), F.col("scored")).alias(name)
+    return named(mean("score", "scored"), name)
 
 
 def average_score_2dp(name: str) -> Column:
-    return ratio(F.col("score"), F.col("scored"), 2).alias(name)
+    return named(ratio("score", "scored", 2), name)
 
 
 def desc(column: str) -> Column:

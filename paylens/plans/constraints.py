@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import tally
 from ..model import TABLES
 from ..operators import integrity
+from ..operators.lines import as_lines
 from .catalog import report
 
 
-def _row_checks(name: str, present: list[str]) -> list[tuple[str, str, Column]]:
-    """(kind, what, condition of a bad row) for everything one row can tell."""
+def _row_checks(name: str, present: list[str]) -> list[tuple[str, str, str]]:
+    """(kind, rule, SQL of a bad row) for everything a single row can tell."""
     table, checks = TABLES[name], []
     for column in table.columns:
         if column.name not in present:
             continue
-        value = F.col(column.name)
         if column.required:
-            checks.append(("not null", column.name, value.isNull()))
+            checks.append(("not null", column.name, f"{column.name} IS NULL"))
         if column.width:
-            too_long = F.length(value.cast("string")) > column.width
+            too_long = f"length(CAST({column.name} AS STRING)) > {column.width}"
             checks.append(("length", f"{column.name} <= {column.width}", too_long))
     for rule in table.rules:
         if rule.column in present:
-            checks.append(("check", rule.name, ~F.expr(rule.sql)))
+            checks.append(("check", rule.name, f"NOT ({rule.sql})"))
     return checks
 
 
@@ -38,32 +38,28 @@ def violations(t, name: str) -> DataFrame:
     table, present = TABLES[name], t.columns(name)
     checks = _row_checks(name, present)
     counted = t.scan(name, *present).agg(*[
-        F.coalesce(tally(bad), F.lit(0)).cast("bigint").alias(f"c{i}")
-        for i, (_, _, bad) in enumerate(checks)
+        F.expr(f"coalesce({tally(bad)}, 0L) AS c{i}") for i, (_, _, bad) in enumerate(checks)
     ])
-    lines = F.array(*[
-        F.struct(F.lit(kind).alias("kind"), F.lit(rule).alias("rule"),
-                 F.col(f"c{i}").alias("violations"))
+    report_rows = as_lines(counted, [
+        {"table_name": f"'{name}'", "kind": f"'{kind}'", "rule": f"'{rule}'",
+         "violations": f"c{i}"}
         for i, (kind, rule, _) in enumerate(checks)
     ])
-    report_rows = counted.select(F.inline(lines))
-
-    extra = integrity.repeated_keys(t.scan(name, table.key), table.key, "n").agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("violations")
-    ).select(F.lit("primary key").alias("kind"), F.lit(table.key).alias("rule"), "violations")
-    report_rows = report_rows.unionAll(extra)
+    repeated = integrity.repeated_keys(t.scan(name, table.key), table.key, "n")
+    report_rows = report_rows.unionAll(repeated.agg(
+        F.expr("coalesce(sum(n - 1), 0L) AS violations")
+    ).selectExpr(f"'{name}'", "'primary key'", f"'{table.key}'", "violations"))
 
     for link in table.references:
         lost = integrity.orphans(
             t.scan(name, link.column), link.column,
             t.scan(link.parent, link.parent_key), link.parent_key, "violations", skip_null=True,
         )
-        report_rows = report_rows.unionAll(lost.select(
-            F.lit("foreign key").alias("kind"),
-            F.lit(f"{link.column} -> {link.parent}.{link.parent_key}").alias("rule"),
-            "violations",
-        ))
-    return report_rows.select(F.lit(name).alias("table_name"), "kind", "rule", "violations")
+        rule = f"{link.column} -> {link.parent}.{link.parent_key}"
+        report_rows = report_rows.unionAll(
+            lost.selectExpr(f"'{name}'", "'foreign key'", f"'{rule}'", "violations")
+        )
+    return report_rows
 
 
 # The published order of the table definitions.

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions import bands
 from ..functions.calendar import months_before
-from ..functions.rates import joined, mean, whole_div
+from ..functions.rates import mean, whole_div
 from ..operators import integrity
-from ..operators.rollup import MONEY_DIGITS, Key, rollup, rollup_around
+from ..operators.rollup import Key, rollup, rollup_around
 from .catalog import report
-from .common import CUSTOMERS, FEEDBACK, TXN, average, average_score, desc, n, rate, total
+from .common import (
+    CUSTOMERS, FEEDBACK, TXN, VALUE, average, average_score, desc, n, named, rate, total,
+)
 
 
 @report("q6_01_business_vs_regular")
@@ -27,19 +27,17 @@ def business_vs_regular(t):
 @report("q6_02_activity_segments")
 def activity_segments(t):
     """One row per customer, then one per segment; money stays exact on both levels."""
-    segment = bands.below(F.col("ids"), bands.ACTIVITY_BANDS, bands.ACTIVITY_REST)
-    per_customer = rollup(t, TXN, ["customer_id"], "ids value").withColumn("segment", segment)
-    grouped = per_customer.groupBy(F.col("segment").alias("activity_segment")).agg(
-        F.count(F.lit(1)).alias("customer_count"),
-        F.sum("ids").alias("ids"),
-        F.sum("value_hi").alias("value_hi"),
-        F.sum("value_lo").alias("value_lo"),
-        F.count("value_hi").alias("valued"),
+    segment = bands.below("ids", bands.ACTIVITY_BANDS, bands.ACTIVITY_REST)
+    per_customer = rollup(t, TXN, ["customer_id"], "ids value")
+    grouped = per_customer.groupBy(named(segment, "activity_segment")).agg(
+        named("count(1)", "customer_count"), named("sum(ids)", "ids"),
+        named("sum(value_hi)", "value_hi"), named("sum(value_lo)", "value_lo"),
+        named("count(value_hi)", "valued"),
     )
     return grouped.select(
         "activity_segment", "customer_count",
-        whole_div(F.col("ids"), F.col("customer_count")).alias("avg_txns"),
-        mean(joined("value", MONEY_DIGITS), F.col("valued")).alias("avg_total_amount"),
+        named(whole_div("ids", "customer_count"), "avg_txns"),
+        named(mean(VALUE, "valued"), "avg_total_amount"),
     ).orderBy("avg_txns", "activity_segment")
 
 
@@ -55,8 +53,8 @@ def customers_without_txns(t):
 def new_vs_existing(t, as_of=None, months=6):
     kind = Key(
         "customer_type", ("date_joined",),
-        lambda: F.when(F.col("date_joined") >= months_before(as_of, months), "New Customer")
-        .otherwise("Existing Customer"),
+        f"CASE WHEN date_joined >= {months_before(as_of, months)} THEN 'New Customer'"
+        " ELSE 'Existing Customer' END",
     )
     return rollup_around(
         t, CUSTOMERS, TXN, "customer_id", [kind], "rows ids value priced fraud",
@@ -80,7 +78,7 @@ def unhappy_customers(t, worst=2):
     bad = t.scan(
         FEEDBACK, "feedback_id", "customer_id", "issue_type", "satisfaction_score", "resolved",
         "date_submitted",
-    ).where((F.col("satisfaction_score") <= worst) & ~F.col("resolved"))
+    ).where(f"satisfaction_score <= {int(worst)} AND NOT resolved")
     owners = t.scan(CUSTOMERS, "customer_id", "full_name", "region")
     return bad.join(owners, "customer_id").orderBy(desc("date_submitted"), "feedback_id").select(
         "customer_id", "full_name", "region", "issue_type", "satisfaction_score", "resolved",

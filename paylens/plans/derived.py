@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.rates import joined_mean
 from ..operators.rollup import MONEY_DIGITS, rollup, rollup_through
 from .catalog import report
-from .common import CUSTOMERS, MERCHANTS, TXN, desc, n, rate, renamed, total
+from .common import CUSTOMERS, MERCHANTS, TXN, desc, n, named, rate, renamed, total
 
 
 @report("q4_01_value_per_customer")
 def value_per_customer(t):
-    per_txn = joined_mean("value", MONEY_DIGITS, F.col("ids"), 2)
+    per_txn = joined_mean("value", MONEY_DIGITS, "ids", 2)
     return rollup(t, TXN, ["customer_id"], "ids value").select(
         "customer_id", n("ids", "total_transactions"), total("total_amount"),
-        per_txn.alias("txn_value_per_customer"),
+        named(per_txn, "txn_value_per_customer"),
     ).orderBy(desc("txn_value_per_customer"), "customer_id")
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.calendar import days_before
 from ..operators.rollup import rollup, rollup_through
 from ..operators.shares import with_share
 from .catalog import report
-from .common import CUSTOMERS, DEVICES, desc, n, rate
+from .common import CUSTOMERS, DEVICES, desc, n, named, rate
 
 
 @report("q8_01_rooted_share", by="is_rooted")
@@ -30,8 +28,8 @@ def rooted_by_region(t):
 
 @report("q8_04_stale_devices", clock="transactions")
 def stale_devices(t, as_of=None, days=90):
-    idle = t.scan(DEVICES, "last_active").where(F.col("last_active") < days_before(as_of, days))
-    return idle.agg(F.count(F.lit(1)).alias(f"inactive_{days}_days_count"))
+    idle = t.scan(DEVICES, "last_active").where(f"last_active < {days_before(as_of, days)}")
+    return idle.agg(named("count(1)", f"inactive_{days}_days_count"))
 
 
 @report("q8_05_rooted_by_device_type")

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rates import tally
 from ..operators.fanout import children, copies
 from ..operators.ranking import change_from_previous
 from ..operators.rollup import rollup, rollup_around
 from .catalog import report
 from .common import (
-    ALERTS, CUSTOMERS, FEEDBACK, MERCHANTS, TXN, average_2dp, average_score_2dp, desc, month, n,
-    rate, total, total_2dp,
+    ALERTS, CUSTOMERS, FEEDBACK, MERCHANTS, TXN, average_2dp, average_score, average_score_2dp,
+    desc, month, n, named, rate, total, total_2dp,
 )
 
 
@@ -42,32 +41,30 @@ def customers_needing_action(t, top=20, exact=False):
     the multiplication out.
     """
     per_txn = children(t.scan(ALERTS, "transaction_id", "alert_id"), "transaction_id",
-                       rows_=F.count(F.lit(1)), alerts=F.count("alert_id"))
+                       rows_="count(1)", alerts="count(alert_id)")
     txns = t.scan(TXN, "transaction_id", "customer_id", "fraud_flag", "status")
     txns = txns.join(per_txn, "transaction_id", "left")
-    times = F.lit(1) if exact else F.coalesce("rows_", F.lit(1))
+    times = F.expr("1L" if exact else "coalesce(rows_, 1)")
     per_customer = children(
         txns.withColumn("times", times), "customer_id",
-        txns=F.sum(F.when(F.col("transaction_id").isNotNull(), F.col("times"))),
-        fraud=F.sum(F.when(F.col("fraud_flag"), F.col("times")).otherwise(0)),
-        failed=F.sum(F.when(F.col("status") == "failed", F.col("times")).otherwise(0)),
-        alerts=F.sum(F.coalesce("alerts", F.lit(0))),
-    ).where(F.col("fraud") > 0)
+        txns="sum(CASE WHEN transaction_id IS NOT NULL THEN times ELSE 0 END)",
+        fraud="sum(CASE WHEN fraud_flag THEN times ELSE 0 END)",
+        failed="sum(CASE WHEN status = 'failed' THEN times ELSE 0 END)",
+        alerts="sum(coalesce(alerts, 0))",
+    ).where("fraud > 0")
     scores = children(t.scan(FEEDBACK, "customer_id", "satisfaction_score"), "customer_id",
-                      feedback=F.count(F.lit(1)), score=F.sum("satisfaction_score"),
-                      scored=F.count("satisfaction_score"))
+                      feedback="count(1)", score="sum(satisfaction_score)",
+                      scored="count(satisfaction_score)")
     owners = t.scan(CUSTOMERS, "customer_id", "full_name", "region", "risk_score",
                     "is_business_user")
-    every = F.lit(1.0) if exact else copies("feedback")
+    every = "1.0D" if exact else copies("feedback")
     return (
         per_customer.join(owners, "customer_id").join(scores, "customer_id", "left")
         .select(
             "customer_id", "full_name", "region", "risk_score", "is_business_user",
-            (F.col("txns") * every).alias("total_txns"),
-            (F.col("fraud") * every).alias("fraud_txns"),
-            (F.col("failed") * every).alias("failed_txns"),
-            (F.col("alerts") * every).alias("fraud_alerts"),
-            (F.col("score") / F.nullif(F.col("scored"), F.lit(0))).alias("avg_satisfaction"),
+            named(f"txns * {every}", "total_txns"), named(f"fraud * {every}", "fraud_txns"),
+            named(f"failed * {every}", "failed_txns"),
+            named(f"alerts * {every}", "fraud_alerts"), average_score("avg_satisfaction"),
         )
         .orderBy(desc("fraud_alerts"), desc("risk_score"), "customer_id").limit(top)
     )

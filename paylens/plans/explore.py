@@ -11,8 +11,8 @@ from ..operators.rollup import Key, Where, rollup, rollup_through
 from ..operators.shares import with_share
 from .catalog import report
 from .common import (
-    ACCOUNTS, CUSTOMERS, MERCHANTS, TXN, age_band, average, average_risk, desc, month, n, rate,
-    total,
+    ACCOUNTS, CUSTOMERS, MERCHANTS, TXN, age_band, average, average_risk, desc, month, n, named,
+    rate, total,
 )
 
 
@@ -56,8 +56,8 @@ def monthly_trend(t):
 
 @report("q3_04_daily_volume", clock="transactions")
 def daily_volume(t, as_of=None, days=30):
-    day = Key("txn_date", ("timestamp",), lambda: F.to_date("timestamp"))
-    recent = Where(("timestamp",), lambda: F.col("timestamp") >= days_before(as_of, days))
+    day = Key("txn_date", ("timestamp",), "to_date(timestamp)")
+    recent = Where(("timestamp",), f"timestamp >= {days_before(as_of, days)}")
     return rollup(t, TXN, [day], "rows value", recent).select(
         "txn_date", n("rows", "txn_count"), total("total_amount")
     ).orderBy("txn_date")
@@ -121,9 +121,8 @@ def top_customers(t, top=10):
 
 @report("q3_11_customers_by_gender")
 def customers_by_gender(t):
-    whole_years = whole_div(F.col("ages"), F.nullif(F.col("aged"), F.lit(0)))
     return rollup(t, CUSTOMERS, ["gender"], "rows ages aged risk risked business").select(
-        "gender", n("rows", "customer_count"), whole_years.alias("avg_age"),
+        "gender", n("rows", "customer_count"), named(whole_div("ages", "aged"), "avg_age"),
         average_risk("avg_risk_score"), n("business", "business_users"),
     )
 
@@ -146,7 +145,7 @@ def accounts_by(t, by):
 def failure_reasons(t):
     explained = Where(
         ("status", "failure_reason"),
-        lambda: (F.col("status") == "failed") & F.col("failure_reason").isNotNull(),
+        "status = 'failed' AND failure_reason IS NOT NULL",
     )
     counted = rollup(t, TXN, ["failure_reason"], "rows", explained)
     counted = counted.withColumnRenamed("rows", "failure_count")
@@ -155,7 +154,7 @@ def failure_reasons(t):
 
 @report("q3_16_by_hour")
 def by_hour(t):
-    hour = Key("hour_of_day", ("timestamp",), lambda: F.hour("timestamp"))
+    hour = Key("hour_of_day", ("timestamp",), "hour(timestamp)")
     return rollup(t, TXN, [hour], "rows fraud failed").select(
         "hour_of_day", n("rows", "txn_count"), n("fraud", "fraud_count"),
         n("failed", "failed_count"),
@@ -164,8 +163,8 @@ def by_hour(t):
 
 @report("q3_17_by_weekday")
 def by_weekday(t):
-    day = Key("day_num", ("timestamp",), lambda: F.dayofweek("timestamp"))
+    day = Key("day_num", ("timestamp",), "dayofweek(timestamp)")
     return rollup(t, TXN, [day], "rows value").select(
-        weekday_name(F.col("day_num")).alias("day_of_week"), "day_num",
+        named(weekday_name("day_num"), "day_of_week"), "day_num",
         n("rows", "txn_count"), total("total_amount"),
     ).orderBy("day_num")

@@ -6,33 +6,32 @@ from pyspark.sql import functions as F
 
 from ..functions import bands
 from ..functions.calendar import hours_crossed
-from ..functions.rates import pct, tally, whole_div
+from ..functions.rates import tally, whole_div
 from ..operators.fanout import children
 from ..operators.percentiles import exact_percentiles
 from ..operators.rollup import Key, rollup, rollup_through
 from .catalog import report
 from .common import (
-    ALERTS, CUSTOMERS, DEVICES, MERCHANTS, TXN, average, desc, month, n, rate, risk_band,
+    ALERTS, CUSTOMERS, DEVICES, MERCHANTS, TXN, average, desc, month, n, named, rate, risk_band,
 )
 
 
 @report("q5_01_alert_types")
 def alert_types(t):
-    hours = hours_crossed(F.col("alert_date"), F.col("resolution_date"))
+    hours = hours_crossed("alert_date", "resolution_date")
     grouped = t.scan(ALERTS, "alert_type", "alert_date", "resolution_date", "resolved").groupBy(
         "alert_type"
     ).agg(
-        F.count(F.lit(1)).alias("alert_count"),
-        tally(F.col("resolved")).alias("resolved_count"),
-        tally(~F.col("resolved")).alias("open_count"),
-        F.sum(hours).alias("hours"),
-        F.count(hours).alias("timed"),
+        named("count(1)", "alert_count"),
+        named(tally("resolved"), "resolved_count"),
+        named(tally("NOT resolved"), "open_count"),
+        named(f"sum({hours})", "hours"),
+        named(f"count({hours})", "timed"),
     )
     return grouped.select(
         "alert_type", "alert_count", "resolved_count", "open_count",
-        pct(F.col("resolved_count"), F.col("alert_count")).alias("resolution_rate_pct"),
-        whole_div(F.col("hours"), F.nullif(F.col("timed"), F.lit(0)))
-        .alias("avg_resolution_hours"),
+        rate("resolved_count", "resolution_rate_pct", "alert_count"),
+        named(whole_div("hours", "timed"), "avg_resolution_hours"),
     ).orderBy(desc("alert_count"), "alert_type")
 
 
@@ -67,7 +66,7 @@ def high_value_fraud(t, fraction=0.9):
     limit = exact_percentiles(t.scan(TXN, "amount"), "amount", {"p": fraction}).scalar()
     segment = Key(
         "txn_segment", ("amount",),
-        lambda: F.when(F.col("amount") >= limit, "High Value").otherwise("Normal"),
+        F.when(F.col("amount") >= limit, "High Value").otherwise("Normal"),
     )
     return rollup(t, TXN, [segment], "rows fraud").select(
         "txn_segment", n("rows", "txn_count"), n("fraud", "fraud_count"),
@@ -101,18 +100,17 @@ def fraud_by_day_part(t, exact=False):
     count per transaction. The distinct alerts come from an inner join that
     only alert-bearing transactions survive.
     """
-    part = bands.below(F.hour("timestamp"), bands.DAY_PARTS, bands.DAY_PART_REST)
+    part = bands.below("hour(timestamp)", bands.DAY_PARTS, bands.DAY_PART_REST)
     txns = t.scan(TXN, "transaction_id", "timestamp", "fraud_flag").select(
-        "transaction_id", "fraud_flag", part.alias("time_band"))
+        "transaction_id", "fraud_flag", named(part, "time_band"))
     alerts = t.scan(ALERTS, "transaction_id", "alert_id")
-    per_txn = children(alerts, "transaction_id", alerts=F.count(F.lit(1)))
-    times = F.lit(1) if exact else F.greatest(F.coalesce("alerts", F.lit(1)), F.lit(1))
+    per_txn = children(alerts, "transaction_id", alerts="count(1)")
+    times = F.expr("1L" if exact else "coalesce(alerts, 1)")
     totals = (
         txns.join(per_txn, "transaction_id", "left").withColumn("times", times)
         .groupBy("time_band").agg(
-            F.sum("times").cast("bigint").alias("total_txns"),
-            F.sum(F.when(F.col("fraud_flag"), F.col("times")).otherwise(0)).cast("bigint")
-            .alias("fraud_txns"),
+            named("sum(times)", "total_txns"),
+            named("sum(CASE WHEN fraud_flag THEN times ELSE 0 END)", "fraud_txns"),
         )
     )
     seen = (
@@ -121,8 +119,8 @@ def fraud_by_day_part(t, exact=False):
     )
     return totals.join(seen, "time_band", "left").select(
         "time_band", "total_txns", "fraud_txns",
-        pct(F.col("fraud_txns"), F.col("total_txns")).alias("fraud_rate_pct"),
-        F.coalesce("fraud_alerts", F.lit(0)).alias("fraud_alerts"),
+        rate("fraud_txns", "fraud_rate_pct", "total_txns"),
+        named("coalesce(fraud_alerts, 0)", "fraud_alerts"),
     ).orderBy(desc("fraud_rate_pct"), "time_band")
 
 
@@ -154,8 +152,8 @@ def flagged_and_alerted(t):
     matched = alerts.join(txns, "transaction_id", "left_semi")
     alert_count = matched.agg(F.count_distinct("alert_id")).scalar()
     return txns.agg(
-        F.count(F.lit(1)).alias("all_txns"),
-        F.coalesce(tally(F.col("flagged")), F.lit(0)).alias("flagged"),
+        named("count(1)", "all_txns"),
+        named(f"coalesce({tally('flagged')}, 0)", "flagged"),
     ).select(
         n("all_txns", "flagged_in_both"), alert_count.alias("total_alerts"),
         n("flagged", "flagged_transactions"),

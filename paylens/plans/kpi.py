@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.calendar import days_before, hours_crossed
-from ..functions.rates import pct, tally, whole_div
+from ..functions.rates import tally, whole_div
 from ..operators.rollup import rollup
 from .catalog import report
 from .common import (
-    ALERTS, FEEDBACK, TXN, average, average_score_2dp, n, rate, total,
+    ALERTS, FEEDBACK, TXN, average, average_score_2dp, n, named, rate, total,
 )
 
 
@@ -55,34 +53,31 @@ def alert_resolution(t):
 
 @report("q2_06_resolution_hours")
 def resolution_hours(t):
-    hours = hours_crossed(F.col("alert_date"), F.col("resolution_date"))
     closed = (
         t.scan(ALERTS, "alert_date", "resolution_date", "resolved")
-        .where(F.col("resolved") & F.col("resolution_date").isNotNull())
-        .select(hours.alias("hours"))
+        .where("resolved AND resolution_date IS NOT NULL")
+        .select(named(hours_crossed("alert_date", "resolution_date"), "hours"))
     )
     return closed.agg(
-        whole_div(F.sum("hours"), F.nullif(F.count("hours"), F.lit(0)))
-        .alias("avg_resolution_hours"),
-        F.min("hours").alias("min_resolution_hours"),
-        F.max("hours").alias("max_resolution_hours"),
+        named(whole_div("sum(hours)", "count(hours)"), "avg_resolution_hours"),
+        named("min(hours)", "min_resolution_hours"),
+        named("max(hours)", "max_resolution_hours"),
     )
 
 
 @report("q2_07_retention", clock="transactions")
 def retention(t, as_of=None, days=90):
     """Customers seen at all and lately; one row per customer instead of two distinct counts."""
-    recent = F.col("timestamp") >= days_before(as_of, days)
+    recent = f"timestamp >= {days_before(as_of, days)}"
     seen = (
         t.scan(TXN, "customer_id", "timestamp")
-        .where(F.col("customer_id").isNotNull())
-        .groupBy("customer_id").agg(F.max("timestamp").alias("timestamp"))
-        .agg(F.count(F.lit(1)).alias("everyone"),
-             F.coalesce(tally(recent), F.lit(0)).alias("lately"))
+        .where("customer_id IS NOT NULL")
+        .groupBy("customer_id").agg(named("max(timestamp)", "timestamp"))
+        .agg(named("count(1)", "everyone"), named(f"coalesce({tally(recent)}, 0)", "lately"))
     )
     return seen.select(
         n("everyone", "total_customers"), n("lately", f"active_last_{days}_days"),
-        pct(F.col("lately"), F.col("everyone")).alias("retention_rate_pct"),
+        rate("lately", "retention_rate_pct", "everyone"),
     )
 
 

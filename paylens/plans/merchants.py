@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import integrity
 from ..operators.ranking import top_per_group
 from ..operators.rollup import rollup, rollup_through

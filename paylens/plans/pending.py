@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions import bands
-from ..functions.calendar import clock as clock_column
-from ..functions.calendar import days_crossed
+from ..functions.calendar import clock, days_crossed
 from ..operators.rollup import Key, rollup, rollup_through
 from .catalog import report
 from .common import CUSTOMERS, TXN, desc, n, status_is, total_2dp
@@ -17,8 +14,8 @@ def pending_by_age(t, as_of=None):
     """A timestamp after the clock has a negative age and falls in the first bucket."""
     bucket = Key(
         "aging_bucket", ("timestamp",),
-        lambda: bands.below(days_crossed(F.col("timestamp"), clock_column(as_of)),
-                            bands.AGING_BANDS, bands.AGING_REST),
+        bands.below(days_crossed("timestamp", clock(as_of)), bands.AGING_BANDS,
+                    bands.AGING_REST),
     )
     return rollup(t, TXN, [bucket], "rows value", status_is("pending")).select(
         "aging_bucket", n("rows", "pending_count"), total_2dp("total_amount_at_risk")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rates import tally
 from ..model import TABLES
+from ..operators.lines import as_lines
 from ..operators.rollup import Where, rollup
 from .catalog import report
-from .common import ALERTS, TXN, desc
+from .common import ALERTS, TXN, desc, named
 
 
 def preview(t, table: str, rows: int = 10) -> DataFrame:
@@ -24,29 +24,23 @@ def column_profile(t, table: str) -> DataFrame:
     df = t.scan(table)
     types = dict(df.dtypes)
     counted = df.agg(
-        F.count(F.lit(1)).alias("rows_"), *[F.count(c).alias(f"n_{c}") for c in df.columns]
+        named("count(1)", "rows_"), *[named(f"count({c})", f"n_{c}") for c in df.columns]
     )
-    lines = F.array(*[
-        F.struct(
-            F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"),
-            F.col(f"n_{c}").alias("non_null_count"),
-            (F.col("rows_") - F.col(f"n_{c}")).alias("null_count"),
-        )
+    return as_lines(counted, [
+        {"table_name": f"'{table}'", "column_name": f"'{c}'", "data_type": f"'{types[c]}'",
+         "non_null_count": f"n_{c}", "null_count": f"rows_ - n_{c}"}
         for c in df.columns
     ])
-    return counted.select(F.inline(lines)).select(
-        F.lit(table).alias("table_name"), "column_name", "data_type", "non_null_count",
-        "null_count",
-    )
 
 
 def null_cells(t, table: str) -> DataFrame:
     """Rows and NULL cells of the whole table."""
     df = t.scan(table)
-    filled = reduce(lambda a, b: a + b, [F.count(c) for c in df.columns])
-    cells = F.count(F.lit(1)) * len(df.columns)
-    return df.agg(F.count(F.lit(1)).alias("row_count"), (cells - filled).alias("null_cells")) \
-        .select(F.lit(table).alias("table_name"), "row_count", "null_cells")
+    filled = " - ".join(f"count({c})" for c in df.columns)
+    return df.agg(
+        named(f"'{table}'", "table_name"), named("count(1)", "row_count"),
+        named(f"count(1) * {len(df.columns)} - {filled}", "null_cells"),
+    )
 
 
 def value_counts(t, table: str, column: str, where: Where | None = None) -> DataFrame:
@@ -61,11 +55,8 @@ def text_lengths(t, table: str) -> DataFrame:
     """The longest text of each text column."""
     df = t.scan(table)
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    longest = df.agg(*[F.max(F.length(c)).alias(c) for c in texts])
-    lines = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("max_length")) for c in texts
-    ])
-    return longest.select(F.inline(lines))
+    longest = df.agg(*[named(f"max(length({c}))", c) for c in texts])
+    return as_lines(longest, [{"column_name": f"'{c}'", "max_length": c} for c in texts])
 
 
 def _register(name: str) -> None:
@@ -91,20 +82,20 @@ def status_frequencies(t):
 
 @report("e24_status_where_reason_given")
 def status_where_reason_given(t):
-    given = Where(("failure_reason",), lambda: F.col("failure_reason").isNotNull())
+    given = Where(("failure_reason",), "failure_reason IS NOT NULL")
     return value_counts(t, TXN, "status", given)
 
 
 @report("e24_resolved_where_no_date")
 def resolved_where_no_date(t):
-    undated = Where(("resolution_date",), lambda: F.col("resolution_date").isNull())
+    undated = Where(("resolution_date",), "resolution_date IS NULL")
     return value_counts(t, ALERTS, "resolved", undated)
 
 
 @report("e25_null_merchants_by_type")
 def null_merchants_by_type(t):
     return t.scan(TXN, "transaction_type", "merchant_id").groupBy("transaction_type").agg(
-        F.sum(F.when(F.col("merchant_id").isNull(), 1).otherwise(0)).alias("null_merchant_ids")
+        named(tally("merchant_id IS NULL"), "null_merchant_ids")
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators.rollup import Where, rollup, rollup_through
 from .catalog import report
 from .common import MERCHANTS, TXN, desc, month, n, rate, total_2dp
@@ -30,8 +28,7 @@ def reversals_by_merchant_type(t):
 
 @report("q12_04_reversed_and_fraud")
 def reversed_and_fraud(t):
-    both = Where(("reversal_flag", "fraud_flag"),
-                 lambda: F.col("reversal_flag") & F.col("fraud_flag"))
+    both = Where(("reversal_flag", "fraud_flag"), "reversal_flag AND fraud_flag")
     return rollup(t, TXN, [], "rows value", both).select(
         n("rows", "reversed_and_fraud_count"), total_2dp("total_amount_at_risk")
     )

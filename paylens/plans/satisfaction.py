@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from ..functions.calendar import clock as clock_column
-from ..functions.calendar import days_before, days_crossed
+from ..functions.calendar import clock, days_before, days_crossed
 from ..operators.rollup import rollup, rollup_through
 from .catalog import report
-from .common import CUSTOMERS, FEEDBACK, average_score_2dp, desc, month, n, rate
+from .common import CUSTOMERS, FEEDBACK, average_score_2dp, desc, month, n, named, rate
 
 
 @report("q15_01_score_by_month")
@@ -36,12 +33,12 @@ def overdue_issues(t, as_of=None, days=30):
     late = t.scan(
         FEEDBACK, "feedback_id", "customer_id", "issue_type", "satisfaction_score",
         "date_submitted", "resolved",
-    ).where(~F.col("resolved") & (F.col("date_submitted") < days_before(as_of, days)))
-    age = days_crossed(F.col("date_submitted"), clock_column(as_of))
+    ).where(f"NOT resolved AND date_submitted < {days_before(as_of, days)}")
+    age = days_crossed("date_submitted", clock(as_of))
     owners = t.scan(CUSTOMERS, "customer_id", "full_name")
     return late.join(owners, "customer_id").select(
         "feedback_id", "customer_id", "full_name", "issue_type", "satisfaction_score",
-        "date_submitted", age.alias("days_open"),
+        "date_submitted", named(age, "days_open"),
     ).orderBy(desc("days_open"), "feedback_id")
 
 

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from ..functions.rates import fourfold, mean, money, pct, ratio
+from ..functions.rates import mean, ratio, rounded
 from ..operators.percentiles import exact_percentiles
 from ..operators.rollup import rollup, rollup_around, rollup_through
 from .catalog import report
-from .common import CUSTOMERS, DEVICES, MERCHANTS, TXN, average_2dp, desc, n, rate
+from .common import CUSTOMERS, DEVICES, MERCHANTS, TXN, average_2dp, desc, n, named, rate
 
 
 def _two_places(column, name):
-    return money(F.col(column)).alias(name)
+    return named(rounded(column), name)
 
 
 @report("q14_01_amount_by_device_type")
@@ -38,15 +36,15 @@ def amount_by_region(t):
 @report("q14_03_fraud_by_merchant_type")
 def fraud_by_merchant_type(t):
     """The standard deviation of a 0/1 flag follows from its counts."""
-    flags = F.col("fraud") + F.col("clean")
-    share = mean(F.col("fraud").cast("double"), flags)
-    variance = share * (1 - share) * flags / F.nullif(flags - 1, F.lit(0))
+    flags = "(fraud + clean)"
+    share = mean("fraud", flags)
+    variance = f"{share} * (1 - {share}) * {flags} / nullif({flags} - 1, 0)"
     return rollup_through(
         t, TXN, MERCHANTS, "merchant_id", ["merchant_type"], "rows ids fraud clean"
     ).select(
         "merchant_type", n("ids", "txn_count"), n("fraud", "fraud_count"),
-        rate("fraud", "fraud_rate_pct"), ratio(F.col("fraud"), flags, 4).alias("fraud_mean"),
-        fourfold(F.sqrt(variance)).alias("fraud_std_dev"),
+        rate("fraud", "fraud_rate_pct"), named(ratio("fraud", flags, 4), "fraud_mean"),
+        named(rounded(f"sqrt({variance})", 4), "fraud_std_dev"),
     ).orderBy(desc("fraud_rate_pct"), "merchant_type")
 
 
@@ -71,7 +69,7 @@ def customer_fraud_rate(t):
         t, CUSTOMERS, TXN, "customer_id", ["customer_id", "risk_score"], "ids fraud"
     ).select(
         "customer_id", "risk_score", n("ids", "txn_count"), n("fraud", "fraud_txns"),
-        pct(F.col("fraud"), F.col("ids")).alias("individual_fraud_rate_pct"),
+        rate("fraud", "individual_fraud_rate_pct", "ids"),
     ).orderBy(desc("risk_score"), "customer_id")
 
 
@@ -95,4 +93,4 @@ PERCENTILES = {"p25": 0.25, "p50_median": 0.50, "p75": 0.75, "p90": 0.90, "p95":
 def amount_percentiles(t, fractions=None):
     wanted = fractions or PERCENTILES
     values = exact_percentiles(t.scan(TXN, "amount"), "amount", wanted)
-    return values.select(*[money(F.col(name)).alias(name) for name in wanted])
+    return values.select(*[_two_places(name, name) for name in wanted])

@@ -60,7 +60,7 @@ def null_counts(t):
 @report("q1_12_null_reason_by_status", column="failure_reason", by="status",
         name="null_failure_reason_count")
 def nulls_by(t, column, by, name):
-    empty = Where((column,), lambda: F.col(column).isNull())
+    empty = Where((column,), f"{column} IS NULL")
     return rollup(t, TXN, [by], "rows", empty).withColumnRenamed("rows", name)
 
 
@@ -122,9 +122,9 @@ def data_quality(t):
         txns.select("customer_id"), "customer_id", customers.select("customer_id"), "customer_id")
     lost_alerts = integrity.not_in_count(
         alerts, "transaction_id", t.scan(TXN, "transaction_id"), "transaction_id")
-    missing_risk = F.coalesce(tally(F.col("risk_score").isNull()), none)
+    missing_risk = F.expr(f"coalesce({tally('risk_score IS NULL')}, 0L)")
     return (
         line(customers, CUSTOMERS, null_risk=missing_risk)
-        .unionAll(line(txns, TXN, null_amount=tally(F.col("amount").isNull()), orphan=lost_txns))
+        .unionAll(line(txns, TXN, null_amount=F.expr(tally("amount IS NULL")), orphan=lost_txns))
         .unionAll(line(alerts, ALERTS, orphan=lost_alerts))
     )

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from ..functions.rates import joined, joined_mean, money, ratio, split_sum, tally
+from ..functions.rates import rounded, split_sum, tally
 from ..operators.fanout import children, copies
 from ..operators.joins import left_lookup
 from ..operators.rollup import MONEY_DIGITS, rollup_through
 from .catalog import report
 from .common import (
-    ACCOUNTS, ALERTS, CUSTOMERS, DEVICES, FEEDBACK, MERCHANTS, TXN, average_2dp, month, n, rate,
-    total_2dp,
+    ACCOUNTS, ALERTS, CUSTOMERS, DEVICES, FEEDBACK, MERCHANTS, TXN, VALUE, average_2dp,
+    average_score_2dp, month, n, named, rate, total_2dp,
 )
 
 
@@ -70,39 +68,38 @@ def customer_360(t, exact=False):
     owners = t.scan(CUSTOMERS, "customer_id", "full_name", "age", "gender", "region",
                     "date_joined", "is_business_user", "risk_score")
     accounts = children(t.scan(ACCOUNTS, "customer_id", "upi_id"), "customer_id",
-                        account_rows=F.count(F.lit(1)), accounts=F.count_distinct("upi_id"))
+                        account_rows="count(1)", accounts="count(DISTINCT upi_id)")
     devices = children(t.scan(DEVICES, "customer_id", "device_id"), "customer_id",
-                       device_rows=F.count(F.lit(1)), devices=F.count_distinct("device_id"))
+                       device_rows="count(1)", devices="count(DISTINCT device_id)")
     feedback = children(t.scan(FEEDBACK, "customer_id", "satisfaction_score"), "customer_id",
-                        feedback_rows=F.count(F.lit(1)), score=F.sum("satisfaction_score"),
-                        scored=F.count("satisfaction_score"))
+                        feedback_rows="count(1)", score="sum(satisfaction_score)",
+                        scored="count(satisfaction_score)")
     txns = children(
         t.scan(TXN, "customer_id", "transaction_id", "amount", "fraud_flag", "status",
                "timestamp"),
-        "customer_id", txns=F.count("transaction_id"), priced=F.count("amount"),
-        fraud=tally(F.col("fraud_flag")), failed=tally(F.col("status") == "failed"),
-        latest=F.max("timestamp"), **split_sum(F.col("amount"), "value", MONEY_DIGITS),
+        "customer_id", txns="count(transaction_id)", priced="count(amount)",
+        fraud=tally("fraud_flag"), failed=tally("status = 'failed'"), latest="max(timestamp)",
+        **split_sum("amount", "value", MONEY_DIGITS),
     )
-    times = F.lit(1.0) if exact else copies("account_rows", "device_rows", "feedback_rows")
-    value = joined("value", MONEY_DIGITS)
+    times = "1.0D" if exact else copies("account_rows", "device_rows", "feedback_rows")
     joined_up = owners
     for child in (accounts, devices, txns, feedback):
         joined_up = joined_up.join(child, "customer_id", "left")
 
     def counted(column, name):
-        return (F.coalesce(column, F.lit(0)) * times).alias(name)
+        return named(f"coalesce({column}, 0) * {times}", name)
 
     return joined_up.select(
         *owners.columns,
-        F.coalesce("accounts", F.lit(0)).alias("upi_account_count"),
-        F.coalesce("devices", F.lit(0)).alias("device_count"),
+        named("coalesce(accounts, 0)", "upi_account_count"),
+        named("coalesce(devices, 0)", "device_count"),
         counted("txns", "total_txns"),
-        money(value * times).alias("total_txn_amount"),
-        joined_mean("value", MONEY_DIGITS, F.col("priced"), 2).alias("avg_txn_amount"),
+        named(rounded(f"{VALUE} * {times}"), "total_txn_amount"),
+        average_2dp("avg_txn_amount"),
         counted("fraud", "fraud_txns"),
         counted("failed", "failed_txns"),
-        ratio(F.col("score"), F.col("scored"), 2).alias("avg_satisfaction_score"),
-        F.col("latest").alias("last_transaction_date"),
+        average_score_2dp("avg_satisfaction_score"),
+        named("latest", "last_transaction_date"),
     )
 
 

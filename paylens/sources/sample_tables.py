@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..tables import Tables
 
@@ -97,6 +98,9 @@ _FEEDBACK = {
 }
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class SampleTables(Tables):
     def __init__(self, spark: SparkSession, folder: str):
         self._spark, self._folder = spark, folder
@@ -118,7 +122,11 @@ class SampleTables(Tables):
         }[name]
 
     def _read(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        """The schema is read from a file footer once per path, not once per query."""
+        path = f"{self._folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self._spark.read.parquet(path).schema
+        return self._spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def _project(self, df: DataFrame, name: str, columns) -> DataFrame:
         known = self._expressions(name)
