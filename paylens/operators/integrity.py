@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import tally
+from .joins import rows_with_key_in
 
 
 def unmatched_keys(child: DataFrame, on: str, parent: DataFrame, parent_on: str) -> DataFrame:
@@ -20,11 +21,8 @@ def unmatched_keys(child: DataFrame, on: str, parent: DataFrame, parent_on: str)
     unmatched.
     """
     per_key = child.groupBy(F.col(on).alias(on)).agg(F.count(F.lit(1)).alias("n"))
-    present = (
-        parent.select(F.col(parent_on).alias(on))
-        .join(per_key.select(on), on, "left_semi")
-        .distinct()
-    )
+    parents = parent.select(F.col(parent_on).alias(on))
+    present = rows_with_key_in(parents, per_key.select(on), on).distinct()
     return per_key.join(present, on, "left_anti")
 
 

@@ -5,9 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sizing import fits_broadcast
+
 _SPREAD = 1 << 16
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if its size allows, otherwise as it is."""
+    return F.broadcast(df) if fits_broadcast(df) else df
+
+
+def rows_with_key_in(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of a large table whose key occurs in a smaller one.
+
+    A semi join with the large table on the streamed side: few keys are
+    broadcast, many are shuffled, and a hot key of the large table can be split.
+    """
+    return big.join(small(keys), on, "left_semi")
+
+
 def left_lookup(df: DataFrame, lookup: DataFrame, on: str, spread_by: str) -> DataFrame:
     """Left join on a column that is often NULL.
 

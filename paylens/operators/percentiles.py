@@ -19,13 +19,12 @@ _CLASSES = range(16, 61, _STEP)
 _UNIT = "10000.0D"
 
 
-def _bucket(value: str) -> str:
+def _bucket(value: str, units: str) -> str:
     """A monotone bucket number in integer arithmetic; about 50,000 per sign.
 
     Bucket width follows magnitude, as in a logarithmic histogram with linear
     steps, so small and large values are both resolved to better than 0.4 %.
     """
-    units = f"CAST(rint(abs({value}) * {_UNIT}) AS BIGINT)"
     cases = " ".join(
         f"WHEN {units} < {1 << bits}L THEN shiftright({units}, {bits - _FINE})"
         f" + {rank * (1 << _FINE)}L"
@@ -44,7 +43,8 @@ def exact_percentiles(df: DataFrame, column: str, wanted: dict[str, float]) -> D
     """
     names = list(wanted)
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    values = values.select("v", F.expr(_bucket("v")).alias("bucket"))
+    values = values.selectExpr("v", f"CAST(rint(abs(v) * {_UNIT}) AS BIGINT) AS units")
+    values = values.select("v", F.expr(_bucket("v", "units")).alias("bucket"))
 
     # The histogram has a bounded number of rows, so an ordered running total is cheap.
     counted = values.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -67,7 +67,7 @@ def exact_percentiles(df: DataFrame, column: str, wanted: dict[str, float]) -> D
     ).select("bucket", "first", "r.*")
 
     # At most two buckets per percentile, hence a broadcast of known size.
-    touched = F.broadcast(targets.select("bucket").distinct())
+    touched = F.broadcast(targets.select("bucket"))
     inside = (
         values.join(touched, "bucket", "left_semi")
         .groupBy("bucket", "v").agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ from ..functions import bands
 from ..functions.calendar import hours_crossed
 from ..functions.rates import tally, whole_div
 from ..operators.fanout import children
+from ..operators.joins import rows_with_key_in
 from ..operators.percentiles import exact_percentiles
 from ..operators.rollup import Key, rollup, rollup_through
 from .catalog import report
@@ -149,7 +150,11 @@ def flagged_and_alerted(t):
         .groupBy("transaction_id").agg(F.bool_or("fraud_flag").alias("flagged"))
     )
     alerts = t.scan(ALERTS, "transaction_id", "alert_id")
-    matched = alerts.join(txns, "transaction_id", "left_semi")
+    alerted = rows_with_key_in(
+        t.scan(TXN, "transaction_id"), alerts.select("transaction_id").distinct(),
+        "transaction_id",
+    ).distinct()
+    matched = alerts.join(alerted, "transaction_id", "left_semi")
     alert_count = matched.agg(F.count_distinct("alert_id")).scalar()
     return txns.agg(
         named("count(1)", "all_txns"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import TABLES
+from ..operators.joins import small
 from ..session import shared_folder
 from . import files
 
@@ -43,7 +44,7 @@ def new_rows(incoming: DataFrame, stored_keys: DataFrame, key: str) -> DataFrame
     batch = incoming.select(F.col(key).alias("batch_key")).distinct()
     stored = stored_keys.select(F.col(key).alias("stored_key"))
     present = stored.join(
-        batch, F.col("stored_key").eqNullSafe(F.col("batch_key")), "left_semi"
+        small(batch), F.col("stored_key").eqNullSafe(F.col("batch_key")), "left_semi"
     ).distinct()
     return incoming.join(present, F.col(key).eqNullSafe(F.col("stored_key")), "left_anti")
 
