@@ -131,7 +131,8 @@ def money_avg_2dp(column: str = "amount", count: str = "") -> str:
     """Halves away from zero, in whole hundredths."""
     count = count or f"count({column})"
     cents = f"CAST(sum(CAST({column} AS DECIMAL(18, 2))) * 100 AS HUGEINT)"
-    return f"CAST((2 * {cents} + {count}) // (2 * nullif({count}, 0)) AS DOUBLE) / 100"
+    size = f"CAST((2 * abs({cents}) + {count}) // (2 * nullif({count}, 0)) AS DOUBLE) / 100"
+    return f"sign({cents}) * {size}"
 
 
 def score_avg_2dp(column: str = "satisfaction_score") -> str:

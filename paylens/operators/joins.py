@@ -28,8 +28,11 @@ def left_lookup(df: DataFrame, lookup: DataFrame, on: str, spread_by: str) -> Da
     """Left join on a column that is often NULL.
 
     Rows without a key match nothing, yet would all hash to one partition. A
-    second join column, which is 0 for every row that can match, spreads them.
+    second join column, which is 0 for every row that can match, spreads them. A small
+    lookup is broadcast and needs none of this.
     """
+    if fits_broadcast(lookup):
+        return df.join(F.broadcast(lookup), on, "left")
     spread = F.when(F.col(on).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(_SPREAD)))
     left = df.withColumn("spread_", F.coalesce(spread, F.lit(0).cast("bigint")))
     right = lookup.withColumn("spread_", F.lit(0).cast("bigint"))

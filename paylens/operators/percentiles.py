@@ -13,26 +13,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_STEP = 4  # a bucket class spans a factor of 2**4
-_FINE = 12  # each class is cut into at most 2**12 buckets
-_CLASSES = range(16, 61, _STEP)
+_FINE = 10  # 2**10 buckets per doubling of the value
 _UNIT = "10000.0D"
 
 
-def _bucket(value: str, units: str) -> str:
-    """A monotone bucket number in integer arithmetic; about 50,000 per sign.
+def _with_bucket(values: DataFrame) -> DataFrame:
+    """Adds a bucket number that never falls as ``v`` rises; at most 60,000 per sign.
 
-    Bucket width follows magnitude, as in a logarithmic histogram with linear
-    steps, so small and large values are both resolved to better than 0.4 %.
+    As in a logarithmic histogram with linear steps, width follows magnitude, so
+    small and large values are both resolved to 0.1 %. Where ``doubling`` is one
+    off next to a power of two, the number comes out the same.
     """
-    cases = " ".join(
-        f"WHEN {units} < {1 << bits}L THEN shiftright({units}, {bits - _FINE})"
-        f" + {rank * (1 << _FINE)}L"
-        for rank, bits in enumerate(_CLASSES)
-    )
-    top = len(_CLASSES) * (1 << _FINE)
-    place = f"CASE {cases} ELSE shiftright({units}, {60 - _FINE}) + {top}L END"
-    return f"CASE WHEN {value} < 0 THEN -({place}) - 1 ELSE {place} END"
+    units = values.selectExpr("v", f"CAST(rint(abs(v) * {_UNIT}) AS BIGINT) AS units")
+    scaled = units.selectExpr("v", "units", "CAST(log2(units + 1.0D) AS INT) AS doubling")
+    place = (f"(doubling * {1 << _FINE}L"
+             f" + shiftright(units, greatest(doubling - {_FINE}, 0)))")
+    return scaled.selectExpr("v", f"IF(v < 0, -1, 1) * {place} - IF(v < 0, 1, 0) AS bucket")
 
 
 def exact_percentiles(df: DataFrame, column: str, wanted: dict[str, float]) -> DataFrame:
@@ -43,8 +39,7 @@ def exact_percentiles(df: DataFrame, column: str, wanted: dict[str, float]) -> D
     """
     names = list(wanted)
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    values = values.selectExpr("v", f"CAST(rint(abs(v) * {_UNIT}) AS BIGINT) AS units")
-    values = values.select("v", F.expr(_bucket("v", "units")).alias("bucket"))
+    values = _with_bucket(values)
 
     # The histogram has a bounded number of rows, so an ordered running total is cheap.
     counted = values.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))

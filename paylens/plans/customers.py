@@ -6,6 +6,7 @@ from ..functions import bands
 from ..functions.calendar import months_before
 from ..functions.rates import mean, whole_div
 from ..operators import integrity
+from ..operators.joins import small
 from ..operators.rollup import Key, rollup, rollup_around
 from .catalog import report
 from .common import (
@@ -80,7 +81,7 @@ def unhappy_customers(t, worst=2):
         "date_submitted",
     ).where(f"satisfaction_score <= {int(worst)} AND NOT resolved")
     owners = t.scan(CUSTOMERS, "customer_id", "full_name", "region")
-    return bad.join(owners, "customer_id").orderBy(desc("date_submitted"), "feedback_id").select(
+    return bad.join(small(owners), "customer_id").orderBy(desc("date_submitted"), "feedback_id").select(
         "customer_id", "full_name", "region", "issue_type", "satisfaction_score", "resolved",
         "date_submitted",
     )

@@ -60,11 +60,12 @@ def customers_needing_action(t, top=20, exact=False):
     every = "1.0D" if exact else copies("feedback")
     return (
         per_customer.join(owners, "customer_id").join(scores, "customer_id", "left")
-        .select(
-            "customer_id", "full_name", "region", "risk_score", "is_business_user",
-            named(f"txns * {every}", "total_txns"), named(f"fraud * {every}", "fraud_txns"),
-            named(f"failed * {every}", "failed_txns"),
-            named(f"alerts * {every}", "fraud_alerts"), average_score("avg_satisfaction"),
+        .select("*", average_score("mean_score"))
+        .groupBy(*owners.columns).agg(  # merges repeated customer rows
+            *[named(f"sum({count} * {every})", name) for count, name in (
+                ("txns", "total_txns"), ("fraud", "fraud_txns"), ("failed", "failed_txns"),
+                ("alerts", "fraud_alerts"))],
+            named("max(mean_score)", "avg_satisfaction"),
         )
         .orderBy(desc("fraud_alerts"), desc("risk_score"), "customer_id").limit(top)
     )

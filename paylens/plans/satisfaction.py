@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.calendar import clock, days_before, days_crossed
+from ..operators.joins import small
 from ..operators.rollup import rollup, rollup_through
 from .catalog import report
 from .common import CUSTOMERS, FEEDBACK, average_score_2dp, desc, month, n, named, rate
@@ -36,7 +37,7 @@ def overdue_issues(t, as_of=None, days=30):
     ).where(f"NOT resolved AND date_submitted < {days_before(as_of, days)}")
     age = days_crossed("date_submitted", clock(as_of))
     owners = t.scan(CUSTOMERS, "customer_id", "full_name")
-    return late.join(owners, "customer_id").select(
+    return late.join(small(owners), "customer_id").select(
         "feedback_id", "customer_id", "full_name", "issue_type", "satisfaction_score",
         "date_submitted", named(age, "days_open"),
     ).orderBy(desc("days_open"), "feedback_id")

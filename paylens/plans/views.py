@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.rates import rounded, split_sum, tally
 from ..operators.fanout import children, copies
-from ..operators.joins import left_lookup
+from ..operators.joins import left_lookup, small
 from ..operators.rollup import MONEY_DIGITS, rollup_through
 from .catalog import report
 from .common import (
@@ -45,7 +45,7 @@ def fraud_analyst(t):
     alerts = alerts.withColumnRenamed("resolved", "alert_resolved")
     shops = t.scan(MERCHANTS, "merchant_id", "merchant_name", "merchant_type", "risk_score")
     shops = shops.withColumnRenamed("risk_score", "merchant_risk_score")
-    rows = txns.join(owners, "customer_id").join(devices, "device_id")
+    rows = txns.join(small(owners), "customer_id").join(small(devices), "device_id")
     rows = rows.join(alerts, "transaction_id", "left")
     return left_lookup(rows, shops, "merchant_id", spread_by="transaction_id").select(
         "transaction_id", "customer_id", "full_name", "region", "customer_risk_score", "amount",
@@ -87,19 +87,22 @@ def customer_360(t, exact=False):
         joined_up = joined_up.join(child, "customer_id", "left")
 
     def counted(column, name):
-        return named(f"coalesce({column}, 0) * {times}", name)
+        return named(f"sum(coalesce({column}, 0) * {times})", name)
 
-    return joined_up.select(
-        *owners.columns,
-        named("coalesce(accounts, 0)", "upi_account_count"),
-        named("coalesce(devices, 0)", "device_count"),
+    # Merges repeated customer rows; the rows of a customer are already together.
+    per_customer = joined_up.select(
+        "*", average_2dp("mean_amount"), average_score_2dp("mean_score")
+    )
+    return per_customer.groupBy(*owners.columns).agg(
+        named("coalesce(max(accounts), 0)", "upi_account_count"),
+        named("coalesce(max(devices), 0)", "device_count"),
         counted("txns", "total_txns"),
-        named(rounded(f"{VALUE} * {times}"), "total_txn_amount"),
-        average_2dp("avg_txn_amount"),
+        named(rounded(f"sum({VALUE} * {times})"), "total_txn_amount"),
+        named("max(mean_amount)", "avg_txn_amount"),
         counted("fraud", "fraud_txns"),
         counted("failed", "failed_txns"),
-        average_score_2dp("avg_satisfaction_score"),
-        named("latest", "last_transaction_date"),
+        named("max(mean_score)", "avg_satisfaction_score"),
+        named("max(latest)", "last_transaction_date"),
     )
 
 

@@ -87,7 +87,7 @@ def load(
     rows = fresh.withColumn(STAMP, F.current_timestamp().cast("timestamp_ntz"))
     rows = rows.withColumn(BATCH, F.lit(batch)).observe(written, F.count(F.lit(1)).alias("n"))
     if table.sort_by:  # narrow value ranges per row group, so that readers can skip
-        rows = rows.sortWithinPartitions(*table.sort_by)
+        rows = rows.sortWithinPartitions(BATCH, *table.sort_by)
     (
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(BATCH).parquet(path)

@@ -25,7 +25,10 @@ class Tables:
     @classmethod
     def stored(cls, spark: SparkSession, folder: str) -> Tables:
         """Tables written by ``sources.store``."""
-        return cls({name: spark.read.parquet(f"{folder}/{name}") for name in TABLES})
+        return cls({
+            name: spark.read.schema(table.schema).parquet(f"{folder}/{name}")
+            for name, table in TABLES.items()
+        })
 
     def columns(self, name: str) -> list[str]:
         present = self._frames[name].columns
