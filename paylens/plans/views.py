@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.rates import rounded, split_sum, tally
 from ..operators.fanout import children, copies
-from ..operators.joins import left_lookup, small
+from ..operators.joins import left_join_many, left_lookup, small
 from ..operators.rollup import MONEY_DIGITS, rollup_through
 from .catalog import report
 from .common import (
@@ -46,7 +46,7 @@ def fraud_analyst(t):
     shops = t.scan(MERCHANTS, "merchant_id", "merchant_name", "merchant_type", "risk_score")
     shops = shops.withColumnRenamed("risk_score", "merchant_risk_score")
     rows = txns.join(small(owners), "customer_id").join(small(devices), "device_id")
-    rows = rows.join(alerts, "transaction_id", "left")
+    rows = left_join_many(rows, alerts, "transaction_id")
     return left_lookup(rows, shops, "merchant_id", spread_by="transaction_id").select(
         "transaction_id", "customer_id", "full_name", "region", "customer_risk_score", "amount",
         "transaction_type", "channel", "device_type", "is_rooted", "status", "fraud_flag",
