@@ -9,21 +9,22 @@ from pyspark.sql import functions as F
 
 from ..functions.rates import tally
 from .joins import rows_with_key_in
+from .sizing import fits_broadcast
 
 
 def unmatched_keys(child: DataFrame, on: str, parent: DataFrame, parent_on: str) -> DataFrame:
     """Child keys without a parent, with their row counts (``on``, ``n``).
 
     The child is reduced to one row per key before the join, so a hot key costs
-    nothing. The parent is first cut down to the child's keys with a semi join
-    (its rows stream through, so adaptive execution can split a hot key there),
-    which keeps repeated parent keys out of the anti join. NULL keys stay
-    unmatched.
+    nothing, and repeated parent keys are reduced likewise. If the child is
+    small, its keys are broadcast and the parent is filtered without a shuffle.
+    NULL keys stay unmatched.
     """
     per_key = child.groupBy(F.col(on).alias(on)).agg(F.count(F.lit(1)).alias("n"))
     parents = parent.select(F.col(parent_on).alias(on))
-    present = rows_with_key_in(parents, per_key.select(on), on).distinct()
-    return per_key.join(present, on, "left_anti")
+    if fits_broadcast(child):
+        parents = rows_with_key_in(parents, per_key.select(on), on)
+    return per_key.join(parents.distinct(), on, "left_anti")
 
 
 def orphans(
