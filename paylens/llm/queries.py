@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard_join import jaccard_components
+from .mixing import mixed
 from .quality_rules import measured
 from .queries_sql import QUALITY_RULES
 
@@ -40,3 +41,9 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op10_quality_rules"] = QUALITY_RULES
+
+
+@_query("op4_source_mixing")
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixed(docs).select("row_.doc_id", "row_.source", "block", "slot", "place")
