@@ -10,6 +10,8 @@ from .jaccard_join import jaccard_components
 from .mixing import mixed
 from .quality_rules import measured
 from .queries_sql import QUALITY_RULES
+from .sentence_pieces import digests, piece_model
+from .substring_dedup import repeated_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,3 +49,13 @@ SQL["op10_quality_rules"] = QUALITY_RULES
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixed(docs).select("row_.doc_id", "row_.source", "block", "slot", "place")
+
+
+@_query("op6_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"), min_words=50, percent=80)
+
+
+@_query("op3_sentence_pieces")
+def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(_table(spark, sf_dir, "documents"), piece_model())

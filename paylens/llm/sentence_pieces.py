@@ -201,6 +201,13 @@ class Search:
         return text[1:] if text.startswith(" ") else text
 
 
+def piece_model() -> str:
+    """The installed public vocabulary that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 _SEARCHES: dict[str, Search] = {}  # one per worker and vocabulary file
 
 
