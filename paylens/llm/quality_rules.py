@@ -42,24 +42,36 @@ FENCES = (
 )
 
 
-def _light(docs: DataFrame) -> DataFrame:
+def _let(name: str, value: str, body: str) -> str:
+    """SQL in which ``name`` stands for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _computed(df: DataFrame, kept: Sequence[str], made: str) -> DataFrame:
+    """Columns ``kept`` and the fields of the struct ``made``.
+
+    The generator is a barrier: a later filter on a field is not pushed below it,
+    where it would compute the struct anew for every mention of a field.
+    """
+    return df.select(*kept, F.explode(F.array(F.expr(made))).alias("m_")).select(*kept, "m_.*")
+
+
+def _light(docs: DataFrame, with_words: bool) -> DataFrame:
     """``row_`` (all columns), and the measures that need no windows of words."""
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"),
                      F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
-    df = df.withColumn("words", F.expr(r"regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+', 0)"))
-    df = df.withColumn("lines", F.expr(
-        f"filter(split(body, '\\n', -1), l -> translate(l, {_BLANKS}, '') <> '')"))
-    return df.select(
-        "row_", "words",
-        F.expr("CAST(size(words) AS BIGINT)").alias("n_words"),
-        F.expr(f"CAST(length(translate(body, {_BLANKS}, '')) AS BIGINT)").alias("word_chars"),
-        F.expr("CAST(length(body) - length(translate(body, '#*$%&|<>', '')) AS BIGINT)")
-        .alias("n_symbols"),
-        F.expr("CAST(length(body) - length(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))"
-               " AS BIGINT)").alias("n_capitals"),
-        F.expr("CAST(size(lines) AS BIGINT)").alias("n_lines"),
-        F.expr("CAST(size(lines) - size(array_distinct(lines)) AS BIGINT)").alias("n_dup_lines"),
-    )
+    capitals = "translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')"
+    made = f"""struct({"words," if with_words else ""}
+        CAST(size(words) AS BIGINT) AS n_words,
+        CAST(length(translate(body, {_BLANKS}, '')) AS BIGINT) AS word_chars,
+        CAST(length(body) - length(translate(body, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+        CAST(length(body) - length({capitals}) AS BIGINT) AS n_capitals,
+        CAST(size(lines) AS BIGINT) AS n_lines,
+        CAST(size(lines) - size(array_distinct(lines)) AS BIGINT) AS n_dup_lines)"""
+    made = _let("lines", f"filter(split(body, '\\n', -1), l -> translate(l, {_BLANKS}, '') <> '')",
+                made)
+    made = _let("words", r"regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+', 0)", made)
+    return _computed(df, ["row_"], made)
 
 
 def _with_repeats(df: DataFrame) -> DataFrame:
@@ -67,25 +79,24 @@ def _with_repeats(df: DataFrame) -> DataFrame:
 
     Window hashes come from hashes of one, two and four words, by doubling.
     """
-    def joined(half: str, step: int, count: int) -> str:
-        return (f"CASE WHEN n_words >= 8 THEN zip_with(slice({half}, 1, size(words) - {count}),"
-                f" slice({half}, {1 + step}, size(words) - {count}), (a, b) -> xxhash64(a, b))"
-                " ELSE array() END")
-
-    df = df.withColumn("one", F.expr("transform(words, w -> xxhash64(w))"))
-    df = df.withColumn("two", F.expr(joined("one", 1, 1)))
-    df = df.withColumn("four", F.expr(joined("two", 2, 3)))
-    df = df.withColumn("eight", F.expr(joined("four", 4, 7)))
-    df = df.withColumn("spots", F.expr(
-        "CASE WHEN size(array_distinct(eight)) < size(eight)"
-        " THEN sort_array(transform(eight, (h, i) -> struct(h AS h, i AS i))) END"))
-    df = df.withColumn("again", F.expr(
-        "sort_array(filter(transform(spots, (s, k) -> CASE WHEN get(spots, k - 1).h <=> s.h"
-        " OR get(spots, k + 1).h <=> s.h THEN s.i ELSE -1 END), i -> i >= 0))"))
-    return df.withColumn("n_repeat_words", F.expr(
-        "coalesce(aggregate(again, struct(-8 AS last, 0L AS n),"
-        " (a, i) -> struct(i AS last, a.n + least(8, i - a.last) AS n), a -> a.n), 0L)"
-    )).drop("words", "one", "two", "four", "eight", "spots", "again")
+    def doubled(half: str, step: int, count: int) -> str:
+        return (f"zip_with(slice({half}, 1, size(words) - {count}),"
+                f" slice({half}, {1 + step}, size(words) - {count}), (a, b) -> xxhash64(a, b))")
+
+    covered = ("aggregate(again, struct(-8 AS last, 0L AS n),"
+               " (a, i) -> struct(i AS last, a.n + least(8, i - a.last) AS n), a -> a.n)")
+    again = ("sort_array(filter(transform(spots, (s, k) -> CASE WHEN get(spots, k - 1).h <=> s.h"
+             " OR get(spots, k + 1).h <=> s.h THEN s.i ELSE -1 END), i -> i >= 0))")
+    spots = "sort_array(transform(eight, (h, i) -> struct(h AS h, i AS i)))"
+    count = _let("spots", spots, _let("again", again, covered))
+    count = f"CASE WHEN size(array_distinct(eight)) < size(eight) THEN {count} ELSE 0L END"
+    count = _let("eight", doubled("four", 4, 7), count)
+    count = _let("four", doubled("two", 2, 3), count)
+    count = _let("two", doubled("one", 1, 1), count)
+    count = _let("one", "transform(words, w -> xxhash64(w))", count)
+    count = f"CASE WHEN size(words) >= 8 THEN {count} ELSE 0L END"
+    rest = [c for c in df.columns if c != "words"]
+    return _computed(df, rest, f"struct({count} AS n_repeat_words)")
 
 
 def _per_mille(fence: Fence) -> str:
@@ -147,11 +158,10 @@ def measured(docs: DataFrame, fences: Sequence[Fence] = FENCES, min_rows: int =
     their own. Repeated rows each count. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    light = _light(docs)
-    limits = scratch.save(_thresholds(light.drop("words"), fences, min_rows), "fences")
+    limits = scratch.save(_thresholds(_light(docs, False), fences, min_rows), "fences")
     if limits.count() <= _BROADCAST_GROUPS:  # else a shuffled join, which can be split
         limits = F.broadcast(limits)
-    full = _with_repeats(light)
+    full = _with_repeats(_light(docs, True))
     met = full.join(
         limits, F.expr("CAST(row_.lang AS STRING) <=> lang_ AND"
                        " CAST(row_.source AS STRING) <=> source_"), "left")
