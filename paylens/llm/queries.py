@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_components
+from .language_id import HELD_OUT, identified, train
 from .mixing import mixed
 from .quality_rules import measured
 from .queries_sql import QUALITY_RULES
@@ -59,3 +61,11 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op3_sentence_pieces")
 def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), piece_model())
+
+
+@_query("op2_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs.where(f"NOT coalesce({HELD_OUT}, false)"))
+    return identified(docs, model).select(
+        "doc_id", F.expr(f"coalesce({HELD_OUT}, false)").alias("held_out"), "lang_pred", "score")
