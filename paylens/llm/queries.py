@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .jaccard_join import jaccard_components
 from .language_id import HELD_OUT, identified, train
 from .mixing import mixed
+from .perplexity import classified
 from .quality_rules import measured
 from .queries_sql import QUALITY_RULES
 from .sentence_pieces import digests, piece_model
@@ -69,3 +70,8 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs.where(f"NOT coalesce({HELD_OUT}, false)"))
     return identified(docs, model).select(
         "doc_id", F.expr(f"coalesce({HELD_OUT}, false)").alias("held_out"), "lang_pred", "score")
+
+
+@_query("op9_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
