@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .expressions import computed, let
 from .scratch import Scratch
 
 _BLANKS = r"' \t\n\u000B\u000C\r'"
@@ -42,20 +43,6 @@ FENCES = (
 )
 
 
-def _let(name: str, value: str, body: str) -> str:
-    """SQL in which ``name`` stands for a value that is computed once."""
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
-def _computed(df: DataFrame, kept: Sequence[str], made: str) -> DataFrame:
-    """Columns ``kept`` and the fields of the struct ``made``.
-
-    The generator is a barrier: a later filter on a field is not pushed below it,
-    where it would compute the struct anew for every mention of a field.
-    """
-    return df.select(*kept, F.explode(F.array(F.expr(made))).alias("m_")).select(*kept, "m_.*")
-
-
 def _light(docs: DataFrame, with_words: bool) -> DataFrame:
     """``row_`` (all columns), and the measures that need no windows of words."""
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"),
@@ -68,10 +55,10 @@ def _light(docs: DataFrame, with_words: bool) -> DataFrame:
         CAST(length(body) - length({capitals}) AS BIGINT) AS n_capitals,
         CAST(size(lines) AS BIGINT) AS n_lines,
         CAST(size(lines) - size(array_distinct(lines)) AS BIGINT) AS n_dup_lines)"""
-    made = _let("lines", f"filter(split(body, '\\n', -1), l -> translate(l, {_BLANKS}, '') <> '')",
+    made = let("lines", f"filter(split(body, '\\n', -1), l -> translate(l, {_BLANKS}, '') <> '')",
                 made)
-    made = _let("words", r"regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+', 0)", made)
-    return _computed(df, ["row_"], made)
+    made = let("words", r"regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+', 0)", made)
+    return computed(df, ["row_"], made)
 
 
 def _with_repeats(df: DataFrame) -> DataFrame:
@@ -88,15 +75,15 @@ def _with_repeats(df: DataFrame) -> DataFrame:
     again = ("sort_array(filter(transform(spots, (s, k) -> CASE WHEN get(spots, k - 1).h <=> s.h"
              " OR get(spots, k + 1).h <=> s.h THEN s.i ELSE -1 END), i -> i >= 0))")
     spots = "sort_array(transform(eight, (h, i) -> struct(h AS h, i AS i)))"
-    count = _let("spots", spots, _let("again", again, covered))
+    count = let("spots", spots, let("again", again, covered))
     count = f"CASE WHEN size(array_distinct(eight)) < size(eight) THEN {count} ELSE 0L END"
-    count = _let("eight", doubled("four", 4, 7), count)
-    count = _let("four", doubled("two", 2, 3), count)
-    count = _let("two", doubled("one", 1, 1), count)
-    count = _let("one", "transform(words, w -> xxhash64(w))", count)
+    count = let("eight", doubled("four", 4, 7), count)
+    count = let("four", doubled("two", 2, 3), count)
+    count = let("two", doubled("one", 1, 1), count)
+    count = let("one", "transform(words, w -> xxhash64(w))", count)
     count = f"CASE WHEN size(words) >= 8 THEN {count} ELSE 0L END"
     rest = [c for c in df.columns if c != "words"]
-    return _computed(df, rest, f"struct({count} AS n_repeat_words)")
+    return computed(df, rest, f"struct({count} AS n_repeat_words)")
 
 
 def _per_mille(fence: Fence) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_components
 from .language_id import HELD_OUT, identified, train
+from .license_scan import scanned
 from .mixing import mixed
 from .perplexity import classified
 from .quality_rules import measured
@@ -75,3 +76,10 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_quality_classifier")
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op5_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "row_.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels",
+        "score")
