@@ -16,6 +16,7 @@ from .quality_rules import measured
 from .queries_sql import QUALITY_RULES
 from .sentence_pieces import digests, piece_model
 from .substring_dedup import repeated_passages
+from .token_files import token_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,3 +84,11 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "row_.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels",
         "score")
+
+
+@_query("op8_token_files")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    return token_index(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
