@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .block_search import top_products
 from .jaccard_join import jaccard_components
 from .language_id import HELD_OUT, identified, train
 from .license_scan import scanned
 from .mixing import mixed
 from .perplexity import classified
 from .quality_rules import measured
-from .queries_sql import QUALITY_RULES
+from .queries_sql import BLOCK_SEARCH, QUALITY_RULES
 from .sentence_pieces import digests, piece_model
 from .substring_dedup import repeated_passages
 from .token_files import token_index
@@ -92,3 +93,11 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     return token_index(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+@_query("op7_block_search")
+def block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+SQL["op7_block_search"] = BLOCK_SEARCH
