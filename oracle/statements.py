@@ -259,7 +259,7 @@ def _people() -> dict[str, str]:
         "q6_02_activity_segments": query(
             f"({per_customer})", {"activity_segment": segment}, customer_count=ROWS,
             avg_txns=whole_avg("n"),
-            avg_total_amount="CAST(sum(CAST(s AS DECIMAL(18, 2))) AS DOUBLE) / count(s)"),
+            avg_total_amount=money_avg("s")),
         "q6_04_new_vs_existing": query(
             C_T, {"customer_type": f"{joined} THEN 'New Customer' ELSE 'Existing Customer' END"},
             customer_count="count(DISTINCT c.customer_id)", total_txns=IDS,
@@ -309,9 +309,6 @@ def _executive() -> dict[str, str]:
     chain = (f"{C_T} LEFT JOIN {FA} fa ON fa.transaction_id = t.transaction_id"
              f" LEFT JOIN {F} f ON f.customer_id = c.customer_id")
 
-    def dbl(expr):
-        return f"CAST({expr} AS DOUBLE)"
-
     def card(source, key, ident, count, risk):
         return query(
             source, [key], total_txns=IDS, total_amount=r2(money_sum()),
@@ -327,8 +324,8 @@ def _executive() -> dict[str, str]:
         "q9_02_customers_needing_action": query(
             chain, person, having=f"{tally(FRAUD)} > 0", limit=20,
             order="fraud_alerts DESC, risk_score DESC, c.customer_id",
-            total_txns=dbl("count(t.transaction_id)"), fraud_txns=dbl(tally(FRAUD)),
-            failed_txns=dbl(tally(FAILED)), fraud_alerts=dbl("count(alert_id)"),
+            total_txns="count(t.transaction_id)", fraud_txns=tally(FRAUD),
+            failed_txns=tally(FAILED), fraud_alerts="count(alert_id)",
             avg_satisfaction=score_avg()),
         "q9_03_region_scorecard": card(
             C_T, "region", "c.customer_id", "total_customers", "avg_customer_risk_score"),
@@ -524,9 +521,9 @@ def _feedback_and_views() -> dict[str, str]:
         "q16_03_vw_customer_360": query(
             chain, person, upi_account_count="count(DISTINCT a.upi_id)",
             device_count="count(DISTINCT d.device_id)",
-            total_txns=f"CAST({IDS} AS DOUBLE)", total_txn_amount=r2(money_sum()),
-            avg_txn_amount=money_avg_2dp(), fraud_txns=f"CAST({tally(FRAUD)} AS DOUBLE)",
-            failed_txns=f"CAST({tally("t.status = 'failed'")} AS DOUBLE)",
+            total_txns=IDS, total_txn_amount=r2(money_sum()),
+            avg_txn_amount=money_avg_2dp(), fraud_txns=tally(FRAUD),
+            failed_txns=tally("t.status = 'failed'"),
             avg_satisfaction_score=score, last_transaction_date="max(timestamp)"),
     }
 

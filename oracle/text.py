@@ -107,7 +107,13 @@ def rate(condition: str, whole: str = ROWS) -> str:
 
 
 def money_sum(column: str = "amount") -> str:
-    return f"CAST(sum(CAST({column} AS DECIMAL(18, 2))) AS DOUBLE)"
+    """Hundredths exactly; what is smaller is summed apart and added."""
+    return _split(column, 2)
+
+
+def _split(column: str, digits: int) -> str:
+    fixed = f"CAST({column} AS DECIMAL(18, {digits}))"
+    return f"(CAST(sum({fixed}) AS DOUBLE) + sum({column} - CAST({fixed} AS DOUBLE)))"
 
 
 def money_avg(column: str = "amount") -> str:
@@ -115,8 +121,7 @@ def money_avg(column: str = "amount") -> str:
 
 
 def risk_avg(column: str = "risk_score") -> str:
-    return (f"CAST(sum(CAST({column} AS DECIMAL(18, 10))) AS DOUBLE)"
-            f" / nullif(count({column}), 0)")
+    return f"{_split(column, 10)} / nullif(count({column}), 0)"
 
 
 def score_avg(column: str = "satisfaction_score") -> str:
@@ -132,7 +137,9 @@ def money_avg_2dp(column: str = "amount", count: str = "") -> str:
     count = count or f"count({column})"
     cents = f"CAST(sum(CAST({column} AS DECIMAL(18, 2))) * 100 AS HUGEINT)"
     size = f"CAST((2 * abs({cents}) + {count}) // (2 * nullif({count}, 0)) AS DOUBLE) / 100"
-    return f"sign({cents}) * {size}"
+    rest = f"sum({column} - CAST(CAST({column} AS DECIMAL(18, 2)) AS DOUBLE))"
+    return (f"CASE WHEN {rest} = 0 THEN sign({cents}) * {size}"
+            f" ELSE round({money_sum(column)} / nullif({count}, 0), 2) END")
 
 
 def score_avg_2dp(column: str = "satisfaction_score") -> str:

@@ -31,29 +31,35 @@ def pct(part: str, whole: str) -> str:
 
 
 def split_sum(value: str, name: str, digits: int) -> dict[str, str]:
-    """Two BIGINT sums that together hold the exact sum of a fixed-point value.
+    """Two BIGINT sums of the value in whole units, and a double sum of what is left.
 
     A decimal sum costs about twelve times as much as a double sum and a single
-    BIGINT sum overflows at this scale; a double sum depends on row order.
-    ``joined`` turns the two parts into a double.
+    BIGINT sum overflows at this scale; a double sum depends on row order. The
+    rest is exactly 0 for values of at most ``digits`` decimals, so their sum is
+    exact and free of order; smaller parts and values beyond the BIGINT range, NaN
+    and infinities included, go into the rest as a whole. ``joined`` adds the three.
     """
-    units = f"CAST(rint({value} * {10**digits}.0D) AS BIGINT)"
+    scaled = f"({value} * {10**digits}.0D)"
+    units = f"(CASE WHEN abs({scaled}) >= 9.0E18D THEN 0L ELSE CAST(rint({scaled}) AS BIGINT) END)"
     return {
         f"{name}_hi": f"sum(shiftright({units}, {_SPLIT_BITS}))",
         f"{name}_lo": f"sum({units} & {_LOW_MASK}L)",
+        f"{name}_rest": f"sum({value} - CAST({units} AS DOUBLE) / {10**digits}.0D)",
     }
 
 
 def joined(name: str, digits: int) -> str:
     return (f"((CAST({name}_hi AS DOUBLE) * {1 << _SPLIT_BITS}.0D"
-            f" + CAST({name}_lo AS DOUBLE)) / {10**digits}.0D)")
+            f" + CAST({name}_lo AS DOUBLE)) / {10**digits}.0D + {name}_rest)")
 
 
 def joined_mean(name: str, digits: int, count: str, places: int) -> str:
-    """Sum held in two parts divided by a count, rounded exactly."""
+    """Sum held in parts divided by a count; rounded in whole numbers unless there is a rest."""
     units = (f"CAST(CAST({name}_hi AS DECIMAL(38, 0)) * {1 << _SPLIT_BITS} + {name}_lo"
              " AS DECIMAL(38, 0))")
-    return ratio(units, f"CAST({count} * {10**digits}L AS DECIMAL(38, 0))", places)
+    whole = ratio(units, f"CAST({count} * {10**digits}L AS DECIMAL(38, 0))", places)
+    return (f"(CASE WHEN {name}_rest = 0 THEN {whole}"
+            f" ELSE {rounded(mean(joined(name, digits), count), places)} END)")
 
 
 def mean(total: str, count: str) -> str:

@@ -14,8 +14,13 @@ def children(df: DataFrame, on: str, **measures: str) -> DataFrame:
 def copies(*counts: str) -> str:
     """How often a row of one child is repeated by left-joining the others.
 
-    A double: the product of several children of one hot parent can exceed a
-    BIGINT. It is exact up to 2**53.
+    A DECIMAL(38, 0), as the product of several children of one hot parent can
+    exceed a BIGINT: exact, and an error beyond.
     """
     factors = " * ".join(f"greatest(coalesce({count}, 0), 1)" for count in counts)
-    return f"(1.0D * {factors})"
+    return f"(CAST(1 AS DECIMAL(38, 0)) * {factors})"
+
+
+def times(count: str, every: str) -> str:
+    """Sum of a count, each repeated ``every`` times, as a BIGINT; too large is an error."""
+    return f"CAST(sum(coalesce({count}, 0) * {every}) AS BIGINT)"

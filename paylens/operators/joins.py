@@ -40,15 +40,9 @@ def left_lookup(df: DataFrame, lookup: DataFrame, on: str, spread_by: str) -> Da
 
 
 def left_join_many(df: DataFrame, many: DataFrame, on: str) -> DataFrame:
-    """Left join to a table that may hold very many rows for one key.
+    """Left join to a table that may hold several rows for one key.
 
-    A shuffled left join cannot split its right side, an inner join can split
-    either. So matched and unmatched rows are produced separately; both read the
-    same shuffle of ``df``. A small right side is broadcast instead.
+    ``df`` is the streamed side, whose hot keys adaptive execution splits; it is
+    read and shuffled once. A small right side is broadcast instead.
     """
-    if fits_broadcast(many):
-        return df.join(F.broadcast(many), on, "left")
-    matched = df.join(many, on)
-    missing = {f.name: F.lit(None).cast(f.dataType) for f in many.schema if f.name != on}
-    unmatched = df.join(many.select(on).distinct(), on, "left_anti").withColumns(missing)
-    return matched.unionByName(unmatched)
+    return df.join(small(many), on, "left")

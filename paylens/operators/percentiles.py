@@ -13,22 +13,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_FINE = 10  # 2**10 buckets per doubling of the value
-_UNIT = "10000.0D"
+_FINE = 1024  # buckets per doubling of the value
+_LOWEST = 1100  # doublings below 1 that a double can resolve, rounded up
 
 
 def _with_bucket(values: DataFrame) -> DataFrame:
-    """Adds a bucket number that never falls as ``v`` rises; at most 60,000 per sign.
+    """Adds a bucket number that never falls as ``v`` rises, for every double.
 
-    As in a logarithmic histogram with linear steps, width follows magnitude, so
-    small and large values are both resolved to 0.1 %. Where ``doubling`` is one
-    off next to a power of two, the number comes out the same.
+    Width follows magnitude: a bucket is 1/1024 of a doubling, so values of any
+    size are resolved to 0.1 %. Zero, the infinities and NaN (greatest, as in
+    sorting) have buckets of their own.
     """
-    units = values.selectExpr("v", f"CAST(rint(abs(v) * {_UNIT}) AS BIGINT) AS units")
-    scaled = units.selectExpr("v", "units", "CAST(log2(units + 1.0D) AS INT) AS doubling")
-    place = (f"(doubling * {1 << _FINE}L"
-             f" + shiftright(units, greatest(doubling - {_FINE}, 0)))")
-    return scaled.selectExpr("v", f"IF(v < 0, -1, 1) * {place} - IF(v < 0, 1, 0) AS bucket")
+    edge = (_LOWEST + 1100) * _FINE
+    sized = values.selectExpr("v", "abs(v) AS size").selectExpr(
+        "v", "size", "CASE WHEN size > 0 AND size < double('inf') THEN floor(log2(size)) END AS e")
+    # log2 may be one off next to a power of two; the leading part tells.
+    sized = sized.selectExpr("v", "size", "e", "size / pow(2.0D, e) AS part")
+    sized = sized.selectExpr(
+        "v", "size", "e + CASE WHEN part >= 2 THEN 1 WHEN part < 1 THEN -1 ELSE 0 END AS e",
+        "CASE WHEN part >= 2 THEN part / 2 WHEN part < 1 THEN part * 2 ELSE part END AS part")
+    place = f"((e + {_LOWEST}) * {_FINE} + CAST(floor((part - 1) * {_FINE}) AS BIGINT) + 1)"
+    return sized.selectExpr("v", f"""CAST(CASE WHEN isnan(v) THEN {edge + 1} WHEN size = 0 THEN 0
+        ELSE CASE WHEN v < 0 THEN -1 ELSE 1 END * coalesce({place}, {edge}) END AS BIGINT)
+        AS bucket""")
 
 
 def exact_percentiles(df: DataFrame, column: str, wanted: dict[str, float]) -> DataFrame:

@@ -32,7 +32,7 @@ def activity_segments(t):
     per_customer = rollup(t, TXN, ["customer_id"], "ids value")
     grouped = per_customer.groupBy(named(segment, "activity_segment")).agg(
         named("count(1)", "customer_count"), named("sum(ids)", "ids"),
-        named("sum(value_hi)", "value_hi"), named("sum(value_lo)", "value_lo"),
+        *[named(f"sum({part})", part) for part in ("value_hi", "value_lo", "value_rest")],
         named("count(value_hi)", "valued"),
     )
     return grouped.select(

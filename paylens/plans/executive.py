@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.fanout import children, copies
+from ..operators.fanout import children, copies, times as multiplied
 from ..operators.ranking import change_from_previous
 from ..operators.rollup import rollup, rollup_around
 from .catalog import report
@@ -57,12 +57,12 @@ def customers_needing_action(t, top=20, exact=False):
                       scored="count(satisfaction_score)")
     owners = t.scan(CUSTOMERS, "customer_id", "full_name", "region", "risk_score",
                     "is_business_user")
-    every = "1.0D" if exact else copies("feedback")
+    every = "1L" if exact else copies("feedback")
     return (
         per_customer.join(owners, "customer_id").join(scores, "customer_id", "left")
         .select("*", average_score("mean_score"))
         .groupBy(*owners.columns).agg(  # merges repeated customer rows
-            *[named(f"sum({count} * {every})", name) for count, name in (
+            *[named(multiplied(count, every), name) for count, name in (
                 ("txns", "total_txns"), ("fraud", "fraud_txns"), ("failed", "failed_txns"),
                 ("alerts", "fraud_alerts"))],
             named("max(mean_score)", "avg_satisfaction"),

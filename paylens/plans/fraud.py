@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import bands
 from ..functions.calendar import hours_crossed
 from ..functions.rates import tally, whole_div
-from ..operators.fanout import children
-from ..operators.joins import rows_with_key_in
+from ..operators.joins import left_join_many, rows_with_key_in
 from ..operators.percentiles import exact_percentiles
 from ..operators.rollup import Key, rollup, rollup_through
 from .catalog import report
@@ -97,31 +96,30 @@ def fraud_by_day_part(t, exact=False):
     """Transactions, and alerts on them, by time of day.
 
     A transaction with k alerts counts k times, as the left join to the alerts
-    makes it; ``exact=True`` counts it once. The alerts are first reduced to a
-    count per transaction. The distinct alerts come from an inner join that
-    only alert-bearing transactions survive.
+    makes it; ``exact=True`` counts it once. Joined rows are counted by band and
+    alert first, where those without an alert make one group per band, combined
+    before they are shuffled; so transactions are shuffled once, for the join.
     """
     part = bands.below("hour(timestamp)", bands.DAY_PARTS, bands.DAY_PART_REST)
     txns = t.scan(TXN, "transaction_id", "timestamp", "fraud_flag").select(
         "transaction_id", "fraud_flag", named(part, "time_band"))
-    alerts = t.scan(ALERTS, "transaction_id", "alert_id")
-    per_txn = children(alerts, "transaction_id", alerts="count(1)")
-    times = F.expr("1L" if exact else "coalesce(alerts, 1)")
-    totals = (
-        txns.join(per_txn, "transaction_id", "left").withColumn("times", times)
-        .groupBy("time_band").agg(
-            named("sum(times)", "total_txns"),
-            named("sum(CASE WHEN fraud_flag THEN times ELSE 0 END)", "fraud_txns"),
-        )
-    )
-    seen = (
-        alerts.join(txns.select("transaction_id", "time_band"), "transaction_id")
-        .groupBy("time_band").agg(F.count_distinct("alert_id").alias("fraud_alerts"))
-    )
-    return totals.join(seen, "time_band", "left").select(
+    counts = [named("count(1)", "txns"),
+              named("sum(CASE WHEN fraud_flag THEN 1 ELSE 0 END)", "fraud")]
+    per_alert = left_join_many(
+        txns, t.scan(ALERTS, "transaction_id", "alert_id"), "transaction_id",
+    ).groupBy("time_band", "alert_id").agg(*counts)
+    totals = per_alert.groupBy("time_band").agg(
+        named("sum(txns)", "total_txns"), named("sum(fraud)", "fraud_txns"),
+        named("count(alert_id)", "fraud_alerts"))
+    if exact:  # these come from the transactions alone, without their identifiers
+        once = txns.groupBy("time_band").agg(*counts).select(
+            named("time_band", "band"), named("txns", "total_txns"), named("fraud", "fraud_txns"))
+        totals = totals.select("time_band", "fraud_alerts").join(
+            once, F.expr("time_band <=> band")).drop("band")
+    return totals.select(
         "time_band", "total_txns", "fraud_txns",
         rate("fraud_txns", "fraud_rate_pct", "total_txns"),
-        named("coalesce(fraud_alerts, 0)", "fraud_alerts"),
+        "fraud_alerts",
     ).orderBy(desc("fraud_rate_pct"), "time_band")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.rates import rounded, split_sum, tally
-from ..operators.fanout import children, copies
+from ..operators.fanout import children, copies, times as multiplied
 from ..operators.joins import left_join_many, left_lookup, small
 from ..operators.rollup import MONEY_DIGITS, rollup_through
 from .catalog import report
@@ -81,13 +81,13 @@ def customer_360(t, exact=False):
         fraud=tally("fraud_flag"), failed=tally("status = 'failed'"), latest="max(timestamp)",
         **split_sum("amount", "value", MONEY_DIGITS),
     )
-    times = "1.0D" if exact else copies("account_rows", "device_rows", "feedback_rows")
+    times = "1L" if exact else copies("account_rows", "device_rows", "feedback_rows")
     joined_up = owners
     for child in (accounts, devices, txns, feedback):
         joined_up = joined_up.join(child, "customer_id", "left")
 
     def counted(column, name):
-        return named(f"sum(coalesce({column}, 0) * {times})", name)
+        return named(multiplied(column, times), name)
 
     # Merges repeated customer rows; the rows of a customer are already together.
     per_customer = joined_up.select(
