@@ -145,7 +145,7 @@ def train(labelled: DataFrame, max_rows: int = 20_000, max_items: int = 100_000)
             .limit(max_items).drop("kind", "total").toArrow()
         counts = [best.column(f"n{k}").to_numpy() for k in range(len(langs))]
         tables.append(Table(best.column("item").to_pylist(),
-                            np.array(counts, float).reshape(len(langs), -1).T))
+                            np.array(counts, float).reshape(len(langs), best.num_rows).T))
     scratch.drop("chosen", "counted")
     return Model(langs, *tables)
 
