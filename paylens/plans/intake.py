@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import TABLES
 from ..session import shared_folder
+from ..sources import files
 from ..sources.cleaning import clean
 from ..sources.full_load import run_load
 from ..sources.store import load_report, new_rows
@@ -57,6 +58,9 @@ def load_from_csv(t):
     for name, table in TABLES.items():
         raw_text(t, name).write.option("header", True).option("escape", '"').csv(
             f"{home}/in/{table.raw_name}.csv")
-    first = run_load(spark, f"{home}/in", f"{home}/out", "first")
-    second = run_load(spark, f"{home}/in", f"{home}/out", "second")
+    try:
+        first = run_load(spark, f"{home}/in", f"{home}/out", "first")
+        second = run_load(spark, f"{home}/in", f"{home}/out", "second")
+    finally:
+        files.remove(spark, home)
     return load_report(spark, first + second)

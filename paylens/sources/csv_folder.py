@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,12 +13,16 @@ from . import files
 _FREE_TEXT = {table.raw_name for table in TABLES.values() if table.free_text}
 
 
-def read_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def read_folder(
+    spark: SparkSession, folder: str, plain: Iterable[str] = (),
+) -> dict[str, DataFrame]:
     """File stem to table, every column as text; nothing is inferred.
 
     Text only gets its type when it is cleaned, so no pass over the data is
     spent on guessing. Files with free text may hold quoted line breaks and are
-    read whole, one task per file; all others are split.
+    read whole, one task per file; all others are split. ``plain`` names file stems
+    with free text but without such breaks, which are then split too; a break that is
+    there all the same stops the load.
     """
     if not files.exists(spark, folder):
         raise FileNotFoundError(f"no such folder: {folder}")
@@ -28,13 +33,15 @@ def read_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     }
     if not found:
         warnings.warn(f"no CSV file in {folder}", stacklevel=2)
-    return {stem: _read(spark, stem, path) for stem, path in found.items()}
+    return {stem: _read(spark, stem, path, frozenset(plain)) for stem, path in found.items()}
 
 
-def _read(spark: SparkSession, stem: str, path: str) -> DataFrame:
+def _read(spark: SparkSession, stem: str, path: str, plain: frozenset[str]) -> DataFrame:
     df = (
         spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"')
-        .option("multiLine", stem in _FREE_TEXT).csv(path)
+        # Part files with the columns in another order stop the load.
+        .option("enforceSchema", False)
+        .option("multiLine", stem in _FREE_TEXT and stem not in plain).csv(path)
     )
     if not df.columns:
         raise ValueError(f"no header in {path}")

@@ -20,3 +20,16 @@ def children(spark: SparkSession, folder: str) -> dict[str, str]:
     system, path = _path(spark, folder)
     found = [status.getPath() for status in system.listStatus(path)]
     return {p.getName(): p.toString() for p in found}
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    system, path = _path(spark, folder)
+    system.delete(path, True)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a folder within one file system; the target's parent is made if missing."""
+    system, path = _path(spark, target)
+    system.mkdirs(path.getParent())
+    if not system.rename(_path(spark, source)[1], path):
+        raise OSError(f"cannot move {source} to {target}")

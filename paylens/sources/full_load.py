@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
+import warnings
+from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..model import TABLES
-from .cleaning import clean
+from ..tables import Tables
+from .cleaning import Formats, clean
 from .csv_folder import as_tables, read_folder
-from .store import LoadResult, load
+from .store import LoadResult, load, read_stored
 
 # The published order of the uploads.
 LOAD_ORDER = ("customer_details", "customer_feedback", "device_info", "fraud_alert", "merchant",
@@ -18,15 +21,60 @@ LOAD_ORDER = ("customer_details", "customer_feedback", "device_info", "fraud_ale
 
 def run_load(
     spark: SparkSession, in_folder: str, out_folder: str, batch: str | None = None,
-    fill_defaults: bool = False, dedupe_batch: bool = False,
+    fill_defaults: bool = False, dedupe_batch: bool = False, formats: Formats = None,
+    plain: Iterable[str] = (), validate: str | None = None,
 ) -> list[LoadResult]:
     """Load every table; the first error stops the run and is raised.
 
-    Repeat a failed run with the same ``batch`` to replace what it wrote.
+    Repeat a failed run with the same ``batch`` to replace what it wrote. ``formats``
+    and ``plain`` go to cleaning and reading. With ``validate`` the cleaned tables are
+    checked against the constraints before anything is written: "stop" raises
+    ``Invalid`` if a row violates one, "report" warns.
     """
     batch = batch or uuid.uuid4().hex
-    raw = as_tables(read_folder(spark, in_folder))
-    cleaned = {name: clean(name, raw[name], fill_defaults) for name in TABLES}
+    raw = as_tables(read_folder(spark, in_folder, plain))
+    cleaned = {name: clean(name, raw[name], fill_defaults, formats) for name in TABLES}
+    if validate:
+        _validate(spark, cleaned, out_folder, validate)
     return [
         load(spark, cleaned[name], name, out_folder, batch, dedupe_batch) for name in LOAD_ORDER
     ]
+
+
+class Invalid(RuntimeError):
+    """Rows to be loaded violate a declared constraint."""
+
+
+def batch_violations(
+    spark: SparkSession, cleaned: dict[str, DataFrame], out_folder: str,
+) -> DataFrame:
+    """(table_name, kind, rule, violations) of the rows to be loaded.
+
+    A reference is met by a parent in the batch or in the store.
+    """
+    from ..plans.constraints import violations  # the plans import this module
+
+    known = dict(cleaned)
+    for name in TABLES:
+        stored = read_stored(spark, name, f"{out_folder.rstrip('/')}/{name}")
+        if stored is not None:
+            known[name] = cleaned[name].unionByName(stored.select(*cleaned[name].columns))
+    found = None
+    for name in LOAD_ORDER:
+        lines = violations(Tables({**known, name: cleaned[name]}), name)
+        found = lines if found is None else found.unionAll(lines)
+    return found
+
+
+def _validate(
+    spark: SparkSession, cleaned: dict[str, DataFrame], out_folder: str, how: str,
+) -> None:
+    if how not in ("report", "stop"):
+        raise ValueError(f"validate is 'report' or 'stop', not {how!r}")
+    # One row per constraint of the model that is violated.
+    bad = batch_violations(spark, cleaned, out_folder).where("violations > 0").collect()
+    if bad:
+        text = "; ".join(f"{r.table_name} {r.kind} {r.rule}: {r.violations}" for r in bad)
+        if how == "stop":
+            raise Invalid(text)
+        warnings.warn(text, stacklevel=3)

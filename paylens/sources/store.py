@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import asdict, dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..model import TABLES
+from ..model import TABLES, Table
 from ..operators.joins import small
 from ..session import shared_folder
 from . import files
@@ -49,13 +51,28 @@ def new_rows(incoming: DataFrame, stored_keys: DataFrame, key: str) -> DataFrame
     return incoming.join(present, F.col(key).eqNullSafe(F.col("stored_key")), "left_anti")
 
 
-def _stored(spark: SparkSession, path: str, batch: str) -> DataFrame | None:
-    """What the table holds without this batch; None if there is no table."""
+def _schema(name: str) -> T.StructType:
+    """A stored table's columns. The batch is text, whatever its names look like."""
+    fields = [*TABLES[name].schema, T.StructField(STAMP, T.TimestampNTZType()),
+              T.StructField(BATCH, T.StringType())]
+    return T.StructType(fields)
+
+
+def _batches(spark: SparkSession, path: str) -> dict[str, str]:
+    """Name and folder of every batch of a table."""
     if not files.exists(spark, path):
+        return {}
+    return {
+        unquote(entry.removeprefix(f"{BATCH}=")): full
+        for entry, full in files.children(spark, path).items() if entry.startswith(f"{BATCH}=")
+    }
+
+
+def read_stored(spark: SparkSession, name: str, path: str) -> DataFrame | None:
+    """A stored table with its load columns; None if it holds no batch."""
+    if not _batches(spark, path):
         return None
-    if not any(name.startswith(f"{BATCH}=") for name in files.children(spark, path)):
-        return None
-    return spark.read.parquet(path).where(F.col(BATCH) != batch)
+    return spark.read.schema(_schema(name)).parquet(path)
 
 
 def load(
@@ -64,49 +81,81 @@ def load(
 ) -> LoadResult:
     """Write the rows of ``df`` that are new to the table, then check the counts.
 
-    The rows of one batch form one partition that is replaced as a whole, so a
-    run that failed half-way can simply be repeated. Rows are only ever added:
-    a stored row with the same key stays as it is. Repeated keys inside a batch
-    are kept unless ``dedupe_batch``.
+    The rows of one batch form one partition that is replaced as a whole: they are
+    written to a folder of the run and counted there, and only then take the place
+    of the batch's rows. A run that fails before leaves the table as it was; if the
+    final count differs, the earlier rows are put back. A run can be repeated with
+    more, fewer or no rows. Rows are only ever added: a stored row with the same key
+    stays as it is. Repeated keys inside a batch are kept unless ``dedupe_batch``.
     """
-    table, path = TABLES[name], f"{folder.rstrip('/')}/{name}"
+    folder = folder.rstrip("/")
+    table, path = TABLES[name], f"{folder}/{name}"
+    run = f"{folder}/_loading/{uuid.uuid4().hex}"  # same file system as the table
+    staged_at = f"{shared_folder(spark)}/staging/{uuid.uuid4().hex}"
     if dedupe_batch:
         df = df.dropDuplicates([table.key])
-    stored = _stored(spark, path, batch)
-    if stored is None:
-        before, incoming, fresh = 0, None, df
-    else:
-        # The batch is read three times below; parse and check it only once.
-        staged_at = f"{shared_folder(spark)}/staging/{uuid.uuid4().hex}/{name}"
-        df.write.parquet(staged_at)
-        staged = spark.read.parquet(staged_at)
-        before, incoming = stored.count(), staged.count()
-        fresh = new_rows(staged, stored, table.key)
-
-    written = Observation(f"load {name}")
+    try:
+        stored = read_stored(spark, name, path)
+        if stored is not None:
+            stored = stored.where(F.col(BATCH) != batch)
+        if stored is None:
+            before, incoming, fresh = 0, None, df
+        else:
+            # The batch is read three times below; parse and check it only once.
+            df.write.parquet(f"{staged_at}/{name}")
+            staged = spark.read.schema(df.schema).parquet(f"{staged_at}/{name}")
+            before, incoming = stored.count(), staged.count()
+            fresh = new_rows(staged, stored, table.key)
+        inserted = _write(spark, fresh, table, f"{run}/new", batch)
+        return _swap_in(spark, name, path, run, batch, before, incoming, inserted)
+    finally:
+        files.remove(spark, run)
+        files.remove(spark, staged_at)
+
+
+def _write(spark: SparkSession, fresh: DataFrame, table: Table, target: str, batch: str) -> int:
+    """Writes the batch apart; the number of rows that are really there."""
+    written = Observation(f"load {table.name}")
     rows = fresh.withColumn(STAMP, F.current_timestamp().cast("timestamp_ntz"))
     rows = rows.withColumn(BATCH, F.lit(batch)).observe(written, F.count(F.lit(1)).alias("n"))
     if table.sort_by:  # narrow value ranges per row group, so that readers can skip
         rows = rows.sortWithinPartitions(BATCH, *table.sort_by)
-    (
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BATCH).parquet(path)
-    )
-    inserted = written.get["n"]
-    after = _count(spark, path, inserted)
+    rows.write.partitionBy(BATCH).parquet(target)
+    made = read_stored(spark, table.name, target)
+    found = made.count() if made is not None else 0
+    if found != written.get["n"]:
+        raise CountMismatch(f"{table.name}: {written.get['n']} rows written, {found} found")
+    return found
+
+
+def _swap_in(
+    spark: SparkSession, name: str, path: str, run: str, batch: str, before: int,
+    incoming: int | None, inserted: int,
+) -> LoadResult:
+    earlier, made = _batches(spark, path), _batches(spark, f"{run}/new")
+    fresh = not earlier or set(earlier) == {batch}
+    old = earlier.get(batch)
+    if old:
+        files.move(spark, old, f"{run}/old")
+    placed = None
+    if batch in made:
+        placed = f"{path}/{made[batch].rstrip('/').rsplit('/', 1)[1]}"
+        files.move(spark, made[batch], placed)
+    after = _count(spark, name, path)
     if before + inserted != after:
+        if placed:
+            files.remove(spark, placed)
+        if old:
+            files.move(spark, f"{run}/old", old)
         raise CountMismatch(f"{name}: {before} + {inserted} rows expected, {after} found")
     incoming = inserted if incoming is None else incoming
-    action = "fresh" if stored is None else "appended" if inserted else "unchanged"
+    action = "fresh" if fresh else "appended" if inserted else "unchanged"
     return LoadResult(name, action, before, incoming, inserted, incoming - inserted, after)
 
 
-def _count(spark: SparkSession, path: str, inserted: int) -> int:
-    if inserted == 0 and not any(
-        name.startswith(f"{BATCH}=") for name in files.children(spark, path)
-    ):
-        return 0
-    return spark.read.parquet(path).count()
+def _count(spark: SparkSession, name: str, path: str) -> int:
+    stored = read_stored(spark, name, path)
+    return stored.count() if stored is not None else 0
 
 
 def load_report(spark: SparkSession, results: list[LoadResult]) -> DataFrame:
