@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _MARK = "▁"
 _LETTERS, _OTHERS = r"[^\W\d_²³¹]", rf"(?:[^\w{_MARK}\n]|[\d_²³¹])"
@@ -251,8 +252,8 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
                     [batch.column("row_").slice(part.start, len(held)), ids],
                     names=["row_", "ids"])
 
-    kind = wide.schema["row_"].dataType.simpleString()
-    return wide.mapInArrow(run, f"row_ {kind}, ids array<int>")
+    made = T.StructType([wide.schema["row_"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return wide.mapInArrow(run, made)
 
 
 def decoded(ids: DataFrame, vocabulary: str) -> DataFrame:
@@ -266,8 +267,9 @@ def decoded(ids: DataFrame, vocabulary: str) -> DataFrame:
                 [batch.column("row_"), batch.column("ids"), pa.array(texts, pa.string())],
                 names=["row_", "ids", "decoded"])
 
-    kind = ids.schema["row_"].dataType.simpleString()
-    return ids.mapInArrow(run, f"row_ {kind}, ids array<int>, decoded string")
+    made = T.StructType([ids.schema["row_"], ids.schema["ids"],
+                         T.StructField("decoded", T.StringType())])
+    return ids.mapInArrow(run, made)
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
