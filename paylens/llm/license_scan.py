@@ -85,7 +85,7 @@ def _worth_reading() -> str:
     return f"body rlike '(^|{_SPLIT})({either})({_SPLIT}|$)'"
 
 
-def _postings(idf: dict[str, float]) -> str:
+def _postings() -> str:
     rows = []
     for number, t in enumerate(TEMPLATES):
         words = t.text.split()
@@ -152,7 +152,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     # The file's own rarest licence words, in the order of the whole table's frequencies.
     rare = f"slice(array_intersect({_text(ranked)}, transform(hits, h -> h.w)), 1, {_RARE})"
     votes = (f"flatten(transform(filter(hits, h -> array_contains(rare, h.w)), h -> transform("
-             f"filter({_postings(idf)}, p -> p.w = h.w), p -> struct(p.t AS t, h.i - p.at AS at))))")
+             f"filter({_postings()}, p -> p.w = h.w), p -> struct(p.t AS t, h.i - p.at AS at))))")
     words_of = "templates[v.t].words"
     enough = (f"size(filter(votes, x -> x = v)) >= greatest(1, ceil({_VOTES} *"
               f" size(filter({words_of}, w -> array_contains(rare, w)))))")
