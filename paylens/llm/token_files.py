@@ -76,6 +76,15 @@ class Encoder:
         return [parts[0], *[" " + p for p in parts[1:]]]
 
 
+_ENCODERS: dict[str, Encoder] = {}  # one per worker, with what it remembers
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _sample(batches: Iterable[pa.RecordBatch], encoder: Encoder) -> list[bytes]:
     return [x for batch in batches for x in encoder.encode(
         [t or "" for t in batch.column("text").to_pylist()])]
@@ -94,7 +103,7 @@ def dictionary(docs: DataFrame, tokenizer: str, rows: int = 2_000, piece: int =
     chosen = docs.where(F.expr(f"pmod(xxhash64(doc_id), 1000003) < {share} * 1000003D"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = [x[:piece] for x in _sample(batches, Encoder(tokenizer))]
+        made = [x[:piece] for x in _sample(batches, _encoder(tokenizer))]
         yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["ids"])
 
     held = chosen.select(F.substring("text", 1, 8 * piece).alias("text")) \
@@ -171,7 +180,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch,
     mark = dictionary_hash(shared)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, (writer, _) = Encoder(tokenizer), _tools(shared)
+        encoder, (writer, _) = _encoder(tokenizer), _tools(shared)
         end = np.array([end_id], encoder.kind).tobytes()
         width = len(end)
         held, size, part = [], 0, 0
