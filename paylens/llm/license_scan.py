@@ -1,10 +1,11 @@
 """License scans by a positional index of rare words.
 
-The index lists, for every word of the license templates, the templates and the
-places it stands at. Of a file, the licence words with the highest inverse document
-frequency are looked up; postings that agree on where a template would begin vote
-for that place, and a place with enough votes is accepted if the template's key
-phrase stands exactly where it has to. Document frequencies are of all documents.
+The index lists, for every template, the words of its key phrase with the highest
+inverse document frequency and the places they stand at. Postings that agree on
+where a template would begin vote for that place, and a place with enough votes is
+accepted if the key phrase stands exactly where it has to. Every template has index
+words of its own, all of them inside the phrase that must stand, so other notices
+in a file take no votes away. Document frequencies are of all documents.
 DataFrame and SQL functions only; a row never leaves its task.
 """
 
@@ -24,8 +25,8 @@ from .scratch import Scratch
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
 _PATTERN = r"[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-_RARE = 8  # licence words of a file that are looked up
-_VOTES = 0.5  # of the template's words among those
+_RARE = 3  # words of each template that are looked up, its rarest
+_VOTES = 0.5  # of the template's places of those
 
 # The phrases that must be found, with their labels.
 BASE = {
@@ -85,22 +86,24 @@ def _worth_reading() -> str:
     return f"body rlike '(^|{_SPLIT})({either})({_SPLIT}|$)'"
 
 
-def _postings() -> str:
+def _index(idf: dict[str, float]) -> list[tuple[int, int, str]]:
+    """(template, place, word) of the words that are looked up."""
     rows = []
     for number, t in enumerate(TEMPLATES):
-        words = t.text.split()
-        rows += [f"struct({number} AS t, {place} AS at, '{w}' AS w)"
-                 for place, w in enumerate(words)]
-    return f"array({', '.join(rows)})"
+        rare = sorted(set(t.key.split()), key=lambda w: (-idf[w], w))[:_RARE]
+        rows += [(number, place, w) for place, w in enumerate(t.text.split()) if w in rare]
+    return rows
 
 
-def _templates() -> str:
+def _templates(index: list[tuple[int, int, str]]) -> str:
     rows = []
     for t in TEMPLATES:
         words, key = t.text.split(), t.key.split()
         at = next(k for k in range(len(words)) if words[k:k + len(key)] == key)
+        # Only the places inside the key phrase are sure to be there.
+        sure = sum(1 for n, place, _ in index if TEMPLATES[n] is t and at <= place < at + len(key))
         rows.append(f"struct('{t.label}' AS label, {_text(words)} AS words, {at} AS key_at,"
-                    f" {_text(key)} AS key)")
+                    f" {_text(key)} AS key, {math.ceil(_VOTES * sure)} AS votes)")
     return f"array({', '.join(rows)})"
 
 
@@ -149,18 +152,19 @@ def scanned(docs: DataFrame) -> DataFrame:
     ranked = sorted(idf, key=lambda w: (-idf[w], w))
 
     hits = f"filter(transform(words, (w, i) -> struct(i, w)), x -> array_contains({_text(ranked)}, x.w))"
-    # The file's own rarest licence words, in the order of the whole table's frequencies.
-    rare = f"slice(array_intersect({_text(ranked)}, transform(hits, h -> h.w)), 1, {_RARE})"
-    votes = (f"flatten(transform(filter(hits, h -> array_contains(rare, h.w)), h -> transform("
-             f"filter({_postings()}, p -> p.w = h.w), p -> struct(p.t AS t, h.i - p.at AS at))))")
+    index = _index(idf)
+    postings = "array(" + ", ".join(
+        f"struct({t} AS t, {place} AS at, '{w}' AS w)" for t, place, w in index) + ")"
+    looked_up = _text(sorted({w for _, _, w in index}))
+    votes = (f"flatten(transform(filter(hits, h -> array_contains({looked_up}, h.w)), h -> transform("
+             f"filter({postings}, p -> p.w = h.w), p -> struct(p.t AS t, h.i - p.at AS at))))")
     words_of = "templates[v.t].words"
-    enough = (f"size(filter(votes, x -> x = v)) >= greatest(1, ceil({_VOTES} *"
-              f" size(filter({words_of}, w -> array_contains(rare, w)))))")
+    enough = "size(filter(votes, x -> x = v)) >= templates[v.t].votes"
     phrase = ("v.at + templates[v.t].key_at >= 0 AND slice(words, v.at + templates[v.t].key_at + 1,"
               " size(templates[v.t].key)) = templates[v.t].key")
     share = (f"size(filter(transform({words_of}, (w, k) -> v.at + k >= 0 AND get(words, v.at + k)"
              f" <=> w), x -> x)) / CAST(size({words_of}) AS DOUBLE)")
-    accepted = (f"transform(filter(array_distinct(votes), v -> {enough} AND {phrase}),"
+    accepted = (f"transform(filter(array_distinct(votes), v -> ({phrase}) AND {enough}),"
                 f" v -> struct(templates[v.t].label AS label, {share} AS share))")
     labels = ("array_join(array_sort(array_distinct(concat(transform(base, b -> b.label),"
               " transform(accepted, x -> x.label)))), ',')")
@@ -171,8 +175,8 @@ def scanned(docs: DataFrame) -> DataFrame:
         {labels} AS labels,
         coalesce(array_max(transform(accepted, x -> x.share)),
                  CASE WHEN size(base) > 0 THEN 0.5D ELSE 0.0D END) AS score)"""
-    for name, value in (("accepted", accepted), ("templates", _templates()), ("votes", votes),
-                        ("rare", rare), ("base", _base_places()), ("hits", hits)):
+    for name, value in (("accepted", accepted), ("templates", _templates(index)), ("votes", votes),
+                        ("base", _base_places()), ("hits", hits)):
         made = let(name, value, made)
     nothing = """struct(CAST(size(words) AS BIGINT) AS n_words, 0L AS n_base,
         CAST(NULL AS BIGINT) AS first_word, CAST(NULL AS BIGINT) AS last_word,

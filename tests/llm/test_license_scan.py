@@ -51,3 +51,14 @@ def test_scattered_words_do_not_count(spark):
 
 def test_empty_table(spark):
     assert scan(spark, []) == []
+
+
+def test_many_notices_in_one_file(spark):
+    """Rare words of one notice do not take the place of another's, whatever is frequent."""
+    both = f"{TEMPLATES[2].text}. {TEMPLATES[0].text}."
+    rows = [cases.row(1, " ; ".join(t.text for t in TEMPLATES)), cases.row(2, both)]
+    rows += [cases.row(10 + k, "the apache license version 2 0 of a public license")
+             for k in range(40)]
+    got = {r.text: r for r in scan(spark, rows)}
+    assert set(got[rows[0][1]].labels.split(",")) == {t.label for t in TEMPLATES}
+    assert got[both].labels == "apache,mit" and got[both].score == 1.0
