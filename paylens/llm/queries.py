@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import byte_pairs, periodic_runs
 from .block_search import top_products
 from .jaccard_join import jaccard_components
 from .language_id import HELD_OUT, identified, train
@@ -18,6 +19,7 @@ from .queries_sql import BLOCK_SEARCH, QUALITY_RULES
 from .sentence_pieces import digests, piece_model
 from .substring_dedup import repeated_passages
 from .token_files import token_index
+from .whitening import by_component
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,3 +103,18 @@ def block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op7_block_search"] = BLOCK_SEARCH
+
+
+@_query("op11_periodic_runs")
+def periodic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(_table(spark, sf_dir, "documents"), least=12)
+
+
+@_query("op12_byte_pairs")
+def byte_pair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.digests(_table(spark, sf_dir, "documents"), byte_pairs.many_languages())
+
+
+@_query("op13_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_component(_table(spark, sf_dir, "embeddings"), components=32)
