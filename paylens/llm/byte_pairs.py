@@ -24,10 +24,11 @@ from pyspark.sql import types as T
 
 from .arrays import slices
 
-_REMEMBERED = 400_000  # pieces a worker keeps
+_REMEMBERED = 300_000  # pieces a worker keeps
 _LONG = 64  # bytes; longer pieces are merged one by one with a heap
-_WINDOW = 1 << 21  # symbols scanned at once
+_WINDOW = 1 << 20  # symbols scanned at once
 _BLOCK = 256  # symbols of a block of the scan
+_IDS_AT_ONCE = 1 << 20  # ids decoded at once
 _NONE = np.iinfo(np.int32).max
 
 # Classes of code points. MARK is the apostrophe; STMD and the single letters are those
@@ -370,30 +371,73 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
 
-def encoded(docs: DataFrame, vocabulary: str, keep: Sequence[str] | None = None) -> DataFrame:
+def _bytes_of(tool: Codec, lists: pa.Array, ends: pa.Array) -> pa.Array:
+    """The bytes of every list of ids, which must end where ``ends`` says."""
+    counts = lists.value_lengths().fill_null(0).to_numpy()
+    flat = tool.decode(lists.flatten().to_numpy(zero_copy_only=False))
+    _, buffer, data = flat.buffers()
+    places = np.zeros(1, np.int64)
+    if len(flat):
+        places = np.frombuffer(buffer, np.int64)[flat.offset:flat.offset + len(flat) + 1]
+    _same_ends(ends, np.diff(places), counts)
+    spans = places[np.concatenate(([0], np.cumsum(counts)))]
+    first, last = int(spans[0]), int(spans[-1])
+    raw = np.frombuffer(data, np.uint8)[first:last] if data is not None else np.zeros(0, np.uint8)
+    valid = pa.array(np.array(lists.is_valid()))  # a bitmap of its own, without an offset
+    return pa.Array.from_buffers(
+        pa.binary(), len(lists),
+        [valid.buffers()[1], pa.py_buffer((spans - first).astype(np.int32)), pa.py_buffer(raw)])
+
+
+def _same_ends(ends: pa.Array, lengths: np.ndarray, counts: np.ndarray) -> None:
+    told = ends.value_lengths().to_numpy(zero_copy_only=False)
+    if ends.null_count:
+        lengths = lengths[np.repeat(np.array(ends.is_valid()), counts)]
+        counts = counts[np.array(ends.is_valid())]
+        told = told[np.array(ends.is_valid())]
+    past = np.cumsum(lengths)
+    base = np.repeat(np.append(0, past)[np.concatenate(([0], np.cumsum(counts)))[:-1]], counts)
+    if not np.array_equal(told, counts) or not np.array_equal(
+            past - base, ends.flatten().to_numpy(zero_copy_only=False)):
+        raise ValueError("ids and ends do not belong together")
+
+
+def _prepared(docs: DataFrame, keep: Sequence[str] | None) -> DataFrame:
+    kept = docs.columns if keep is None else keep
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row_"),
+                       F.expr("make_valid_utf8(CAST(text AS STRING))").alias("body"))
+
+
+_IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+_ENDS = T.StructField("ends", T.ArrayType(T.IntegerType()))
+_BYTES = T.StructField("decoded", T.BinaryType())
+
+
+def encoded(docs: DataFrame, vocabulary: str, keep: Sequence[str] | None = None,
+            decode: bool = False) -> DataFrame:
     """Columns ``keep`` of ``docs`` (default: all), nested in ``row_``, with ``ids`` and ``ends``.
 
     ids: array<int>. ends: array<int>, the byte of the UTF-8 text at which each id ends.
+    With ``decode`` also ``decoded``, the bytes that the ids stand for.
     ``vocabulary`` is a file of base64 tokens and ranks, at the same place on every
     machine. Null and empty texts have no ids; bytes that are no UTF-8 count as U+FFFD.
     Rows are independent: repeated rows and ids, null ids, other columns of any name and
     empty tables pass through. A long text is scanned in windows and never cut.
     """
-    kept = docs.columns if keep is None else keep
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row_"),
-                       F.expr("make_valid_utf8(CAST(text AS STRING))").alias("body"))
+    wide = _prepared(docs, keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(vocabulary)
         for batch in batches:
             for part in slices(batch, "body"):
                 ids, ends, counts = tool.encode(part.column("body"))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row_"), _lists(ids, counts), _lists(ends, counts)],
-                    names=["row_", "ids", "ends"])
+                made = [_lists(ids, counts), _lists(ends, counts)]
+                if decode:
+                    made.append(_bytes_of(tool, *made))
+                yield pa.RecordBatch.from_arrays([part.column("row_"), *made], names=names)
 
-    made = T.StructType([wide.schema["row_"], T.StructField("ids", T.ArrayType(T.IntegerType())),
-                         T.StructField("ends", T.ArrayType(T.IntegerType()))])
+    made = T.StructType([wide.schema["row_"], _IDS, _ENDS, *([_BYTES] if decode else [])])
+    names = made.names
     return wide.mapInArrow(run, made)
 
 
@@ -406,39 +450,19 @@ def decoded(ids: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(vocabulary)
         for batch in batches:
-            lists, ends = batch.column("ids"), batch.column("ends")
-            counts = lists.value_lengths().fill_null(0).to_numpy()
-            flat = tool.decode(lists.flatten().to_numpy(zero_copy_only=False))
-            _, buffer, data = flat.buffers()
-            places = np.zeros(1, np.int64)
-            if len(flat):
-                places = np.frombuffer(buffer, np.int64)[flat.offset:flat.offset + len(flat) + 1]
-            first = np.concatenate(([0], np.cumsum(counts)))
-            _same_ends(ends, np.diff(places), counts)
-            raw = memoryview(data) if data is not None else memoryview(b"")
-            spans = places[first]
-            texts = [bytes(raw[a:b]) for a, b in zip(spans[:-1].tolist(), spans[1:].tolist())]
-            made = pa.array(texts, pa.large_binary(), mask=np.array(lists.is_null()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row_"), lists, made.cast(pa.binary())],
-                names=["row_", "ids", "decoded"])
-
-    made = T.StructType([ids.schema["row_"], ids.schema["ids"],
-                         T.StructField("decoded", T.BinaryType())])
-    return ids.select("row_", "ids", "ends").mapInArrow(run, made)
-
+            sizes = batch.column("ids").value_lengths().fill_null(0).to_numpy()
+            first = 0
+            while first < batch.num_rows:
+                count = int(np.searchsorted(np.cumsum(sizes[first:]), _IDS_AT_ONCE)) + 1
+                part = batch.slice(first, count)
+                lists = part.column("ids")
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row_"), lists, _bytes_of(tool, lists, part.column("ends"))],
+                    names=["row_", "ids", "decoded"])
+                first += count
 
-def _same_ends(ends: pa.Array, lengths: np.ndarray, counts: np.ndarray) -> None:
-    told = ends.value_lengths().to_numpy(zero_copy_only=False)
-    if ends.null_count:
-        lengths = lengths[np.repeat(np.array(ends.is_valid()), counts)]
-        counts = counts[np.array(ends.is_valid())]
-        told = told[np.array(ends.is_valid())]
-    past = np.cumsum(lengths)
-    base = np.repeat(np.append(0, past)[np.concatenate(([0], np.cumsum(counts)))[:-1]], counts)
-    if not np.array_equal(told, counts) or not np.array_equal(
-            past - base, ends.flatten().to_numpy(zero_copy_only=False)):
-        raise ValueError("ids and ends do not belong together")
+    made = T.StructType([ids.schema["row_"], _IDS, _BYTES])
+    return ids.select("row_", "ids", "ends").mapInArrow(run, made)
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -446,8 +470,8 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     ids_sha256: of the decimal ids joined by commas. Both hashes are lowercase hex.
     """
-    made = encoded(docs.select("doc_id", "text"), vocabulary, ["doc_id"])
-    return decoded(made, vocabulary).selectExpr(
+    made = encoded(docs.select("doc_id", "text"), vocabulary, ["doc_id"], decode=True)
+    return made.selectExpr(
         "row_.doc_id AS doc_id", "CAST(size(ids) AS BIGINT) AS n_tokens",
         "sha2(CAST(array_join(CAST(ids AS ARRAY<STRING>), ',') AS BINARY), 256) AS ids_sha256",
         "sha2(decoded, 256) AS decoded_sha256")

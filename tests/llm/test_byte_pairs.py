@@ -35,7 +35,7 @@ def random_texts(seed, count):
         "a" * 500, " " * 300, "ab" * 700, "=" * 1000, "tion" * 90, "é" * 200]
 
 
-@pytest.mark.parametrize("window, block", [(1 << 21, 256), (97, 16), (1, 4)])
+@pytest.mark.parametrize("window, block", [(1 << 20, 256), (97, 16), (1, 4)])
 def test_ids_equal_the_library(monkeypatch, window, block):
     """Also when a window, or a block of the scan, ends anywhere inside a text."""
     monkeypatch.setattr(byte_pairs, "_WINDOW", window)
@@ -95,6 +95,16 @@ def test_all_columns_stay_and_a_stretch_decodes_alone(spark):
             assert part == text[line.ends[1]:line.ends[3]]
 
 
+def test_decoding_apart_and_at_once(spark, monkeypatch):
+    monkeypatch.setattr(byte_pairs, "_IDS_AT_ONCE", 100)
+    made = encoded(cases.frame(spark), PATH, ["doc_id", "text"], decode=True)
+    apart = decoded(made.drop("decoded"), PATH)
+    assert sorted(map(str, apart.collect())) == sorted(
+        map(str, made.select("row_", "ids", "decoded").collect()))
+    assert made.where("decoded <> CAST(coalesce(row_.text, '') AS BINARY)").count() == 0
+    assert made.count() == apart.count() == len(cases.awkward())
+
+
 def test_ids_of_another_vocabulary_are_refused(spark):
     made = encoded(cases.frame(spark).where("doc_id = 7"), PATH)
     with pytest.raises(Exception, match="do not belong together"):
