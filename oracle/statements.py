@@ -606,6 +606,29 @@ def _intake() -> dict[str, str]:
         for table, n in size.items()
         for action, before, inserted, skipped in (
             ("fresh", none, n, none), ("unchanged", n, none, n))])
+    undated = f"(SELECT count(*) FROM {FA} WHERE resolution_date IS NULL)"
+    out["e10_load_quality"] = _union(*[
+        f"SELECT '{table}' AS table_name, '{c}' AS column_name, {size[table]} AS rows_incoming,"
+        f" (SELECT count(*) FROM {table} WHERE {c} IS NULL) AS null_cells,"
+        f" {undated if c == 'resolution_date' else none} AS lost_values"
+        for table, columns in COLUMNS.items() for c in columns])
+    third = {k: f"(SELECT count(*) FROM {C} WHERE customer_id % 3 = {k})" for k in range(3)}
+    named, other = third[0], size[C]
+    two, rest = f"({third[0]} + {third[1]})", f"({third[1]} + {third[2]})"
+    without = f"({third[0]} + {third[2]})"
+    steps = [
+        ("2024-06-01", "fresh", none, two, two, none, two, two),
+        ("0af3", "appended", two, other, third[2], two, other, two),
+        ("2024-06-01", "appended", third[2], named, named, none, without, named),
+        ("1e3", "appended", without, other, third[1], without, other, named),
+        ("2024-06-01", "unchanged", rest, none, none, none, rest, none),
+    ]
+    out["e18_batches"] = _union(*[
+        f"SELECT {k} AS step, '{batch}' AS batch, '{action}' AS action, {before} AS rows_before,"
+        f" {incoming} AS rows_incoming, {inserted} AS rows_inserted, {skipped} AS rows_skipped,"
+        f" {after} AS rows_after, {held} AS held_of_repeated"
+        for k, (batch, action, before, incoming, inserted, skipped, after, held)
+        in enumerate(steps)])
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
@@ -40,7 +40,7 @@ class Table:
     rules: tuple[Rule, ...] = ()
     references: tuple[Reference, ...] = ()
     free_text: bool = False  # quoted line breaks may occur inside a field
-    sort_by: tuple[str, ...] = field(default=())  # row order inside stored files
+    order: str | None = None  # a date or moment by which stored files are divided
 
     @property
     def names(self) -> list[str]:
@@ -99,6 +99,7 @@ _ALL = (
                     "satisfaction_score BETWEEN 1 AND 5"),),
         references=(_TO_CUSTOMER,),
         free_text=True,
+        order="date_submitted",
     ),
     Table(
         "device_info", "device_info", "device_id",
@@ -107,6 +108,7 @@ _ALL = (
             _text("app_version", 20), _flag("is_rooted"), _moment("last_active"),
         ),
         references=(_TO_CUSTOMER,),
+        order="last_active",
     ),
     Table(
         "fraud_alert", "fraud_alert_history", "alert_id",
@@ -156,7 +158,7 @@ _ALL = (
             Reference("device_id", "device_info", "device_id"),
             Reference("merchant_id", "merchant", "merchant_id"),
         ),
-        sort_by=("timestamp",),
+        order="timestamp",
     ),
 )
 

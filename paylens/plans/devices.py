@@ -28,7 +28,9 @@ def rooted_by_region(t):
 
 @report("q8_04_stale_devices", clock="transactions")
 def stale_devices(t, as_of=None, days=90):
-    idle = t.scan(DEVICES, "last_active").where(f"last_active < {days_before(as_of, days)}")
+    end = days_before(as_of, days)
+    idle = t.within(DEVICES, "last_active", until=end).scan(DEVICES, "last_active")
+    idle = idle.where(f"last_active < {end}")
     return idle.agg(named("count(1)", f"inactive_{days}_days_count"))
 
 

@@ -57,7 +57,9 @@ def monthly_trend(t):
 @report("q3_04_daily_volume", clock="transactions")
 def daily_volume(t, as_of=None, days=30):
     day = Key("txn_date", ("timestamp",), "to_date(timestamp)")
-    recent = Where(("timestamp",), f"timestamp >= {days_before(as_of, days)}")
+    begin = days_before(as_of, days)
+    recent = Where(("timestamp",), f"timestamp >= {begin}")
+    t = t.within(TXN, "timestamp", since=begin)
     return rollup(t, TXN, [day], "rows value", recent).select(
         "txn_date", n("rows", "txn_count"), total("total_amount")
     ).orderBy("txn_date")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +13,9 @@ from ..session import shared_folder
 from ..sources import files
 from ..sources.cleaning import clean
 from ..sources.full_load import run_load
-from ..sources.store import load_report, new_rows
+from ..sources.store import load, load_report, new_rows, quality_report, read_stored
 from .catalog import report
-from .common import ALERTS, TXN
+from .common import ALERTS, CUSTOMERS, TXN
 
 
 def raw_text(t, name: str) -> DataFrame:
@@ -50,17 +51,60 @@ def new_transactions(t, stored_before):
     return new_rows(arriving, stored, "transaction_id")
 
 
-@report("e19_load_from_csv")
-def load_from_csv(t):
-    """Write the tables as CSV, load them, and load them again as a second batch."""
+@contextmanager
+def _home(t):
+    """A session and a folder of its own for loads."""
     spark = t.scan(TXN, "transaction_id").sparkSession
     home = f"{shared_folder(spark)}/loads/{uuid.uuid4().hex}"
+    try:
+        yield spark, home
+    finally:
+        files.remove(spark, home)
+
+
+def _as_csv(t, folder: str) -> None:
     for name, table in TABLES.items():
         raw_text(t, name).write.option("header", True).option("escape", '"').csv(
-            f"{home}/in/{table.raw_name}.csv")
-    try:
+            f"{folder}/{table.raw_name}.csv")
+
+
+@report("e19_load_from_csv")
+def load_from_csv(t):
+    """Write the tables as CSV, load them, and load them again as a second batch."""
+    with _home(t) as (spark, home):
+        _as_csv(t, f"{home}/in")
         first = run_load(spark, f"{home}/in", f"{home}/out", "first")
         second = run_load(spark, f"{home}/in", f"{home}/out", "second")
-    finally:
-        files.remove(spark, home)
     return load_report(spark, first + second)
+
+
+@report("e10_load_quality")
+def load_quality(t):
+    """What a load of the tables from CSV says about NULL cells and lost values."""
+    with _home(t) as (spark, home):
+        _as_csv(t, f"{home}/in")
+        results = run_load(spark, f"{home}/in", f"{home}/out", "first")
+    return quality_report(spark, results)
+
+
+@report("e18_batches")
+def batches(t):
+    """Customers in batches with odd names, one of them repeated with fewer rows.
+
+    A line per load, with the rows that the table then holds of the repeated batch.
+    """
+    steps = [("2024-06-01", "k < 2"), ("0af3", "k < 3"), ("2024-06-01", "k < 1"),
+             ("1e3", "k < 3"), ("2024-06-01", "k < 0")]
+    results, held = [], []
+    with _home(t) as (spark, home):
+        rows = clean(CUSTOMERS, raw_text(t, CUSTOMERS)).withColumn(
+            "k", F.expr("CAST(customer_id AS BIGINT) % 3"))
+        for batch, test in steps:
+            results.append(load(spark, rows.where(test).drop("k"), CUSTOMERS, home, batch))
+            stored = read_stored(spark, CUSTOMERS, f"{home}/{CUSTOMERS}")
+            held.append(stored.where(F.col("batch_id") == "2024-06-01").count())
+    lines = [(k, batch, *result.row()[1:], n)
+             for k, ((batch, _), result, n) in enumerate(zip(steps, results, held))]
+    return spark.createDataFrame(
+        lines, "step int, batch string, action string, rows_before long, rows_incoming long,"
+        " rows_inserted long, rows_skipped long, rows_after long, held_of_repeated long")

@@ -31,10 +31,11 @@ def score_by_region(t):
 
 @report("q15_03_overdue_issues", clock="feedback")
 def overdue_issues(t, as_of=None, days=30):
-    late = t.scan(
+    end = days_before(as_of, days)
+    late = t.within(FEEDBACK, "date_submitted", until=end).scan(
         FEEDBACK, "feedback_id", "customer_id", "issue_type", "satisfaction_score",
         "date_submitted", "resolved",
-    ).where(f"NOT resolved AND date_submitted < {days_before(as_of, days)}")
+    ).where(f"NOT resolved AND date_submitted < {end}")
     age = days_crossed("date_submitted", clock(as_of))
     owners = t.scan(CUSTOMERS, "customer_id", "full_name")
     return late.join(small(owners), "customer_id").select(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -27,9 +30,32 @@ def remove(spark: SparkSession, folder: str) -> None:
     system.delete(path, True)
 
 
-def move(spark: SparkSession, source: str, target: str) -> None:
-    """Renames a folder within one file system; the target's parent is made if missing."""
-    system, path = _path(spark, target)
-    system.mkdirs(path.getParent())
-    if not system.rename(_path(spark, source)[1], path):
-        raise OSError(f"cannot move {source} to {target}")
+def create(spark: SparkSession, file: str, text: str) -> None:
+    """A new file with this text; FileExistsError if there is one of that name."""
+    system, path = _path(spark, file)
+    try:
+        out = system.create(path, False)
+    except Py4JJavaError:
+        if system.exists(path):
+            raise FileExistsError(file) from None
+        raise
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+
+
+def read(spark: SparkSession, file: str) -> str:
+    system, path = _path(spark, file)
+    stream = system.open(path)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode(
+            "utf-8", "replace")
+    finally:
+        stream.close()
+
+
+def age_hours(spark: SparkSession, folder: str) -> float:
+    """Hours since a file or folder was last changed."""
+    system, path = _path(spark, folder)
+    return (time.time() * 1000 - system.getFileStatus(path).getModificationTime()) / 3_600_000

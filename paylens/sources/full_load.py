@@ -5,14 +5,17 @@ from __future__ import annotations
 import uuid
 import warnings
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from ..model import TABLES
 from ..tables import Tables
-from .cleaning import Formats, clean
+from .cleaning import Formats, clean, unread
 from .csv_folder import as_tables, read_folder
-from .store import LoadResult, load, read_stored
+from .store import LoadResult, Prepared, commit, discard, prepare, read_stored
 
 # The published order of the uploads.
 LOAD_ORDER = ("customer_details", "customer_feedback", "device_info", "fraud_alert", "merchant",
@@ -22,23 +25,40 @@ LOAD_ORDER = ("customer_details", "customer_feedback", "device_info", "fraud_ale
 def run_load(
     spark: SparkSession, in_folder: str, out_folder: str, batch: str | None = None,
     fill_defaults: bool = False, dedupe_batch: bool = False, formats: Formats = None,
-    plain: Iterable[str] = (), validate: str | None = None,
+    plain: Iterable[str] = (), validate: str | None = None, buckets: int | None = None,
 ) -> list[LoadResult]:
-    """Load every table; the first error stops the run and is raised.
-
-    Repeat a failed run with the same ``batch`` to replace what it wrote. ``formats``
-    and ``plain`` go to cleaning and reading. With ``validate`` the cleaned tables are
-    checked against the constraints before anything is written: "stop" raises
-    ``Invalid`` if a row violates one, "report" warns.
+    """Load every table. The seven are prepared side by side, then committed in order.
+
+    An error while they are prepared leaves all tables as they were; the first one in load
+    order is raised. Repeat a failed run with the same ``batch`` to replace what it wrote.
+    ``formats`` and ``plain`` go to cleaning and reading, ``buckets`` to the store. With
+    ``validate`` the cleaned tables are checked against the constraints before anything is
+    written: "stop" raises ``Invalid`` if a row violates one, "report" warns. Results hold
+    the NULLs of every column, and the unreadable values that became NULL.
     """
     batch = batch or uuid.uuid4().hex
     raw = as_tables(read_folder(spark, in_folder, plain))
     cleaned = {name: clean(name, raw[name], fill_defaults, formats) for name in TABLES}
     if validate:
         _validate(spark, cleaned, out_folder, validate)
-    return [
-        load(spark, cleaned[name], name, out_folder, batch, dedupe_batch) for name in LOAD_ORDER
-    ]
+
+    def one(name: str) -> Prepared:
+        made = prepare(spark, cleaned[name], name, out_folder, batch, dedupe_batch, buckets)
+        if any(c.lenient for c in TABLES[name].columns):
+            lost = {r.column: r.lost for r in unread(name, raw[name], formats).collect()}
+            made = replace(made, result=replace(made.result, lost=lost))
+        return made
+
+    with ThreadPoolExecutor(len(LOAD_ORDER)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(one), name)
+                   for name in LOAD_ORDER]
+    errors = [r.exception() for r in running if r.exception()]
+    if errors:
+        for done in running:
+            if not done.exception():
+                discard(spark, done.result())
+        raise errors[0]
+    return [commit(spark, done.result()) for done in running]
 
 
 class Invalid(RuntimeError):

@@ -1,0 +1,59 @@
+"""The keys of every stored batch, bucketed by key.
+
+Keys of a batch are compared with all stored ones at each load. The index holds them as
+files of hash buckets, one set per batch and the same number of buckets in all, so the
+comparison reads a bucket's files in one task and never shuffles what is stored; only the
+batch's own keys move. Spark knows about buckets through a table of its catalog: one is
+declared over the files for the time of a load, and dropped without touching them.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+LOAD = "load_"
+
+
+def default_buckets(spark: SparkSession) -> int:
+    """As many as the session's shuffles have partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@contextmanager
+def _declared(spark: SparkSession, ddl: str, key: str, buckets: int, path: str) -> Iterator[str]:
+    name = f"spark_catalog.default.paylens_keys_{uuid.uuid4().hex}"
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE {name} ({ddl}) USING parquet OPTIONS (recursiveFileLookup 'true')"
+        f" CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{place}'")
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _ddl(key: str, kind: str) -> str:
+    return f"`{key}` {kind}, {LOAD} STRING"
+
+
+def write(rows: DataFrame, key: str, path: str, folder: str, buckets: int) -> None:
+    """Adds the keys of one load; a key that is NULL is not in the index."""
+    spark = rows.sparkSession
+    keys = rows.select(key).where(F.col(key).isNotNull()).withColumn(LOAD, F.lit(folder))
+    kind = rows.schema[key].dataType.simpleString()
+    with _declared(spark, _ddl(key, kind), key, buckets, f"{path}/{folder}") as table:
+        keys.repartition(buckets, key).write.insertInto(table)
+
+
+@contextmanager
+def stored_keys(
+    spark: SparkSession, key: str, kind: str, path: str, folders: Iterable[str], buckets: int,
+) -> Iterator[DataFrame]:
+    """The keys of the given loads; to be used while the context is open."""
+    with _declared(spark, _ddl(key, kind), key, buckets, path) as table:
+        yield spark.table(table).where(F.col(LOAD).isin(list(folders))).select(key)

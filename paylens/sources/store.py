@@ -1,25 +1,35 @@
-"""Stored tables: fresh and incremental loads with verified counts (E12-E18)."""
+"""Stored tables: fresh and incremental loads with verified counts (E12-E18).
+
+A table is a folder with ``versions`` (see ``manifest``), ``data``, ``zones`` and ``keys``,
+each of the last three with a folder per load.
+"""
 
 from __future__ import annotations
 
 import uuid
-from dataclasses import asdict, dataclass
-from urllib.parse import unquote
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import TABLES, Table
-from ..operators.joins import small
+from ..operators.sizing import fits_broadcast
 from ..session import shared_folder
-from . import files
+from . import files, key_index, manifest, zones
+from .manifest import Batch, ConcurrentLoad, Version
+from .zones import Span
 
 BATCH, STAMP = "batch_id", "uploaded_at"
+__all__ = ["BATCH", "STAMP", "ConcurrentLoad", "CountMismatch", "LoadResult", "Prepared", "Span",
+           "clean_up", "commit", "load", "load_report", "new_rows", "prepare", "quality_report",
+           "read_stored", "stored_batches"]
 
 
 class CountMismatch(RuntimeError):
-    """A table does not hold the rows it held before plus the rows written."""
+    """The files of a load do not hold the rows that were written."""
 
 
 @dataclass(frozen=True)
@@ -31,24 +41,52 @@ class LoadResult:
     rows_inserted: int
     rows_skipped: int
     rows_after: int
+    nulls: dict[str, int] = field(default_factory=dict)  # of the incoming rows, by column
+    lost: dict[str, int] = field(default_factory=dict)  # unreadable values that became NULL
 
     def row(self) -> tuple:
-        return tuple(asdict(self).values())
+        return (self.table_name, self.action, self.rows_before, self.rows_incoming,
+                self.rows_inserted, self.rows_skipped, self.rows_after)
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """A load whose files are written and counted, and which no reader sees yet."""
+
+    path: str
+    base: Version
+    batches: tuple[Batch, ...]
+    buckets: int
+    folder: str
+    result: LoadResult
 
 
-def new_rows(incoming: DataFrame, stored_keys: DataFrame, key: str) -> DataFrame:
+def new_rows(
+    incoming: DataFrame, stored_keys: DataFrame, key: str, null_stored: bool | None = None,
+    buckets: int | None = None,
+) -> DataFrame:
     """Incoming rows whose key is not stored yet; a NULL key equals a NULL key.
 
-    The stored keys, the large side, are first cut to those of the batch by a
-    semi join. A small batch is broadcast there and the store is only scanned;
-    its keys never have to be shuffled to be ruled out.
+    The stored keys, the large side, are first cut to those of the batch by a semi join,
+    and only what is left meets the incoming rows. A small batch is broadcast there. Keys
+    that are read from ``buckets`` stay where they are and the batch's keys go to them.
+    ``null_stored`` says whether a NULL key is stored; left open, the stored keys tell.
     """
     batch = incoming.select(F.col(key).alias("batch_key")).distinct()
+    if fits_broadcast(batch):
+        batch = F.broadcast(batch)
+    elif buckets:  # else Spark shuffles both sides if there are fewer than its partitions
+        batch = batch.repartition(buckets, "batch_key")
     stored = stored_keys.select(F.col(key).alias("stored_key"))
     present = stored.join(
-        small(batch), F.col("stored_key").eqNullSafe(F.col("batch_key")), "left_semi"
-    ).distinct()
-    return incoming.join(present, F.col(key).eqNullSafe(F.col("stored_key")), "left_anti")
+        batch, F.col("stored_key") == F.col("batch_key"), "left_semi").distinct()
+    fresh = incoming.join(present, F.col(key) == F.col("stored_key"), "left_anti")
+    if null_stored is not None:
+        return fresh.where(F.col(key).isNotNull()) if null_stored else fresh
+    # One row if a NULL is stored; only incoming NULLs have the marker it is compared with.
+    a_null = stored.where("stored_key IS NULL").limit(1).select(F.lit(1).alias("marker"))
+    is_null = F.when(F.col(key).isNull(), F.lit(1))
+    return fresh.join(F.broadcast(a_null), is_null == F.col("marker"), "left_anti")
 
 
 def _schema(name: str) -> T.StructType:
@@ -58,104 +96,192 @@ def _schema(name: str) -> T.StructType:
     return T.StructType(fields)
 
 
-def _batches(spark: SparkSession, path: str) -> dict[str, str]:
-    """Name and folder of every batch of a table."""
-    if not files.exists(spark, path):
-        return {}
-    return {
-        unquote(entry.removeprefix(f"{BATCH}=")): full
-        for entry, full in files.children(spark, path).items() if entry.startswith(f"{BATCH}=")
-    }
+def stored_batches(spark: SparkSession, path: str) -> tuple[Batch, ...]:
+    """The batches that make up a stored table now."""
+    return manifest.current(spark, path.rstrip("/")).batches
 
 
-def read_stored(spark: SparkSession, name: str, path: str) -> DataFrame | None:
-    """A stored table with its load columns; None if it holds no batch."""
-    if not _batches(spark, path):
+def read_stored(
+    spark: SparkSession, name: str, path: str, span: Span | None = None,
+    version: Version | None = None,
+) -> DataFrame | None:
+    """A stored table with its load columns; None if it holds no batch.
+
+    With a ``span`` of the table's order column, files that hold nothing of it are left
+    out; rows outside may remain, so the caller filters as well. ``version``: the newest,
+    unless given.
+    """
+    path = path.rstrip("/")
+    version = version or manifest.current(spark, path)
+    held = [b for b in version.batches if b.rows]
+    if not held:
         return None
-    return spark.read.schema(_schema(name)).parquet(path)
+    places = [b.folder for b in held]
+    if span and TABLES[name].order:
+        places = [b.folder for b in held if zones.overlaps(b, span)]
+        if places:
+            places = zones.files_within(spark, f"{path}/zones", places, span)
+        if not places:
+            return spark.createDataFrame([], _schema(name))
+    return spark.read.schema(_schema(name)).parquet(*[f"{path}/data/{p}" for p in places])
 
 
 def load(
     spark: SparkSession, df: DataFrame, name: str, folder: str, batch: str,
-    dedupe_batch: bool = False,
+    dedupe_batch: bool = False, buckets: int | None = None,
 ) -> LoadResult:
-    """Write the rows of ``df`` that are new to the table, then check the counts.
-
-    The rows of one batch form one partition that is replaced as a whole: they are
-    written to a folder of the run and counted there, and only then take the place
-    of the batch's rows. A run that fails before leaves the table as it was; if the
-    final count differs, the earlier rows are put back. A run can be repeated with
-    more, fewer or no rows. Rows are only ever added: a stored row with the same key
-    stays as it is. Repeated keys inside a batch are kept unless ``dedupe_batch``.
+    """Write the rows of ``df`` that are new to the table; see ``prepare`` and ``commit``."""
+    return commit(spark, prepare(spark, df, name, folder, batch, dedupe_batch, buckets))
+
+
+def prepare(
+    spark: SparkSession, df: DataFrame, name: str, folder: str, batch: str,
+    dedupe_batch: bool = False, buckets: int | None = None,
+) -> Prepared:
+    """Write the rows of ``df`` that are new to the table, and count them.
+
+    The rows of one batch are replaced as a whole: what is new is compared with all other
+    batches. A run can be repeated with more, fewer or no rows. Rows are only ever added:
+    a stored row with the same key stays as it is. Repeated keys inside a batch are kept
+    unless ``dedupe_batch``. ``buckets`` divides the key index of a new table (default: as
+    many as shuffles have partitions). Until ``commit`` the table is as it was, and a
+    failure leaves nothing behind.
     """
-    folder = folder.rstrip("/")
-    table, path = TABLES[name], f"{folder}/{name}"
-    run = f"{folder}/_loading/{uuid.uuid4().hex}"  # same file system as the table
-    staged_at = f"{shared_folder(spark)}/staging/{uuid.uuid4().hex}"
+    table, path = TABLES[name], f"{folder.rstrip('/')}/{name}"
+    if files.exists(spark, path) and any(
+            child.startswith(f"{BATCH}=") for child in files.children(spark, path)):
+        raise ValueError(f"{path} was written without versions; load its rows into a new folder")
+    base = manifest.current(spark, path)
+    others = [b for b in base.batches if b.name != batch]
+    buckets = base.buckets or buckets or key_index.default_buckets(spark)
+    run = f"load-{uuid.uuid4().hex}"
     if dedupe_batch:
         df = df.dropDuplicates([table.key])
+    before = sum(b.rows for b in others)
     try:
-        stored = read_stored(spark, name, path)
-        if stored is not None:
-            stored = stored.where(F.col(BATCH) != batch)
-        if stored is None:
-            before, incoming, fresh = 0, None, df
+        if before:
+            with _staged(spark, df, name) as staged:
+                incoming, nulls = _nulls(staged)
+                with key_index.stored_keys(
+                        spark, table.key, df.schema[table.key].dataType.simpleString(),
+                        f"{path}/keys", [b.folder for b in others if b.rows], buckets) as keys:
+                    fresh = new_rows(
+                        staged, keys, table.key, any(b.null_keys for b in others), buckets)
+                    made = _write(spark, fresh, table, path, run, batch, buckets)
         else:
-            # The batch is read three times below; parse and check it only once.
-            df.write.parquet(f"{staged_at}/{name}")
-            staged = spark.read.schema(df.schema).parquet(f"{staged_at}/{name}")
-            before, incoming = stored.count(), staged.count()
-            fresh = new_rows(staged, stored, table.key)
-        inserted = _write(spark, fresh, table, f"{run}/new", batch)
-        return _swap_in(spark, name, path, run, batch, before, incoming, inserted)
+            made, incoming = _write(spark, df, table, path, run, batch, buckets), None
+            nulls = {}
+            if made.rows:
+                nulls = _nulls(_read(spark, name, path, run).select(*df.columns))[1]
+    except BaseException:
+        _remove(spark, path, run)
+        raise
+    incoming = made.rows if incoming is None else incoming
+    action = "fresh" if not others else "appended" if made.rows else "unchanged"
+    result = LoadResult(name, action, before, incoming, made.rows, incoming - made.rows,
+                        before + made.rows, nulls)
+    batches = (*others, made) if made.rows else tuple(others)
+    return Prepared(path, base, batches, buckets, run, result)
+
+
+def commit(spark: SparkSession, prepared: Prepared) -> LoadResult:
+    """Make a prepared load visible; ConcurrentLoad if the table has changed since."""
+    try:
+        if prepared.batches != prepared.base.batches:
+            manifest.commit(
+                spark, prepared.path, prepared.base, prepared.batches, prepared.buckets)
+    except ConcurrentLoad:
+        _remove(spark, prepared.path, prepared.folder)
+        raise
+    return prepared.result
+
+
+def discard(spark: SparkSession, prepared: Prepared) -> None:
+    """Remove the files of a load that is not to be committed."""
+    _remove(spark, prepared.path, prepared.folder)
+
+
+def _remove(spark: SparkSession, path: str, run: str) -> None:
+    for part in ("data", "zones", "keys"):
+        files.remove(spark, f"{path}/{part}/{run}")
+
+
+@contextmanager
+def _staged(spark: SparkSession, df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """The batch as a table of its own: it is read several times, but parsed only once."""
+    place = f"{shared_folder(spark)}/staging/{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(f"{place}/{name}")
+        yield spark.read.schema(df.schema).parquet(f"{place}/{name}")
     finally:
-        files.remove(spark, run)
-        files.remove(spark, staged_at)
+        files.remove(spark, place)
+
 
+def _nulls(df: DataFrame) -> tuple[int, dict[str, int]]:
+    """Rows, and NULLs by column, from one scan."""
+    counted = df.agg(F.count(F.lit(1)).alias("rows_"),
+                     *[F.count(F.col(f"`{c}`")).alias(f"n_{c}") for c in df.columns]).first()
+    return counted.rows_, {c: counted.rows_ - counted[f"n_{c}"] for c in df.columns}
 
-def _write(spark: SparkSession, fresh: DataFrame, table: Table, target: str, batch: str) -> int:
-    """Writes the batch apart; the number of rows that are really there."""
+
+def _write(
+    spark: SparkSession, fresh: DataFrame, table: Table, path: str, run: str, batch: str,
+    buckets: int,
+) -> Batch:
+    """Writes rows, zones and keys of a load; the batch with the rows that are really there."""
     written = Observation(f"load {table.name}")
     rows = fresh.withColumn(STAMP, F.current_timestamp().cast("timestamp_ntz"))
-    rows = rows.withColumn(BATCH, F.lit(batch)).observe(written, F.count(F.lit(1)).alias("n"))
-    if table.sort_by:  # narrow value ranges per row group, so that readers can skip
-        rows = rows.sortWithinPartitions(BATCH, *table.sort_by)
-    rows.write.partitionBy(BATCH).parquet(target)
-    made = read_stored(spark, table.name, target)
-    found = made.count() if made is not None else 0
+    rows = rows.withColumn(BATCH, F.lit(batch))
+    if table.order:  # every file a short stretch; the key splits a moment with many rows
+        rows = rows.repartitionByRange(table.order, table.key).sortWithinPartitions(table.order)
+    rows = rows.observe(written, F.count(F.lit(1)).alias("n"))
+    rows.write.parquet(f"{path}/data/{run}")
+    found = _count(spark, table.name, f"{path}/data/{run}")
     if found != written.get["n"]:
         raise CountMismatch(f"{table.name}: {written.get['n']} rows written, {found} found")
-    return found
+    made = Batch(batch, run, found)
+    if not found:
+        _remove(spark, path, run)
+        return made
+    stored = _read(spark, table.name, path, run)
+    if table.order:
+        low, high = zones.write(stored, table.order, f"{path}/zones/{run}")
+        made = replace(made, low=low, high=high)
+    key_index.write(stored, table.key, f"{path}/keys", run, buckets)
+    null_keys = stored.where(F.col(table.key).isNull()).count()
+    return replace(made, null_keys=null_keys)
 
 
-def _swap_in(
-    spark: SparkSession, name: str, path: str, run: str, batch: str, before: int,
-    incoming: int | None, inserted: int,
-) -> LoadResult:
-    earlier, made = _batches(spark, path), _batches(spark, f"{run}/new")
-    fresh = not earlier or set(earlier) == {batch}
-    old = earlier.get(batch)
-    if old:
-        files.move(spark, old, f"{run}/old")
-    placed = None
-    if batch in made:
-        placed = f"{path}/{made[batch].rstrip('/').rsplit('/', 1)[1]}"
-        files.move(spark, made[batch], placed)
-    after = _count(spark, name, path)
-    if before + inserted != after:
-        if placed:
-            files.remove(spark, placed)
-        if old:
-            files.move(spark, f"{run}/old", old)
-        raise CountMismatch(f"{name}: {before} + {inserted} rows expected, {after} found")
-    incoming = inserted if incoming is None else incoming
-    action = "fresh" if fresh else "appended" if inserted else "unchanged"
-    return LoadResult(name, action, before, incoming, inserted, incoming - inserted, after)
-
-
-def _count(spark: SparkSession, name: str, path: str) -> int:
-    stored = read_stored(spark, name, path)
-    return stored.count() if stored is not None else 0
+def _read(spark: SparkSession, name: str, path: str, run: str) -> DataFrame:
+    return spark.read.schema(_schema(name)).parquet(f"{path}/data/{run}")
+
+
+def _count(spark: SparkSession, name: str, place: str) -> int:
+    """Rows in the files of a load, from their footers."""
+    return spark.read.schema(_schema(name)).parquet(place).count()
+
+
+def clean_up(spark: SparkSession, folder: str, name: str, older_than_hours: float = 24.0) -> int:
+    """Removes the files of loads that the table does not name any more; how many loads.
+
+    Young ones stay: a load may be about to commit them, or a reader still open them. Older
+    versions of the table can then no longer be read, so their files go as well.
+    """
+    path = f"{folder.rstrip('/')}/{name}"
+    version = manifest.current(spark, path)
+    live = {b.folder for b in version.batches}
+    gone: set[str] = set()
+    for part in ("data", "zones", "keys"):
+        if files.exists(spark, f"{path}/{part}"):
+            for child, place in files.children(spark, f"{path}/{part}").items():
+                if child not in live and files.age_hours(spark, place) >= older_than_hours:
+                    files.remove(spark, place)
+                    gone.add(child)
+    for number in manifest.numbers(spark, path):
+        place = f"{path}/versions/{number:012d}.json"
+        if number < version.number and files.age_hours(spark, place) >= older_than_hours:
+            files.remove(spark, place)
+    return len(gone)
 
 
 def load_report(spark: SparkSession, results: list[LoadResult]) -> DataFrame:
@@ -165,3 +291,13 @@ def load_report(spark: SparkSession, results: list[LoadResult]) -> DataFrame:
         "table_name string, action string, rows_before long, rows_incoming long,"
         " rows_inserted long, rows_skipped long, rows_after long",
     )
+
+
+def quality_report(spark: SparkSession, results: list[LoadResult]) -> DataFrame:
+    """NULL cells and lost values of the incoming rows, a row per table and column."""
+    return spark.createDataFrame(
+        [(r.table_name, column, r.rows_incoming, n, r.lost.get(column, 0))
+         for r in results for column, n in r.nulls.items()],
+        "table_name string, column_name string, rows_incoming long, null_cells long,"
+        " lost_values long",
+    )

@@ -136,7 +136,7 @@ def test_load_twice_adds_rows_once(spark, folder, tmp_path):
 
     stored = Tables.stored(spark, out)
     assert stored.scan("transaction_history").schema == TABLES["transaction_history"].schema
-    raw = spark.read.parquet(f"{out}/transaction_history")
+    raw = store.read_stored(spark, "transaction_history", f"{out}/transaction_history")
     assert raw.where(F.col("uploaded_at").isNull()).count() == 0
     assert [r.transaction_id for r in preview(stored, "transaction_history", 2).collect()] == [
         "t1", "t2"]

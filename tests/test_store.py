@@ -1,13 +1,18 @@
 """Batches: any name, repeats of any size, and nothing kept of a failed load."""
 
+from datetime import datetime, timedelta
+
 import pytest
+from pyspark.sql import functions as F
 
 from paylens.model import TABLES
+from paylens.plans import REPORTS
 from paylens.session import shared_folder
-from paylens.sources import files, store
+from paylens.sources import files, key_index, manifest, store, zones
 from paylens.sources.cleaning import clean, unread
 from paylens.sources.csv_folder import read_folder
 from paylens.sources.full_load import Invalid, run_load
+from paylens.tables import Tables
 from test_load import ROWS, write_folder
 
 NAME = "merchant"
@@ -43,24 +48,119 @@ def test_a_repeat_replaces_its_batch(spark, tmp_path, again, left):
     assert held(spark, folder) == [("x", "a"), ("x", "b")] + [("y", i) for i in left]
 
 
-def test_a_failed_count_changes_nothing(spark, tmp_path, monkeypatch):
+# What a load does, one after the other; each may be the one that fails.
+STEPS = [("store", "_staged"), ("store", "_nulls"), ("store", "new_rows"), ("store", "_count"),
+         ("zones", "write"), ("key_index", "write"), ("key_index", "stored_keys"),
+         ("manifest", "commit"), ("files", "create")]
+
+
+class Broken(RuntimeError):
+    pass
+
+
+@pytest.mark.parametrize("module, step", STEPS)
+@pytest.mark.parametrize("late", [False, True])
+def test_a_failure_at_any_step_loses_nothing(spark, tmp_path, monkeypatch, module, step, late):
+    """Before the step and after it; then the same load succeeds."""
+    name, folder = "device_info", str(tmp_path)
+
+    def devices(*ids):
+        rows = [(i, "c1", "phone", "1", False, datetime(2024, 1, 1 + k)) for k, i in enumerate(ids)]
+        return spark.createDataFrame(rows, TABLES[name].schema)
+
+    def rows():
+        df = store.read_stored(spark, name, f"{folder}/{name}")
+        return sorted((r.batch_id, r.device_id) for r in df.collect())
+
+    store.load(spark, devices("a", "b"), name, folder, "x")
+    store.load(spark, devices("c"), name, folder, "y")
+    before, version = rows(), manifest.current(spark, f"{folder}/{name}")
+    owner = {"store": store, "zones": zones, "key_index": key_index, "manifest": manifest,
+             "files": files}[module]
+    real = getattr(owner, step)
+
+    def failing(*args, **kwargs):
+        if late and not (module, step) in (("manifest", "commit"), ("files", "create")):
+            real(*args, **kwargs)
+        raise Broken(step)
+
+    monkeypatch.setattr(owner, step, failing)
+    with pytest.raises(Broken):
+        store.load(spark, devices("b", "d"), name, folder, "x")
+    monkeypatch.undo()
+    assert rows() == before == [("x", "a"), ("x", "b"), ("y", "c")]
+    assert manifest.current(spark, f"{folder}/{name}") == version
+    result = store.load(spark, devices("b", "d"), name, folder, "x")
+    assert (result.rows_before, result.rows_inserted) == (1, 2)
+    assert rows() == [("x", "b"), ("x", "d"), ("y", "c")]
+
+
+def test_a_repeat_that_fails_keeps_the_batch(spark, tmp_path, monkeypatch):
+    """The only batch of a table, repeated, with the last step failing."""
     folder = str(tmp_path)
     store.load(spark, merchants(spark, "a"), NAME, folder, "x")
-    store.load(spark, merchants(spark, "b"), NAME, folder, "y")
-    before = held(spark, folder)
-    real = store.read_stored
-    calls = []
-
-    def losing(s, name, path):
-        calls.append(path)
-        found = real(s, name, path)
-        return found.limit(1) if len(calls) == 3 else found
-
-    monkeypatch.setattr(store, "read_stored", losing)
-    with pytest.raises(store.CountMismatch):
-        store.load(spark, merchants(spark, "b", "c"), NAME, folder, "y")
+    monkeypatch.setattr(files, "create", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.load(spark, merchants(spark, "b"), NAME, folder, "x")
     monkeypatch.undo()
-    assert held(spark, folder) == before
+    assert held(spark, folder) == [("x", "a")]
+
+
+def test_a_version_that_is_cut_off_does_not_count(spark, tmp_path):
+    folder, path = str(tmp_path), f"{tmp_path}/{NAME}"
+    store.load(spark, merchants(spark, "a"), NAME, folder, "x")
+    whole = files.read(spark, f"{path}/versions/{1:012d}.json")
+    for number, text in ((2, ""), (3, whole[:40]), (4, whole[:-2])):
+        files.create(spark, f"{path}/versions/{number:012d}.json", text)
+    assert manifest.current(spark, path).number == 1
+    store.load(spark, merchants(spark, "b"), NAME, folder, "y")
+    assert manifest.current(spark, path).number == 5
+    assert held(spark, folder) == [("x", "a"), ("y", "b")]
+
+
+def test_one_of_two_loads_at_once_is_refused(spark, tmp_path):
+    folder, path = str(tmp_path), f"{tmp_path}/{NAME}"
+    store.load(spark, merchants(spark, "a"), NAME, folder, "x")
+    first = store.prepare(spark, merchants(spark, "b"), NAME, folder, "y")
+    second = store.prepare(spark, merchants(spark, "b", "c"), NAME, folder, "z")
+    store.commit(spark, first)
+    with pytest.raises(store.ConcurrentLoad):
+        store.commit(spark, second)
+    assert held(spark, folder) == [("x", "a"), ("y", "b")]
+    assert not files.exists(spark, f"{path}/data/{second.folder}")
+    with pytest.raises(FileExistsError):
+        files.create(spark, f"{path}/versions/{1:012d}.json", "again")
+
+
+def test_a_version_finished_in_between_withdraws_the_later_one(spark, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    base = manifest.commit(spark, path, manifest.Version(), [manifest.Batch("a", "f", 1)], 8)
+    body = files.read(spark, f"{path}/versions/{1:012d}.json")
+    files.create(spark, f"{path}/versions/{2:012d}.json", "")  # still being written
+    real = files.create
+
+    def create(s, file, text):
+        real(s, file, text)
+        files.remove(s, f"{path}/versions/{2:012d}.json")
+        real(s, f"{path}/versions/{2:012d}.json", body)  # now it is whole
+
+    monkeypatch.setattr(files, "create", create)
+    with pytest.raises(store.ConcurrentLoad):
+        manifest.commit(spark, path, base, [], 8)
+    assert manifest.current(spark, path).number == 2
+
+
+def test_readers_keep_their_version(spark, tmp_path):
+    folder = str(tmp_path)
+    for name, table in TABLES.items():
+        store.load(spark, spark.createDataFrame([], table.schema), name, folder, "x")
+    store.load(spark, merchants(spark, "a"), NAME, folder, "x")
+    t = Tables.stored(spark, folder)
+    assert t.scan(NAME).count() == 1
+    store.load(spark, merchants(spark, "b"), NAME, folder, "x")
+    assert [r.merchant_id for r in t.scan(NAME, "merchant_id").collect()] == ["a"]
+    assert [r.merchant_id for r in Tables.stored(spark, folder).scan(NAME).collect()] == ["b"]
+    assert t.scan("device_info").count() == 0
 
 
 def test_nothing_is_left_behind(spark, tmp_path):
@@ -69,7 +169,170 @@ def test_nothing_is_left_behind(spark, tmp_path):
         store.load(spark, merchants(spark, f"m{k}"), NAME, folder, f"b{k}")
     staging = f"{shared_folder(spark)}/staging"
     assert not files.exists(spark, staging) or not files.children(spark, staging)
-    assert not files.children(spark, f"{folder}/_loading")
+    assert not [r for r in spark.catalog.listTables() if r.name.startswith("paylens_keys_")]
+    for part in ("data", "keys"):
+        assert len(files.children(spark, f"{folder}/{NAME}/{part}")) == 3
+
+
+def test_clean_up(spark, tmp_path):
+    folder = str(tmp_path)
+    for k in range(3):
+        store.load(spark, merchants(spark, f"m{k}"), NAME, folder, "x")
+    store.load(spark, merchants(spark, "n"), NAME, folder, "y")
+    assert store.clean_up(spark, folder, NAME) == 0  # too young
+    assert store.clean_up(spark, folder, NAME, older_than_hours=-1) == 2
+    assert held(spark, folder) == [("x", "m2"), ("y", "n")]
+    assert len(files.children(spark, f"{folder}/{NAME}/versions")) == 1
+    result = store.load(spark, merchants(spark, "m2", "o"), NAME, folder, "z")
+    assert result.rows_inserted == 1
+
+
+def test_batches_of_an_earlier_layout_are_not_overlooked(spark, tmp_path):
+    merchants(spark, "a").write.parquet(f"{tmp_path}/{NAME}/batch_id=x")
+    with pytest.raises(ValueError, match="without versions"):
+        store.load(spark, merchants(spark, "a"), NAME, str(tmp_path), "x")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def above(text, node, top):
+    """The lines of a plan from ``node`` up to the first ``top``."""
+    lines = text.split("\n")
+    at = next(i for i, line in enumerate(lines) if node in line)
+    depth, found = len(lines[at]) - len(lines[at].lstrip(" :+-")), []
+    for line in reversed(lines[:at]):
+        indent = len(line) - len(line.lstrip(" :+-"))
+        if indent < depth:
+            found.append(line)
+            depth = indent
+            if top in line:
+                return found
+    raise AssertionError(f"no {top} above {node}")
+
+
+@pytest.mark.parametrize("buckets", [4, 8, 20])
+def test_stored_keys_are_never_shuffled(spark, tmp_path, buckets):
+    """Whether there are fewer or more buckets than partitions of a shuffle."""
+    folder, path = str(tmp_path), f"{tmp_path}/{NAME}"
+    for k in range(2):
+        store.load(spark, merchants(spark, *[f"m{k}{i}" for i in range(50)], None), NAME, folder,
+                   f"b{k}", buckets=buckets)
+    version = manifest.current(spark, path)
+    assert version.buckets == buckets
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with key_index.stored_keys(
+                spark, "merchant_id", "string", f"{path}/keys",
+                [b.folder for b in version.batches], version.buckets) as keys:
+            batch = merchants(spark, "m01", "new", "new", None, None)
+            fresh = store.new_rows(batch, keys, "merchant_id", True, version.buckets)
+            text = plan(fresh)
+            assert sorted(r.merchant_id for r in fresh.collect()) == ["new", "new"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert f"SelectedBucketsCount: {buckets} out of {buckets}" in text
+    assert not [line for line in above(text, "FileScan", "SortMergeJoin") if "Exchange" in line]
+
+
+@pytest.mark.parametrize("stored_null", [False, True])
+def test_new_rows_with_and_without_a_stored_null(spark, stored_null):
+    kind = "merchant_id string, merchant_name string"
+    stored = spark.createDataFrame([("m1",)] + [(None,)] * stored_null, "merchant_id string")
+    batch = spark.createDataFrame([("m1", "x"), (None, "y"), ("m2", "z"), (None, "w")], kind)
+    wanted = ["z"] if stored_null else ["w", "y", "z"]
+    for known in (None, stored_null):
+        fresh = store.new_rows(batch, stored, "merchant_id", known)
+        assert sorted(r.merchant_name for r in fresh.collect()) == wanted
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    """Small partitions stay apart, as large ones would."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def devices(spark, first, days):
+    begin = datetime(2024, 1, 1) + timedelta(first)
+    rows = [(f"d{first}-{k}", "c1", "phone", "1", False, begin + timedelta(k))
+            for k in range(days)]
+    return spark.createDataFrame(rows + [(f"n{first}", "c1", "phone", "1", False, None)],
+                                 TABLES["device_info"].schema)
+
+
+def opened(df):
+    return {f.rsplit("/", 1)[1] for f in df.inputFiles()}
+
+
+def test_only_files_that_overlap_are_opened(spark, tmp_path, uncoalesced):
+    """Three loads of a hundred days each, eight files per load."""
+    name, folder = "device_info", str(tmp_path)
+    for name_, table in TABLES.items():
+        if name_ != name:
+            spark.createDataFrame([], table.schema).write.parquet(f"{folder}/{name_}")
+    for k in range(3):
+        store.load(spark, devices(spark, 100 * k, 100), name, folder, f"b{k}")
+    t = Tables.stored(spark, folder)
+    whole = t.scan(name)
+    moments = {}
+    for r in whole.selectExpr("_metadata.file_name AS f", "last_active").collect():
+        moments.setdefault(r.f, []).append(r.last_active)
+    assert len(moments) >= 18 and len(opened(whole)) == len(moments)
+    for since, until in ((250, None), (None, 20), (90, 110), (299, 299), (150, 40)):
+        low, high = (None if d is None else datetime(2024, 1, 1) + timedelta(d)
+                     for d in (since, until))
+        part = t.within(name, "last_active", low and f"TIMESTAMP_NTZ '{low}'",
+                        high and f"TIMESTAMP_NTZ '{high}'").scan(name)
+
+        def inside(m):
+            return m is not None and (not low or m >= low) and (not high or m <= high)
+
+        wanted = {f for f, held in moments.items() if any(map(inside, held))}
+        assert wanted <= opened(part) and len(opened(part)) <= len(wanted) + 1
+        assert len(opened(part)) < len(moments)
+        kept = sorted(r.device_id for r in part.collect() if inside(r.last_active))
+        assert kept == sorted(r.device_id for r in whole.collect() if inside(r.last_active))
+    assert opened(t.within(name, "app_version").scan(name)) == opened(whole)
+    stale = REPORTS["q8_04_stale_devices"](t, as_of="2024-04-01", days=60)
+    assert stale.first()[0] == 31
+
+
+def test_a_moment_with_most_rows_is_spread(spark, tmp_path, uncoalesced):
+    name, folder = "device_info", str(tmp_path)
+    rows = [(f"d{k}", "c1", "phone", "1", False, datetime(2024, 1, 1)) for k in range(4000)]
+    store.load(spark, spark.createDataFrame(rows, TABLES[name].schema), name, folder, "x")
+    df = store.read_stored(spark, name, f"{folder}/{name}")
+    sizes = [r.n for r in df.groupBy("_metadata.file_name").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 2 and max(sizes) < 2000
+
+
+def test_nulls_and_lost_dates_of_a_load(spark, tmp_path):
+    folder = write_folder(tmp_path / "in")
+    for batch in ("1", "2"):  # counted of the incoming rows, stored or not
+        results = {r.table_name: r for r in run_load(spark, folder, str(tmp_path / "out"), batch)}
+        assert results["fraud_alert"].lost == {"resolution_date": 1}
+        assert results["fraud_alert"].nulls["resolution_date"] == 1
+        assert results["fraud_alert"].nulls["remarks"] == 2
+        assert results["customer_feedback"].nulls["feedback_text"] == 1
+    lines = store.quality_report(spark, list(results.values()))
+    assert lines.where("lost_values > 0").count() == 1
+    assert lines.count() == sum(len(t.columns) for t in TABLES.values())
+
+
+def test_an_error_in_one_table_commits_none(spark, tmp_path):
+    out = str(tmp_path / "out")
+    run_load(spark, write_folder(tmp_path / "in"), out, "1")
+    before = {n: manifest.current(spark, f"{out}/{n}").number for n in TABLES}
+    more = [*ROWS["upi_account_details"], "u3,c2,B1,savings,2023-01-01,active"]
+    bad = [*ROWS["upi_transaction_history"], "t9,u1,c1,no date,1,send,,u9,x,d1,p,w,False,False,"]
+    folder = write_folder(tmp_path / "bad", upi_account_details=more, upi_transaction_history=bad)
+    with pytest.raises(Exception, match="timestamp"):
+        run_load(spark, folder, out, "2")
+    assert {n: manifest.current(spark, f"{out}/{n}").number for n in TABLES} == before
+    assert all(len(files.children(spark, f"{out}/{n}/data")) == 1 for n in TABLES)
 
 
 def test_parts_with_other_headers_stop(spark, tmp_path):
