@@ -25,6 +25,23 @@ def children(spark: SparkSession, folder: str) -> dict[str, str]:
     return {p.getName(): p.toString() for p in found}
 
 
+def is_folder(spark: SparkSession, place: str) -> bool:
+    system, path = _path(spark, place)
+    return system.getFileStatus(path).isDirectory()
+
+
+def first_line(spark: SparkSession, file: str, limit: int = 1 << 16) -> str:
+    """The first line of a text file, without its end; at most ``limit`` bytes are read."""
+    system, path = _path(spark, file)
+    stream = system.open(path)
+    try:
+        head = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(
+            spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, limit)))
+    finally:
+        stream.close()
+    return head.decode("utf-8-sig", "replace").split("\n", 1)[0].rstrip("\r")
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     system, path = _path(spark, folder)
     system.delete(path, True)
