@@ -25,7 +25,8 @@ class Facet:
 
     reads: tuple[str, ...]
     parts: dict[str, str]
-    combine: str | None = "sum"  # None: cannot be built from partial results
+    combine: str = "sum"
+    moments: str | None = None  # the name of a standard deviation, see ``_spreads``
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ MONEY_DIGITS = 4
 SCORE_DIGITS = 10
 
 
-def _aggregate(name: str, column: str, sql: str, combine: str | None = "sum") -> Facet:
+def _aggregate(name: str, column: str, sql: str, combine: str = "sum") -> Facet:
     return Facet((column,), {name: sql}, combine)
 
 
@@ -68,6 +69,13 @@ def _exact(name: str, column: str, digits: int) -> Facet:
     return Facet((column,), split_sum(column, name, digits))
 
 
+def _spread(name: str, column: str) -> Facet:
+    """The sample standard deviation, as count, mean and sum of squared deviations."""
+    return Facet((column,), {
+        f"{name}_n": f"count({column})", f"{name}_mean": f"avg({column})",
+        f"{name}_m2": f"var_pop({column}) * count({column})"}, moments=name)
+
+
 _ROWS = Facet((), {"rows": "count(1)"})
 
 FACETS: dict[str, dict[str, Facet]] = {
@@ -78,7 +86,7 @@ FACETS: dict[str, dict[str, Facet]] = {
         "priced": _present("priced", "amount"),
         "low": _aggregate("low", "amount", "min(amount)", "min"),
         "high": _aggregate("high", "amount", "max(amount)", "max"),
-        "spread": _aggregate("spread", "amount", "stddev_samp(amount)", None),
+        "spread": _spread("spread", "amount"),
         "fraud": _tally("fraud", "fraud_flag"),
         "clean": _tally("clean", "fraud_flag", "NOT {}"),
         "reversed": _tally("reversed", "reversal_flag"),
@@ -144,7 +152,54 @@ def _measures(facets: Sequence[Facet]) -> list[Column]:
 
 
 def _combined(facets: Sequence[Facet]) -> list[Column]:
-    return [F.expr(f"{f.combine}({name}) AS {name}") for f in facets for name in f.parts]
+    """Combined parts; of moments only what the first of two steps needs."""
+    made = []
+    for f in facets:
+        if f.moments:
+            count, mean = f"{f.moments}_n", f"{f.moments}_mean"
+            made += [F.expr(f"sum({count}) AS {count}"),
+                     F.expr(f"sum({count} * {mean}) / nullif(sum({count}), 0) AS {mean}")]
+        else:
+            made += [F.expr(f"{f.combine}({name}) AS {name}") for name in f.parts]
+    return made
+
+
+def _deviation(name: str) -> str:
+    return f"CASE WHEN {name}_n > 1 THEN sqrt({name}_m2 / ({name}_n - 1)) END"
+
+
+def _spreads(df: DataFrame, facets: Sequence[Facet]) -> DataFrame:
+    """Standard deviations from count, mean and squared deviations of whole groups."""
+    for f in facets:
+        if f.moments:
+            df = df.withColumn(f.moments, F.expr(_deviation(f.moments))).drop(*f.parts)
+    return df
+
+
+def _merged(
+    parts: DataFrame, keys: Sequence[Key], facets: Sequence[Facet], more: Sequence[Column] = (),
+) -> DataFrame:
+    """Groups of parts.
+
+    Squared deviations are taken from the mean of the whole group, as the parallel formula
+    does, so that no large numbers cancel: the groups come first, and their means, a row per
+    group, meet the parts again.
+    """
+    groups = _grouped(parts, keys, [*_combined(facets), *more])
+    spread = [f.moments for f in facets if f.moments]
+    if not spread:
+        return groups
+    means = groups.select(*[F.col(k.name).alias(f"g_{k.name}") for k in keys],
+                          *[F.col(f"{name}_mean").alias(f"whole_{name}") for name in spread])
+    same = [f"{k.name} <=> g_{k.name}" for k in keys] or ["true"]
+    apart = parts.join(means, F.expr(" AND ".join(same)))
+    squares = _grouped(apart, keys, [F.expr(
+        f"sum({name}_m2 + {name}_n * pow({name}_mean - whole_{name}, 2)) AS {name}_m2")
+        for name in spread])
+    squares = squares.select(*[F.col(k.name).alias(f"g_{k.name}") for k in keys],
+                             *[f"{name}_m2" for name in spread])
+    joined = groups.join(squares, F.expr(" AND ".join(same)))
+    return _spreads(joined.drop(*[f"g_{k.name}" for k in keys]), facets)
 
 
 def _finish(df: DataFrame, keys: Sequence[Key]) -> DataFrame:
@@ -170,7 +225,12 @@ def rollup(
     """One scan and one shuffle of partial results; global when there are no keys."""
     keys, measures = as_keys(keys), _facets(table, facets)
     rows = scan(tables, table, _needed(measures, keys, where), where)
-    return _finish(_grouped(rows, keys, _measures(measures)), keys)
+    return _finish(_spreads(_grouped(rows, keys, _measures(measures)), measures), keys)
+
+
+def combined(df: DataFrame, table: str, keys: Iterable[str], facets: str) -> DataFrame:
+    """Facets of the groups of ``keys``, from those of parts of the table."""
+    return _merged(df, as_keys(keys), _facets(table, facets))
 
 
 def lookup_rows(
@@ -192,8 +252,8 @@ def rollup_through(
 
     * a small lookup (size checked) is broadcast: the fact table is not shuffled;
     * otherwise the fact table is first reduced to one row per ``on``;
-    * facets that cannot be combined, or ``reduce_first=False``, use a plain join,
-      whose hot keys adaptive execution splits on the fact side.
+    * ``reduce_first=False`` uses a plain join, whose hot keys adaptive execution splits on
+      the fact side.
 
     ``distinct_as`` adds the number of different ``on`` values per group.
     """
@@ -207,16 +267,15 @@ def rollup_through(
     direct = all(k.name != on for k in keys) and distinct_as is None and fits_broadcast(parents)
     if direct:
         df = rows.join(F.broadcast(parents), on)
-        df = _grouped(df, [*by_lookup, *fact_keys], _measures(measures))
-    elif not reduce_first or any(m.combine is None for m in measures):
-        df = _grouped(rows.join(parents, on), [*by_lookup, *fact_keys], _measures(measures))
+        df = _spreads(_grouped(df, [*by_lookup, *fact_keys], _measures(measures)), measures)
+    elif not reduce_first:
+        df = rows.join(parents, on)
+        df = _spreads(_grouped(df, [*by_lookup, *fact_keys], _measures(measures)), measures)
     else:
         per_key = _grouped(rows, [*as_keys([on]), *fact_keys], _measures(measures))
-        merged = _combined(measures)
-        if distinct_as:
-            merged.append(F.count_distinct(on).alias(distinct_as))
+        more = [F.count_distinct(on).alias(distinct_as)] if distinct_as else []
         by_fact = as_keys(k.name for k in fact_keys)
-        df = _grouped(per_key.join(parents, on), [*by_lookup, *by_fact], merged)
+        df = _merged(per_key.join(parents, on), [*by_lookup, *by_fact], measures, more)
     return _finish(df, everything)
 
 
@@ -231,6 +290,8 @@ def rollup_around(
     lookup column to the name of its average over the joined rows.
     """
     keys, measures = as_keys(keys), _facets(fact, facets)
+    if any(f.moments for f in measures):
+        raise ValueError("no standard deviations of left-joined rows")
     rows = scan(tables, fact, _needed(measures, (), None, on), None)
     per_key = _grouped(rows, as_keys([on]), _measures(measures))
     carried = as_keys((weighted or {}).keys())
