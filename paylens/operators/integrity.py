@@ -38,29 +38,17 @@ def orphans(
     return missing.agg(F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias(name))
 
 
-def not_in_count(child: DataFrame, on: str, parent: DataFrame, parent_on: str) -> Column:
-    """Number of child rows whose key is NOT IN the parent's column, SQL style.
+def repeated_keys(df: DataFrame, key: str, name: str = "row_count", bits: int = 64) -> DataFrame:
+    """Keys of several rows, with their row counts; NULL is a key like any other.
 
-    One NULL in the parent column makes the answer 0; an empty parent makes it
-    every row. Written with counts, because Spark's null-aware anti join has to
-    broadcast the whole parent column.
+    Rows are counted by a hash of the key first, 8 bytes each; only rows whose hash repeats
+    are counted by the key itself, so different keys with one hash are told apart. ``bits``
+    of the hash are used.
     """
-    parent_rows = parent.agg(
-        F.count(F.lit(1)).alias("n"), F.count(parent_on).alias("filled")
-    )
-    state = parent_rows.select(
-        F.when(F.col("n") == 0, "empty")
-        .when(F.col("filled") < F.col("n"), "has null")
-        .otherwise("filled")
-    ).scalar()
-    missing = orphans(child, on, parent, parent_on, "missing", skip_null=True).scalar()
-    everything = child.agg(F.count(F.lit(1))).scalar()
-    none = F.lit(0).cast("bigint")
-    return F.when(state == "empty", everything).when(state == "has null", none).otherwise(missing)
-
-
-def repeated_keys(df: DataFrame, key: str, name: str = "row_count") -> DataFrame:
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > 1)
+    hashed = df.select(F.col(key), F.shiftright(F.xxhash64(key), 64 - bits).alias("hash_"))
+    often = hashed.groupBy("hash_").agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1")
+    suspects = hashed.join(often.select("hash_"), "hash_", "left_semi")
+    return suspects.groupBy(key).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > 1)
 
 
 def null_counts(columns: Sequence[str], names: dict[str, str] | None = None) -> list[Column]:

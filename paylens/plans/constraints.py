@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rates import tally
 from ..model import TABLES
-from ..operators import integrity
+from ..operators.audit import Link, audit
+from ..operators.integrity import repeated_keys
 from ..operators.lines import as_lines
 from .catalog import report
 
@@ -32,34 +32,23 @@ def _row_checks(name: str, present: list[str]) -> list[tuple[str, str, str]]:
 def violations(t, name: str) -> DataFrame:
     """Bad rows per declared constraint: (table_name, kind, rule, violations).
 
-    All row-level rules share one scan; the key and each reference take one
-    shuffle of the key column.
+    Rules and references share a shuffle; the primary key, of which nothing is combined
+    before it is shuffled, travels as a hash.
     """
     table, present = TABLES[name], t.columns(name)
     checks = _row_checks(name, present)
-    counted = t.scan(name, *present).agg(*[
-        F.expr(f"coalesce({tally(bad)}, 0L) AS c{i}") for i, (_, _, bad) in enumerate(checks)
-    ])
-    report_rows = as_lines(counted, [
-        {"table_name": f"'{name}'", "kind": f"'{kind}'", "rule": f"'{rule}'",
-         "violations": f"c{i}"}
-        for i, (kind, rule, _) in enumerate(checks)
-    ])
-    repeated = integrity.repeated_keys(t.scan(name, table.key), table.key, "n")
-    report_rows = report_rows.unionAll(repeated.agg(
-        F.expr("coalesce(sum(n - 1), 0L) AS violations")
-    ).selectExpr(f"'{name}'", "'primary key'", f"'{table.key}'", "violations"))
-
-    for link in table.references:
-        lost = integrity.orphans(
-            t.scan(name, link.column), link.column,
-            t.scan(link.parent, link.parent_key), link.parent_key, "violations", skip_null=True,
-        )
-        rule = f"{link.column} -> {link.parent}.{link.parent_key}"
-        report_rows = report_rows.unionAll(
-            lost.selectExpr(f"'{name}'", "'foreign key'", f"'{rule}'", "violations")
-        )
-    return report_rows
+    links = [Link(name, r.column, r.parent, r.parent_key) for r in table.references]
+    repeated = repeated_keys(t.scan(name, table.key), table.key, "n").agg(
+        F.expr("coalesce(sum(n - 1), 0L)"))
+    counted = audit(t, links, rules={name: [bad for _, _, bad in checks]}).withColumn(
+        "repeated", repeated.scalar())
+    lines = [(kind, rule, f"bad_{name}_{i}") for i, (kind, rule, _) in enumerate(checks)]
+    lines.append(("primary key", table.key, "repeated"))
+    lines += [("foreign key", f"{r.column} -> {r.parent}.{r.parent_key}", f"lost_{i}")
+              for i, r in enumerate(table.references)]
+    return as_lines(counted, [
+        {"table_name": f"'{name}'", "kind": f"'{kind}'", "rule": f"'{rule}'", "violations": count}
+        for kind, rule, count in lines])
 
 
 # The published order of the table definitions.

@@ -15,8 +15,18 @@ from .common import ALERTS, TXN, desc, named
 
 
 def preview(t, table: str, rows: int = 10) -> DataFrame:
-    """The first rows in key order."""
-    return t.scan(table).orderBy(TABLES[table].key).limit(rows)
+    """The first rows in key order, those without a key before all.
+
+    The key column alone tells the last key that is wanted; with it as a filter, files and
+    row groups with larger keys are not opened for their other columns.
+    """
+    key = TABLES[table].key
+    first = t.scan(table, key).orderBy(key).limit(rows)
+    last, keyed, found = first.agg(F.max(key), F.count(key), F.count(F.lit(1))).first()
+    wanted = F.lit(False) if last is None else F.col(key) <= F.lit(last)
+    if keyed < found:
+        wanted = wanted | F.col(key).isNull()
+    return t.scan(table).where(wanted).orderBy(key).limit(rows)
 
 
 def column_profile(t, table: str) -> DataFrame:

@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions.rates import tally
 from ..model import TABLES
 from ..operators import integrity
+from ..operators.audit import Link, audit
+from ..operators.lines import as_lines
 from ..operators.rollup import Where, rollup
 from .catalog import report
 from .common import ACCOUNTS, ALERTS, CUSTOMERS, DEVICES, FEEDBACK, MERCHANTS, TXN
@@ -39,10 +40,8 @@ def row_counts(t):
         name="orphan_fraud_alert_txn")
 def orphan_rows(t, child, on, name, skip_null=False):
     link = next(r for r in TABLES[child].references if r.column == on)
-    return integrity.orphans(
-        t.scan(child, on), on, t.scan(link.parent, link.parent_key), link.parent_key,
-        name, skip_null,
-    )
+    found = audit(t, [Link(child, on, link.parent, link.parent_key, skip_null)])
+    return found.select(F.col("lost_0").alias(name))
 
 
 @report("q1_10_null_counts_txn")
@@ -101,30 +100,29 @@ for _table in TABLES:
 
 @report("q9_07_data_quality")
 def data_quality(t):
-    """Row counts, NULLs and NOT IN orphans of three tables, one row each."""
-    none = F.lit(0).cast("bigint")
-    customers = t.scan(CUSTOMERS, "customer_id", "risk_score")
-    txns = t.scan(TXN, "customer_id", "amount")
-    alerts = t.scan(ALERTS, "transaction_id")
-
-    def line(df, name, null_risk=none, null_amount=none, orphan=none):
-        counted = df.agg(
-            F.count(F.lit(1)).alias("total_rows"),
-            null_risk.alias("null_risk_score"),
-            null_amount.alias("null_amount"),
-        )
-        return counted.select(
-            F.lit(name).alias("table_name"), "total_rows", "null_risk_score", "null_amount",
-            orphan.alias("orphan_fk"),
-        )
-
-    lost_txns = integrity.not_in_count(
-        txns.select("customer_id"), "customer_id", customers.select("customer_id"), "customer_id")
-    lost_alerts = integrity.not_in_count(
-        alerts, "transaction_id", t.scan(TXN, "transaction_id"), "transaction_id")
-    missing_risk = F.expr(f"coalesce({tally('risk_score IS NULL')}, 0L)")
-    return (
-        line(customers, CUSTOMERS, null_risk=missing_risk)
-        .unionAll(line(txns, TXN, null_amount=F.expr(tally("amount IS NULL")), orphan=lost_txns))
-        .unionAll(line(alerts, ALERTS, orphan=lost_alerts))
-    )
+    """Row counts, NULLs and NOT IN orphans of three tables, one row each.
+
+    NOT IN, as in SQL: one NULL among the parent's keys makes the answer 0, and no parent
+    at all makes it every row.
+    """
+    links = [Link(TXN, "customer_id", CUSTOMERS, "customer_id"),
+             Link(ALERTS, "transaction_id", TXN, "transaction_id")]
+    found = audit(
+        t, links, keys={CUSTOMERS: "customer_id", TXN: "transaction_id"},
+        rules={CUSTOMERS: ["risk_score IS NULL"], TXN: ["amount IS NULL"], ALERTS: []},
+        reads={CUSTOMERS: ["risk_score"], TXN: ["amount"]})
+
+    def not_in(i, child, parent):
+        return (f"CASE WHEN rows_{parent} = 0 THEN rows_{child} WHEN nulls_{parent} > 0 THEN 0L"
+                f" ELSE lost_{i} END")
+
+    def line(table, null_risk="0L", null_amount="0L", orphan="0L"):
+        return {"table_name": f"'{table}'", "total_rows": f"rows_{table}",
+                "null_risk_score": null_risk, "null_amount": null_amount, "orphan_fk": orphan}
+
+    nulls = f"CASE WHEN rows_{TXN} > 0 THEN bad_{TXN}_0 END"
+    return as_lines(found, [
+        line(CUSTOMERS, null_risk=f"bad_{CUSTOMERS}_0"),
+        line(TXN, null_amount=nulls, orphan=not_in(0, TXN, CUSTOMERS)),
+        line(ALERTS, orphan=not_in(1, ALERTS, TXN)),
+    ])

@@ -14,7 +14,8 @@ FOLDER = "/root/testdata/sf0.001"
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas")
 # Their windows run over a histogram of bounded size or over calendar months.
 ONE_TASK_WINDOW = ("p1_", "q5_06", "q14_08", "q9_06")
-LOADS = ("e10_load_quality", "e18_batches", "e19_load_from_csv")
+LOADS = ("e10_load_quality", "e18_batches", "e19_load_from_csv",
+         "q16_01_vw_executive_kpis_by_batch")
 NAMES = sorted(name for name in REPORTS if name not in LOADS)
 
 
@@ -118,3 +119,81 @@ def test_transactions_are_read_once(name, large):
 def test_day_parts_shuffle_transactions_once(large):
     text = plan(build("q5_09_fraud_by_day_part", large))
     assert len(re.findall(r"hashpartitioning\(transaction_id", text)) == 2  # and the alerts
+
+
+def test_all_checks_of_a_table_share_a_shuffle(large):
+    for name in ("q9_07_data_quality", "q1_04_orphan_txn_customer"):
+        text = plan(build(name, large))
+        assert len(re.findall(r"Exchange hashpartitioning", text)) == 1
+        assert "Join" not in text
+
+
+def test_the_key_of_a_table_travels_as_a_hash(large):
+    for name in ("q10_05_constraints_transaction_history", "q1_17_repeated_transaction_id"):
+        df = build(name, large)
+        text = df._jdf.queryExecution().toString() if name.startswith("q10") else plan(df)
+        text = text[text.index("Physical Plan"):] if "Physical Plan" in text else text
+        shuffles = re.findall(r"Exchange hashpartitioning\((\w+)", text)
+        assert "hash_" in shuffles
+        assert len([s for s in shuffles if s == "tag"]) == name.startswith("q10")
+
+
+def test_a_preview_reads_wide_columns_of_few_row_groups(spark, tmp_path):
+    """Keys rise over many files; only the first file's other columns are needed."""
+    rows = spark.range(4000).selectExpr(
+        "lpad(CAST(id AS STRING), 8, '0') AS merchant_id", "'s' AS merchant_name",
+        "'x' AS merchant_type", "'north' AS region", "DATE'2024-01-01' AS onboard_date",
+        "0.5D AS risk_score")
+    rows.repartitionByRange(20, "merchant_id").write.parquet(str(tmp_path / "merchant"))
+    t = Tables({"merchant": spark.read.parquet(str(tmp_path / "merchant"))})
+    df = REPORTS["e20_preview_merchant"](t)
+    assert re.search(r"PushedFilters: \[.*LessThanOrEqual\(merchant_id,00000009\)", plan(df))
+    assert [r.merchant_id for r in df.collect()] == [f"{k:08d}" for k in range(10)]
+    read = [m for m in _metrics(df) if m[0] == "number of output rows"]
+    assert 10 <= read[-1][1] <= 1000
+
+
+def _metrics(df):
+    """(name, value) of the metrics of the file scan, after the query has run."""
+    df.collect()
+    node = df._jdf.queryExecution().executedPlan()
+    while node.children().size():
+        node = node.children().head()
+    if node.nodeName().startswith("AdaptiveSparkPlan"):
+        node = node.executedPlan()
+        while node.children().size():
+            node = node.children().head()
+    found, it = [], node.metrics().valuesIterator()
+    while it.hasNext():
+        m = it.next()
+        found.append((m.name().get(), m.value()))
+    return found
+
+
+def test_previews_with_nulls_ties_and_few_rows(spark):
+    schema = TABLES["merchant"].schema
+    for keys in ([], [None], [None] * 12, ["b", None, "a", "a"], [f"k{k:02d}" for k in range(30)],
+                 ["x"] * 15):
+        rows = [(k, "s", "t", "r", None, 0.5) for k in keys]
+        t = Tables({"merchant": spark.createDataFrame(rows, schema)})
+        got = [r.merchant_id for r in REPORTS["e20_preview_merchant"](t).collect()]
+        assert got == sorted(keys, key=lambda k: (k is not None, k or ""))[:10]
+
+
+@pytest.mark.parametrize("bits", [64, 3, 1])
+def test_repeated_keys_with_colliding_hashes(spark, bits):
+    from paylens.operators.integrity import repeated_keys
+
+    keys = ["a", "b", "b", "c", None, None, None, "d", "e", "e"] + [f"k{k}" for k in range(50)]
+    df = spark.createDataFrame([(k,) for k in keys], "id string")
+    got = {r.id: r.row_count for r in repeated_keys(df, "id", bits=bits).collect()}
+    assert got == {"b": 2, "e": 2, None: 3}
+
+
+def test_of_a_large_parent_only_wanted_keys_are_shuffled(tables, monkeypatch):
+    """Few alerts: their transactions are picked by broadcast before the shuffle."""
+    from paylens.operators import audit
+
+    monkeypatch.setattr(audit, "fits_broadcast", lambda df: "Generate" in plan(df))  # alerts
+    text = plan(build("q1_09_orphan_alert_txn", tables))
+    assert "LeftSemi" in text and len(re.findall(r"hashpartitioning\(tag", text)) == 1
