@@ -493,7 +493,7 @@ def _feedback_and_views() -> dict[str, str]:
                                "merchant_name", "merchant_type")}
     columns |= {"region": "c.region", "customer_risk_score": "c.risk_score",
                 "merchant_risk_score": "m.risk_score", "alert_resolved": "fa.resolved"}
-    return {
+    out = {
         "q15_01_score_by_month": query(
             F, {"year_month": month("date_submitted")}, feedback_count=ROWS,
             avg_satisfaction=score, low_score_count=tally("satisfaction_score <= 2"),
@@ -526,6 +526,8 @@ def _feedback_and_views() -> dict[str, str]:
             failed_txns=tally("t.status = 'failed'"),
             avg_satisfaction_score=score, last_transaction_date="max(timestamp)"),
     }
+    out["q16_01_vw_executive_kpis_by_batch"] = out["q16_01_vw_executive_kpis"]
+    return out
 
 
 COLUMNS = {

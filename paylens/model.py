@@ -41,6 +41,7 @@ class Table:
     references: tuple[Reference, ...] = ()
     free_text: bool = False  # quoted line breaks may occur inside a field
     order: str | None = None  # a date or moment by which stored files are divided
+    bucket_by: str | None = None  # a column that large tables are joined by, as stored
 
     @property
     def names(self) -> list[str]:
@@ -120,6 +121,7 @@ _ALL = (
         ),
         references=(Reference("transaction_id", "transaction_history", "transaction_id"),),
         free_text=True,
+        bucket_by="transaction_id",
     ),
     Table(
         "merchant", "merchant_info", "merchant_id",
@@ -159,6 +161,7 @@ _ALL = (
             Reference("merchant_id", "merchant", "merchant_id"),
         ),
         order="timestamp",
+        bucket_by="transaction_id",
     ),
 )
 

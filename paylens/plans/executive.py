@@ -40,9 +40,9 @@ def customers_needing_action(t, top=20, exact=False):
     row. No product is built; each child is reduced first. ``exact=True`` leaves
     the multiplication out.
     """
-    per_txn = children(t.scan(ALERTS, "transaction_id", "alert_id"), "transaction_id",
-                       rows_="count(1)", alerts="count(alert_id)")
-    txns = t.scan(TXN, "transaction_id", "customer_id", "fraud_flag", "status")
+    alerts = t.by_key(ALERTS, "transaction_id", "transaction_id", "alert_id")
+    per_txn = children(alerts, "transaction_id", rows_="count(1)", alerts="count(alert_id)")
+    txns = t.by_key(TXN, "transaction_id", "transaction_id", "customer_id", "fraud_flag", "status")
     txns = txns.join(per_txn, "transaction_id", "left")
     times = F.expr("1L" if exact else "coalesce(rows_, 1)")
     per_customer = children(

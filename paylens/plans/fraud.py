@@ -98,15 +98,16 @@ def fraud_by_day_part(t, exact=False):
     A transaction with k alerts counts k times, as the left join to the alerts
     makes it; ``exact=True`` counts it once. Joined rows are counted by band and
     alert first, where those without an alert make one group per band, combined
-    before they are shuffled; so transactions are shuffled once, for the join.
+    before they are shuffled; so transactions are shuffled once, for the join, or
+    not at all where they are stored in buckets.
     """
     part = bands.below("hour(timestamp)", bands.DAY_PARTS, bands.DAY_PART_REST)
-    txns = t.scan(TXN, "transaction_id", "timestamp", "fraud_flag").select(
+    txns = t.by_key(TXN, "transaction_id", "transaction_id", "timestamp", "fraud_flag").select(
         "transaction_id", "fraud_flag", named(part, "time_band"))
     counts = [named("count(1)", "txns"),
               named("sum(CASE WHEN fraud_flag THEN 1 ELSE 0 END)", "fraud")]
     per_alert = left_join_many(
-        txns, t.scan(ALERTS, "transaction_id", "alert_id"), "transaction_id",
+        txns, t.by_key(ALERTS, "transaction_id", "transaction_id", "alert_id"), "transaction_id",
     ).groupBy("time_band", "alert_id").agg(*counts)
     totals = per_alert.groupBy("time_band").agg(
         named("sum(txns)", "total_txns"), named("sum(fraud)", "fraud_txns"),
@@ -143,13 +144,13 @@ def flagged_and_alerted(t):
     counts every transaction.
     """
     txns = (
-        t.scan(TXN, "transaction_id", "fraud_flag")
+        t.by_key(TXN, "transaction_id", "transaction_id", "fraud_flag")
         .where(F.col("transaction_id").isNotNull())
         .groupBy("transaction_id").agg(F.bool_or("fraud_flag").alias("flagged"))
     )
-    alerts = t.scan(ALERTS, "transaction_id", "alert_id")
+    alerts = t.by_key(ALERTS, "transaction_id", "transaction_id", "alert_id")
     alerted = rows_with_key_in(
-        t.scan(TXN, "transaction_id"), alerts.select("transaction_id").distinct(),
+        t.by_key(TXN, "transaction_id", "transaction_id"), alerts.select("transaction_id").distinct(),
         "transaction_id",
     ).distinct()
     matched = alerts.join(alerted, "transaction_id", "left_semi")

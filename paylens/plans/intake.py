@@ -108,3 +108,26 @@ def batches(t):
     return spark.createDataFrame(
         lines, "step int, batch string, action string, rows_before long, rows_incoming long,"
         " rows_inserted long, rows_skipped long, rows_after long, held_of_repeated long")
+
+
+@report("q16_01_vw_executive_kpis_by_batch")
+def kpis_by_batch(t):
+    """The KPI view from shares per batch: transactions come in three batches, one repeated,
+    and a third of the customers after them."""
+    from .kept_views import KeptViews  # stored tables only
+
+    spark = t.scan(TXN, "transaction_id").sparkSession
+    home = f"{shared_folder(spark)}/loads/{uuid.uuid4().hex}"  # what the result reads stays
+    views = KeptViews(spark, home, f"{home}-views")
+    txns, people = (clean(name, raw_text(t, name)) for name in (TXN, CUSTOMERS))
+    third = "pmod(xxhash64({}), 3)"
+    late, part = third.format("customer_id"), third.format("transaction_id")
+    steps = [(CUSTOMERS, people.where(f"{late} > 0"), "a"), (TXN, txns.where(f"{part} = 0"), "a"),
+             (TXN, txns.where(f"{part} = 0 AND amount > 0"), "b"),
+             (TXN, txns.where(f"{part} = 1"), "b"), (CUSTOMERS, people, "b"),
+             (TXN, txns, "c")]
+    for name, rows, batch in steps:
+        load(spark, rows, name, home, batch)
+        if name == TXN:
+            views.refresh()
+    return views.executive_kpis()

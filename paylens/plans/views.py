@@ -13,16 +13,20 @@ from .common import (
 )
 
 
-@report("q16_01_vw_executive_kpis")
-def executive_kpis(t):
-    """Grouped too finely to gain from reducing per customer first."""
+KPI_KEYS = (month("timestamp", "year_month"), "channel", "device_type", "transaction_type")
+KPI_FACETS = "rows ids value priced fraud failed reversed"
+
+
+def kpi_shares(t):
+    """The counts and sums of the KPI view, which add up over parts of the transactions."""
     return rollup_through(
-        t, TXN, CUSTOMERS, "customer_id", ["region"],
-        "rows ids value priced fraud failed reversed",
-        fact_keys=[month("timestamp", "year_month"), "channel", "device_type",
-                   "transaction_type"],
+        t, TXN, CUSTOMERS, "customer_id", ["region"], KPI_FACETS, fact_keys=KPI_KEYS,
         reduce_first=False,
-    ).select(
+    )
+
+
+def kpi_columns(shares):
+    return shares.select(
         "year_month", "region", "channel", "device_type", "transaction_type",
         n("ids", "total_txns"), total_2dp("total_amount"), average_2dp("avg_amount"),
         n("fraud", "fraud_count"), n("failed", "failed_count"), n("reversed", "reversal_count"),
@@ -30,23 +34,33 @@ def executive_kpis(t):
     )
 
 
+@report("q16_01_vw_executive_kpis")
+def executive_kpis(t):
+    """Grouped too finely to gain from reducing per customer first."""
+    return kpi_columns(kpi_shares(t))
+
+
 @report("q16_02_vw_fraud_analyst")
 def fraud_analyst(t):
-    """One row per transaction and alert, with its customer, device and merchant."""
-    txns = t.scan(
-        TXN, "transaction_id", "customer_id", "device_id", "merchant_id", "amount",
+    """One row per transaction and alert, with its customer, device and merchant.
+
+    The alerts come first: they lie with the transactions where both are stored in buckets.
+    """
+    txns = t.by_key(
+        TXN, "transaction_id", "transaction_id", "customer_id", "device_id", "merchant_id", "amount",
         "transaction_type", "channel", "device_type", "status", "fraud_flag", "reversal_flag",
         "timestamp",
     )
     owners = t.scan(CUSTOMERS, "customer_id", "full_name", "region", "risk_score")
     owners = owners.withColumnRenamed("risk_score", "customer_risk_score")
     devices = t.scan(DEVICES, "device_id", "is_rooted")
-    alerts = t.scan(ALERTS, "transaction_id", "alert_id", "alert_type", "resolved", "alert_date")
+    alerts = t.by_key(ALERTS, "transaction_id", "transaction_id", "alert_id", "alert_type",
+                      "resolved", "alert_date")
     alerts = alerts.withColumnRenamed("resolved", "alert_resolved")
     shops = t.scan(MERCHANTS, "merchant_id", "merchant_name", "merchant_type", "risk_score")
     shops = shops.withColumnRenamed("risk_score", "merchant_risk_score")
-    rows = txns.join(small(owners), "customer_id").join(small(devices), "device_id")
-    rows = left_join_many(rows, alerts, "transaction_id")
+    rows = left_join_many(txns, alerts, "transaction_id")
+    rows = rows.join(small(owners), "customer_id").join(small(devices), "device_id")
     return left_lookup(rows, shops, "merchant_id", spread_by="transaction_id").select(
         "transaction_id", "customer_id", "full_name", "region", "customer_risk_score", "amount",
         "transaction_type", "channel", "device_type", "is_rooted", "status", "fraud_flag",
@@ -55,15 +69,36 @@ def fraud_analyst(t):
     )
 
 
+_VALUE_PARTS = split_sum("amount", "value", MONEY_DIGITS)
+
+
+def per_customer(t):
+    """What the customer view needs of the transactions; it adds up over parts of them."""
+    return children(
+        t.scan(TXN, "customer_id", "transaction_id", "amount", "fraud_flag", "status",
+               "timestamp"),
+        "customer_id", txns="count(transaction_id)", priced="count(amount)",
+        fraud=tally("fraud_flag"), failed=tally("status = 'failed'"), latest="max(timestamp)",
+        **_VALUE_PARTS,
+    )
+
+
+def merged_per_customer(shares):
+    """One row per customer from several parts of the transactions."""
+    sums = ("txns", "priced", "fraud", "failed", *_VALUE_PARTS)
+    return children(shares, "customer_id", latest="max(latest)",
+                    **{name: f"sum({name})" for name in sums})
+
+
 @report("q16_03_vw_customer_360")
-def customer_360(t, exact=False):
+def customer_360(t, exact=False, txns=None):
     """A customer's accounts, devices, transactions and feedback on one row.
 
     Counts and sums of transactions are those of the joined rows, that is
     multiplied by the numbers of accounts, devices and feedback rows; averages
     and distinct counts are not affected. Each child is reduced to one row per
     customer, so the product is never built. ``exact=True`` leaves the
-    multiplication out.
+    multiplication out. ``txns``: the transactions per customer, if they are known.
     """
     owners = t.scan(CUSTOMERS, "customer_id", "full_name", "age", "gender", "region",
                     "date_joined", "is_business_user", "risk_score")
@@ -74,13 +109,7 @@ def customer_360(t, exact=False):
     feedback = children(t.scan(FEEDBACK, "customer_id", "satisfaction_score"), "customer_id",
                         feedback_rows="count(1)", score="sum(satisfaction_score)",
                         scored="count(satisfaction_score)")
-    txns = children(
-        t.scan(TXN, "customer_id", "transaction_id", "amount", "fraud_flag", "status",
-               "timestamp"),
-        "customer_id", txns="count(transaction_id)", priced="count(amount)",
-        fraud=tally("fraud_flag"), failed=tally("status = 'failed'"), latest="max(timestamp)",
-        **split_sum("amount", "value", MONEY_DIGITS),
-    )
+    txns = per_customer(t) if txns is None else txns
     times = "1L" if exact else copies("account_rows", "device_rows", "feedback_rows")
     joined_up = owners
     for child in (accounts, devices, txns, feedback):
@@ -90,10 +119,10 @@ def customer_360(t, exact=False):
         return named(multiplied(column, times), name)
 
     # Merges repeated customer rows; the rows of a customer are already together.
-    per_customer = joined_up.select(
+    with_means = joined_up.select(
         "*", average_2dp("mean_amount"), average_score_2dp("mean_score")
     )
-    return per_customer.groupBy(*owners.columns).agg(
+    return with_means.groupBy(*owners.columns).agg(
         named("coalesce(max(accounts), 0)", "upi_account_count"),
         named("coalesce(max(devices), 0)", "device_count"),
         counted("txns", "total_txns"),

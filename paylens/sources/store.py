@@ -1,13 +1,15 @@
 """Stored tables: fresh and incremental loads with verified counts (E12-E18).
 
 A table is a folder with ``versions`` (see ``manifest``), ``data``, ``zones`` and ``keys``,
-each of the last three with a folder per load.
+each of the last three with a folder per load. Keys are compared at each load without
+shuffling what is stored: they lie in buckets, as part of the data where a table is
+bucketed by its key, and else, the key alone, beside it.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
@@ -18,14 +20,14 @@ from pyspark.sql import types as T
 from ..model import TABLES, Table
 from ..operators.sizing import fits_broadcast
 from ..session import shared_folder
-from . import files, key_index, manifest, zones
+from . import bucketed, files, manifest, zones
 from .manifest import Batch, ConcurrentLoad, Version
 from .zones import Span
 
 BATCH, STAMP = "batch_id", "uploaded_at"
 __all__ = ["BATCH", "STAMP", "ConcurrentLoad", "CountMismatch", "LoadResult", "Prepared", "Span",
            "clean_up", "commit", "load", "load_report", "new_rows", "prepare", "quality_report",
-           "read_stored", "stored_batches"]
+           "read_bucketed", "read_loads", "read_stored", "stored_batches"]
 
 
 class CountMismatch(RuntimeError):
@@ -123,7 +125,19 @@ def read_stored(
             places = zones.files_within(spark, f"{path}/zones", places, span)
         if not places:
             return spark.createDataFrame([], _schema(name))
-    return spark.read.schema(_schema(name)).parquet(*[f"{path}/data/{p}" for p in places])
+    return _files(spark, name, *[f"{path}/data/{p}" for p in places])
+
+
+def read_loads(spark: SparkSession, name: str, path: str, loads: Iterable[str]) -> DataFrame:
+    """The rows of some loads of a stored table, by the folders of their batches."""
+    return _files(spark, name, *[f"{path.rstrip('/')}/data/{load}" for load in loads])
+
+
+def read_bucketed(spark: SparkSession, name: str, path: str, version: Version) -> DataFrame:
+    """A stored table that Spark takes as divided by its ``bucket_by`` column."""
+    return bucketed.read(
+        spark, _schema(name), TABLES[name].bucket_by, f"{path.rstrip('/')}/data",
+        [b.folder for b in version.batches if b.rows], version.buckets)
 
 
 def load(
@@ -143,9 +157,9 @@ def prepare(
     The rows of one batch are replaced as a whole: what is new is compared with all other
     batches. A run can be repeated with more, fewer or no rows. Rows are only ever added:
     a stored row with the same key stays as it is. Repeated keys inside a batch are kept
-    unless ``dedupe_batch``. ``buckets`` divides the key index of a new table (default: as
-    many as shuffles have partitions). Until ``commit`` the table is as it was, and a
-    failure leaves nothing behind.
+    unless ``dedupe_batch``. ``buckets`` divides the keys of a new table for good (default:
+    as many as shuffles have partitions); a bucket of them should fit into one task. Until
+    ``commit`` the table is as it was, and a failure leaves nothing behind.
     """
     table, path = TABLES[name], f"{folder.rstrip('/')}/{name}"
     if files.exists(spark, path) and any(
@@ -153,7 +167,7 @@ def prepare(
         raise ValueError(f"{path} was written without versions; load its rows into a new folder")
     base = manifest.current(spark, path)
     others = [b for b in base.batches if b.name != batch]
-    buckets = base.buckets or buckets or key_index.default_buckets(spark)
+    buckets = base.buckets or buckets or bucketed.default_buckets(spark)
     run = f"load-{uuid.uuid4().hex}"
     if dedupe_batch:
         df = df.dropDuplicates([table.key])
@@ -162,17 +176,15 @@ def prepare(
         if before:
             with _staged(spark, df, name) as staged:
                 incoming, nulls = _nulls(staged)
-                with key_index.stored_keys(
-                        spark, table.key, df.schema[table.key].dataType.simpleString(),
-                        f"{path}/keys", [b.folder for b in others if b.rows], buckets) as keys:
-                    fresh = new_rows(
-                        staged, keys, table.key, any(b.null_keys for b in others), buckets)
-                    made = _write(spark, fresh, table, path, run, batch, buckets)
+                keys = _stored_keys(spark, table, path, others, buckets)
+                fresh = new_rows(
+                    staged, keys, table.key, any(b.null_keys for b in others), buckets)
+                made = _write(spark, fresh, table, path, run, batch, buckets)
         else:
             made, incoming = _write(spark, df, table, path, run, batch, buckets), None
             nulls = {}
             if made.rows:
-                nulls = _nulls(_read(spark, name, path, run).select(*df.columns))[1]
+                nulls = _nulls(_files(spark, name, f"{path}/data/{run}").select(*df.columns))[1]
     except BaseException:
         _remove(spark, path, run)
         raise
@@ -224,6 +236,15 @@ def _nulls(df: DataFrame) -> tuple[int, dict[str, int]]:
     return counted.rows_, {c: counted.rows_ - counted[f"n_{c}"] for c in df.columns}
 
 
+def _stored_keys(
+    spark: SparkSession, table: Table, path: str, batches: list[Batch], buckets: int,
+) -> DataFrame:
+    """The keys of the given batches, read from their buckets."""
+    part = "data" if table.bucket_by == table.key else "keys"
+    return bucketed.read(spark, T.StructType([table.schema[table.key]]), table.key,
+                         f"{path}/{part}", [b.folder for b in batches if b.rows], buckets)
+
+
 def _write(
     spark: SparkSession, fresh: DataFrame, table: Table, path: str, run: str, batch: str,
     buckets: int,
@@ -231,11 +252,16 @@ def _write(
     """Writes rows, zones and keys of a load; the batch with the rows that are really there."""
     written = Observation(f"load {table.name}")
     rows = fresh.withColumn(STAMP, F.current_timestamp().cast("timestamp_ntz"))
-    rows = rows.withColumn(BATCH, F.lit(batch))
-    if table.order:  # every file a short stretch; the key splits a moment with many rows
-        rows = rows.repartitionByRange(table.order, table.key).sortWithinPartitions(table.order)
-    rows = rows.observe(written, F.count(F.lit(1)).alias("n"))
-    rows.write.parquet(f"{path}/data/{run}")
+    rows = rows.withColumn(BATCH, F.lit(batch)).select(*_schema(table.name).names)
+    if table.bucket_by:
+        bucketed.write(
+            rows, table.bucket_by, f"{path}/data", run, buckets, table.order, written)
+    else:
+        if table.order:  # each file a short stretch; the key splits a moment with many rows
+            rows = rows.repartitionByRange(table.order, table.key)
+            rows = rows.sortWithinPartitions(table.order)
+        rows = rows.observe(written, F.count(F.lit(1)).alias("n"))
+        rows.write.parquet(f"{path}/data/{run}")
     found = _count(spark, table.name, f"{path}/data/{run}")
     if found != written.get["n"]:
         raise CountMismatch(f"{table.name}: {written.get['n']} rows written, {found} found")
@@ -243,22 +269,28 @@ def _write(
     if not found:
         _remove(spark, path, run)
         return made
-    stored = _read(spark, table.name, path, run)
+    stored = _files(spark, table.name, f"{path}/data/{run}")
+    if table.order:
+        zones.write(stored, table.order, f"{path}/zones", run)
+    if table.bucket_by != table.key:
+        keys = stored.select(table.key).where(F.col(table.key).isNotNull())
+        bucketed.write(keys, table.key, f"{path}/keys", run, buckets)
+    order = table.order or table.key
+    low, high, keyed = stored.agg(F.min(order), F.max(order), F.count(table.key)).first()
     if table.order:
-        low, high = zones.write(stored, table.order, f"{path}/zones/{run}")
-        made = replace(made, low=low, high=high)
-    key_index.write(stored, table.key, f"{path}/keys", run, buckets)
-    null_keys = stored.where(F.col(table.key).isNull()).count()
-    return replace(made, null_keys=null_keys)
+        made = replace(made, low=zones.text(low), high=zones.text(high))
+    return replace(made, null_keys=found - keyed)
 
 
-def _read(spark: SparkSession, name: str, path: str, run: str) -> DataFrame:
-    return spark.read.schema(_schema(name)).parquet(f"{path}/data/{run}")
+def _files(spark: SparkSession, name: str, *places: str) -> DataFrame:
+    """The rows of files and folders; months are folders, not columns."""
+    found = spark.read.schema(_schema(name)).option("recursiveFileLookup", "true")
+    return found.parquet(*places)
 
 
 def _count(spark: SparkSession, name: str, place: str) -> int:
     """Rows in the files of a load, from their footers."""
-    return spark.read.schema(_schema(name)).parquet(place).count()
+    return _files(spark, name, place).count()
 
 
 def clean_up(spark: SparkSession, folder: str, name: str, older_than_hours: float = 24.0) -> int:

@@ -33,14 +33,17 @@ def moment(value) -> datetime | None:
     return datetime.fromisoformat(str(value))
 
 
-def write(rows: DataFrame, order: str, path: str) -> tuple[str | None, str | None]:
-    """Writes the zones of the files that ``rows`` is read from; the whole load's ends."""
-    spark = rows.sparkSession
-    rows.select(order, F.col("_metadata.file_name").alias("file")).groupBy("file").agg(
+def text(value) -> str | None:
+    """The ISO text of a date or moment, as manifests hold it."""
+    return None if value is None else value.isoformat()
+
+
+def write(rows: DataFrame, order: str, path: str, load: str) -> None:
+    """Writes the zones of the files of a load, which ``rows`` is read from."""
+    file = F.substring_index(F.col("_metadata.file_path"), f"/{load}/", -1)
+    rows.select(order, file.alias("file")).groupBy("file").agg(
         F.count(F.lit(1)).alias("rows"), F.min(order).alias("low"), F.max(order).alias("high"),
-    ).coalesce(1).write.parquet(path)
-    ends = spark.read.parquet(path).agg(F.min("low"), F.max("high")).first()
-    return tuple(None if v is None else v.isoformat() for v in ends)
+    ).coalesce(1).write.parquet(f"{path}/{load}")
 
 
 def overlaps(batch: Batch, span: Span) -> bool:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .model import TABLES
 from .sources import files, manifest
-from .sources.store import read_stored
+from .sources.store import read_bucketed, read_stored
 from .sources.zones import Span, moment
 
 
@@ -37,6 +37,10 @@ class Tables:
     def scan(self, name: str, *columns: str) -> DataFrame:
         return self._frames[name].select(*(columns or self.columns(name)))
 
+    def by_key(self, name: str, column: str, *columns: str) -> DataFrame:
+        """What ``scan`` gives, already divided by ``column`` if the source keeps it so."""
+        return self.scan(name, *columns)
+
     def within(
         self, name: str, column: str, since: str | None = None, until: str | None = None,
     ) -> Tables:
@@ -80,6 +84,19 @@ class StoredTables(Tables):
     def columns(self, name: str) -> list[str]:
         return TABLES[name].names
 
+    def loads(self, name: str) -> list[str]:
+        """The folders of the loads that make up a table."""
+        self._frame(name)
+        version = self._versions[name]
+        return [b.folder for b in version.batches if b.rows] if version else []
+
+    def by_key(self, name: str, column: str, *columns: str) -> DataFrame:
+        rows = self._frame(name)
+        version = self._versions[name]
+        if TABLES[name].bucket_by == column and version is not None and version.rows:
+            rows = read_bucketed(self._spark, name, f"{self._folder}/{name}", version)
+        return rows.select(*(columns or self.columns(name)))
+
     def scan(self, name: str, *columns: str) -> DataFrame:
         return self._frame(name).select(*(columns or self.columns(name)))
 
