@@ -13,9 +13,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import top_per_group
 from .scratch import Scratch
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -24,8 +26,11 @@ _REMEMBERED = 200_000
 
 
 def letters(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, lower-cased. Signs such as a raised 2 may stand in one, not make one."""
+    if not text:
+        return []
+    return [w for w in _WORD.findall(text.lower())
+            if w.isalpha() or any(c.isalpha() for c in w)]
 
 
 def grams(word: str) -> Iterator[str]:
@@ -118,35 +123,41 @@ class Model:
         return self.langs[best], float(shares[best] / shares.sum())
 
 
-def train(labelled: DataFrame, max_rows: int = 20_000, max_items: int = 100_000) -> Model:
+def train(labelled: DataFrame, max_rows: int = 5_000, max_items: int = 25_000) -> Model:
     """Fits a model on rows (doc_id, lang, text).
 
-    The fit uses about ``max_rows`` rows, chosen by a hash of doc_id and text, and keeps
-    the ``max_items`` most frequent words and as many n-grams; both bounds together
-    limit what reaches the driver and the tasks, whatever the table.
+    Of every language about ``max_rows`` rows are used (all, if fewer), chosen by a hash of
+    doc_id and text, and the ``max_items`` words and as many n-grams that are most frequent
+    in it. So a rare language is learned like a common one, and what reaches the driver and
+    the tasks is bounded for each language, whatever the table. A rarer word is not known as
+    a word and backs off to its n-grams.
     """
     scratch = Scratch(labelled.sparkSession, "language")
-    known = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    share = min(1.0, max_rows / max(1, known.count()))
-    chosen = known.where(F.expr(f"pmod(xxhash64(doc_id, text), 1000000007) < {share} * 1000000007D"))
-    chosen = scratch.save(chosen.select(F.col("lang").cast("string").alias("lang"),
-                                        F.col("text").cast("string").alias("text")), "chosen")
-    langs = sorted(r[0] for r in chosen.select("lang").distinct().collect())
-    counted = chosen.repartition("text").mapInArrow(
-        _counts, "lang string, kind int, item string, n long"
-    ).groupBy("kind", "item").agg(
-        F.sum("n").alias("total"),
-        *[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{k}")
-          for k, lang in enumerate(langs)])
-    counted = scratch.save(counted, "counted")
+    known = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(
+        F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
+        F.xxhash64("doc_id", "text").alias("h"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    langs = sorted(r.lang for r in sizes.collect())  # one row per language
+    chosen = known.join(F.broadcast(sizes), "lang").where(
+        f"pmod(h, 1000000007) < least(1D, {max_rows}D / size) * 1000000007D"
+    ).select("lang", "text")
+    counted = scratch.save(
+        chosen.repartition("lang", "text").mapInArrow(
+            _counts, "lang string, kind int, item string, n long"
+        ).groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")), "counted")
+    often = top_per_group(counted, ["kind", "lang"], [F.desc("n"), F.col("item")], max_items)
+    wide = counted.join(often.select("kind", "item").distinct(), ["kind", "item"], "left_semi") \
+        .groupBy("kind", "item").agg(*[
+            F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{k}")
+            for k, lang in enumerate(langs)], F.lit(0).alias("n"))
+    held = wide.toArrow()
     tables = []
     for kind in (0, 1):
-        best = counted.where(F.col("kind") == kind).orderBy(F.desc("total"), "item") \
-            .limit(max_items).drop("kind", "total").toArrow()
+        best = held.filter(pc.field("kind") == kind).sort_by("item")
         counts = [best.column(f"n{k}").to_numpy() for k in range(len(langs))]
         tables.append(Table(best.column("item").to_pylist(),
                             np.array(counts, float).reshape(len(langs), best.num_rows).T))
-    scratch.drop("chosen", "counted")
+    scratch.drop("counted")
     return Model(langs, *tables)
 
 

@@ -43,6 +43,31 @@ def test_und(spark):
     assert model.predict("123 !? 🙂") == ("und", 0.0)
 
 
+def test_signs_are_no_letters(spark):
+    model = train(cases.frame(spark, rows(1, 5, 10)))
+    for text in ("²", "½ ⅓", "Ⅷ", "① 2³", "_²_", "٣"):
+        assert model.predict(text) == ("und", 0.0), text
+    assert model.predict("m²")[0] in WORDS
+
+
+def test_a_rare_language_is_learned(spark):
+    """Three rows of it beside thousands of another, few rows and few items allowed."""
+    for seed in range(4):
+        common = [cases.row(seed * 10_000 + k, f"bana kolo mira w{k % 900} v{k}", "aa")
+                  for k in range(3000)]
+        rare = [cases.row(90_000 + k, "strsch pflicht zwerg knopf", "bb") for k in range(3)]
+        model = train(cases.frame(spark, common + rare), max_rows=50, max_items=40)
+        assert model.langs == ["aa", "bb"]
+        assert {"pflicht", "zwerg", "bana"} <= model.words.rows.keys()
+        assert model.predict("zwerg knopf")[0] == "bb" and model.predict("kolo mira")[0] == "aa"
+        assert len(model.words.rows) <= 2 * 40 and len(model.parts.rows) <= 2 * 40
+
+
+def test_repeated_rows_of_one_language(spark):
+    docs = [cases.row(None, "bana kolo", "aa")] * 500 + rows(1, 3, 5)
+    assert train(cases.frame(spark, docs), max_rows=10).predict("façon mèche")[0] == "cc"
+
+
 def test_label_of_a_row_is_no_input(spark):
     model = train(cases.frame(spark, rows(1, 5, 10)))
     df = cases.frame(spark, rows(2, 5, 10))
