@@ -150,8 +150,8 @@ def flagged_and_alerted(t):
     )
     alerts = t.by_key(ALERTS, "transaction_id", "transaction_id", "alert_id")
     alerted = rows_with_key_in(
-        t.by_key(TXN, "transaction_id", "transaction_id"), alerts.select("transaction_id").distinct(),
-        "transaction_id",
+        t.by_key(TXN, "transaction_id", "transaction_id"),
+        alerts.select("transaction_id").distinct(), "transaction_id",
     ).distinct()
     matched = alerts.join(alerted, "transaction_id", "left_semi")
     alert_count = matched.agg(F.count_distinct("alert_id")).scalar()

@@ -28,8 +28,6 @@ from .views import (
     KPI_FACETS, KPI_KEYS, customer_360, kpi_columns, kpi_shares, merged_per_customer, per_customer,
 )
 
-_PARTS = ("matched", "unmatched", "per_customer")
-
 
 class Stale(RuntimeError):
     """A load of transactions has no share yet: ``refresh`` first."""
@@ -81,7 +79,9 @@ class KeptViews:
         # Without this file, which comes last, the share does not count.
         files.create(self._spark, f"{place}/made.json", json.dumps(sorted(t.loads(CUSTOMERS))))
 
-    def _shares(self, t: StoredTables, part: str, empty: Callable[[Tables], DataFrame]) -> DataFrame:
+    def _shares(
+        self, t: StoredTables, part: str, empty: Callable[[Tables], DataFrame],
+    ) -> DataFrame:
         places = self._valid(t)
         if None in places.values():
             raise Stale(f"{sum(p is None for p in places.values())} loads without a share")
@@ -121,6 +121,8 @@ class KeptViews:
         """Removes shares that no view needs now, and unfinished ones; how many."""
         used = set(self._valid(StoredTables(self._spark, self._tables_folder)).values())
         gone = 0
+        if not files.exists(self._spark, self._folder):
+            return gone
         for place in files.children(self._spark, self._folder).values():
             if place not in used and files.age_hours(self._spark, place) >= older_than_hours:
                 files.remove(self._spark, place)

@@ -47,8 +47,8 @@ def fraud_analyst(t):
     The alerts come first: they lie with the transactions where both are stored in buckets.
     """
     txns = t.by_key(
-        TXN, "transaction_id", "transaction_id", "customer_id", "device_id", "merchant_id", "amount",
-        "transaction_type", "channel", "device_type", "status", "fraud_flag", "reversal_flag",
+        TXN, "transaction_id", "transaction_id", "customer_id", "device_id", "merchant_id",
+        "amount", "transaction_type", "channel", "device_type", "status", "fraud_flag", "reversal_flag",
         "timestamp",
     )
     owners = t.scan(CUSTOMERS, "customer_id", "full_name", "region", "risk_score")

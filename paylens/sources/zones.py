@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, datetime, time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .manifest import Batch
@@ -55,13 +55,18 @@ def overlaps(batch: Batch, span: Span) -> bool:
         span.until is None or low <= span.until)
 
 
+def _literal(value: datetime) -> Column:
+    """As it stands, whatever the time zones of the session and of this machine."""
+    return F.expr(f"TIMESTAMP_NTZ'{value.isoformat(sep=' ')}'")
+
+
 def files_within(spark: SparkSession, path: str, folders: list[str], span: Span) -> list[str]:
     """Of the given loads, 'folder/file' of every file that overlaps the span."""
     zones = spark.read.parquet(*[f"{path}/{f}" for f in folders]).withColumn(
         "folder", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
     if span.since is not None:
-        zones = zones.where(F.col("high") >= F.lit(span.since).cast("timestamp_ntz"))
+        zones = zones.where(F.col("high") >= _literal(span.since))
     if span.until is not None:
-        zones = zones.where(F.col("low") <= F.lit(span.until).cast("timestamp_ntz"))
+        zones = zones.where(F.col("low") <= _literal(span.until))
     # One line per file to be opened.
     return sorted(f"{r.folder}/{r.file}" for r in zones.select("folder", "file").collect())

@@ -12,7 +12,7 @@ from paylens.sources import bucketed, files, manifest, store, zones
 from paylens.sources.cleaning import clean, unread
 from paylens.sources.csv_folder import read_folder
 from paylens.sources.full_load import Invalid, run_load
-from paylens.tables import Tables
+from paylens.tables import StoredTables, Tables
 from test_load import ROWS, write_folder
 
 NAME, TXN, ALERTS = "merchant", "transaction_history", "fraud_alert"
@@ -308,7 +308,8 @@ def stored_pair(spark, folder):
             spark.createDataFrame([], table.schema).write.parquet(f"{folder}/{name}")
     for k in range(2):
         txns = spark.range(300 * k, 300 * (k + 1)).selectExpr(
-            "concat('t', id) AS transaction_id", "'u' AS upi_id", "concat('c', id % 7) AS customer_id",
+            "concat('t', id) AS transaction_id", "'u' AS upi_id",
+            "concat('c', id % 7) AS customer_id",
             "timestampadd(DAY, CAST(id % 90 AS INT), TIMESTAMP_NTZ'2024-01-01') AS timestamp",
             "1.5D AS amount", "'send' AS transaction_type", "CAST(NULL AS STRING) AS merchant_id",
             "'x' AS counterparty_upi", "'success' AS status", "concat('d', id % 3) AS device_id",
@@ -368,6 +369,32 @@ def test_a_report_on_stored_transactions_opens_the_months_it_needs(spark, tmp_pa
     assert t.scan(TXN).columns == TABLES[TXN].names
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_spans_of_dates_in_any_time_zone(spark, tmp_path, uncoalesced, zone):
+    """The day of a boundary is inside, wherever the session is."""
+    name, folder = "customer_feedback", str(tmp_path)
+    rows = spark.range(60).selectExpr(
+        "concat('f', id) AS feedback_id", "'c' AS customer_id",
+        "date_add(DATE'2024-01-01', CAST(id AS INT)) AS date_submitted", "'x' AS feedback_text",
+        "3 AS satisfaction_score", "'delay' AS issue_type", "false AS resolved")
+    for k, low in enumerate((0, 30)):
+        store.load(spark, rows.where(f"CAST(substr(feedback_id, 2) AS INT) >= {low}"), name,
+                   folder, f"b{k}")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        t = StoredTables(spark, folder)
+        for since, until, days in (("2024-02-20", None, 10), (None, "2024-01-03", 3),
+                                   ("2024-01-31", "2024-01-31", 1)):
+            part = t.within(name, "date_submitted", since and f"TIMESTAMP_NTZ'{since}'",
+                            until and f"TIMESTAMP_NTZ'{until}'").scan(name)
+            test = " AND ".join(filter(None, (
+                since and f"date_submitted >= '{since}'", until and f"date_submitted <= '{until}'")))
+            assert part.where(test).count() == days
+            assert len(opened(part)) < len(opened(t.scan(name)))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_a_moment_with_most_rows_is_spread(spark, tmp_path, uncoalesced):
     name, folder = "device_info", str(tmp_path)
     rows = [(f"d{k}", "c1", "phone", "1", False, datetime(2024, 1, 1)) for k in range(4000)]
