@@ -61,13 +61,14 @@ class Words(Hashed):
     text_offsets: np.ndarray
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts a batch between rows so that each piece holds about two megabytes of text."""
+def slices(batch: pa.RecordBatch, column: str = "text",
+           size: int = _SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch between rows so that each piece holds about ``size`` bytes of text."""
     texts = batch.column(column)
     sizes = np.diff(_offsets(texts.cast(pa.large_string()))[1])
     first = 0
     while first < batch.num_rows:
-        count = int(np.searchsorted(np.cumsum(sizes[first:]), _SLICE_BYTES)) + 1
+        count = int(np.searchsorted(np.cumsum(sizes[first:]), size)) + 1
         yield batch.slice(first, count)
         first += count
 

@@ -154,6 +154,13 @@ def code_point_classes() -> np.ndarray:
     return table
 
 
+@cache
+def is_space() -> np.ndarray:
+    """Whether a code point is white space to the library."""
+    table = code_point_classes()
+    return (table == _BLANK) | (table == _SPACE)
+
+
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Byte places where pieces begin; text ``i`` is ``data[offsets[i]:offsets[i + 1]]``."""
     leads = np.flatnonzero((data & 0xC0) != 0x80)

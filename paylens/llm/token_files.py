@@ -10,23 +10,25 @@ dictionary trained on serialized id arrays of a bounded sample. A file holds
 
 all little-endian; a null doc_id is the smallest 64-bit integer. One document is
 read with the index and its own frame. Files are limited in size, cover ranges of
-ascending doc_id, and are stored as rows (shard, part, data) of a Parquet table, so
-that any storage that Spark can reach will do. The dictionary is stored beside it.
+ascending doc_id, and are stored as rows (shard, part, first_id, data) of the Parquet
+table ``files``, so that any storage that Spark can reach will do. The dictionary lies
+beside it, as the row (hash, data) of the Parquet table ``dictionary``.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .arrays import slices
+from .byte_pairs import is_space
 from .scratch import Scratch
 
 _MAGIC = b"PLT1"
@@ -34,10 +36,30 @@ _HEAD = struct.Struct("<4sBQI")
 _ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("ids", "<u4")])
 _FILE_BYTES = 4 << 20  # a file is closed beyond that
 _NO_ID = -(1 << 63)
-_REMEMBERED = 400_000
-# A text may be cut before a blank between two other characters: the byte-level
-# vocabulary's pattern never joins across, as a word takes at most the blank before it.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+_REMEMBERED = 400_000  # stretches a worker keeps
+_TEXT_AT_ONCE = 6 << 20  # bytes whose different stretches are looked up together
+_RUN = 200  # stretches encoded as one text
+_AT_ONCE = 1_000  # texts per call
+
+
+def _stretches(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Byte places at which texts may be cut, and those at which they begin.
+
+    Text ``i`` is the UTF-8 ``data[offsets[i]:offsets[i + 1]]``. A text may be cut before a
+    blank between two other characters: the byte-level vocabulary's pattern never joins
+    across, as a word takes at most the blank before it.
+    """
+    leads = np.flatnonzero((data & 0xC0) != 0x80)
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+    solid = ~is_space()[points]
+    edges = np.searchsorted(leads, offsets)  # in code points
+    inner = np.ones(len(points) + 1, bool)
+    inner[edges] = False  # where a text begins
+    cut = np.zeros(len(points), bool)
+    cut[1:-1] = ((points[1:-1] == ord(" ")) & solid[:-2] & solid[2:]
+                 & inner[1:-2] & inner[2:-1])
+    cut[edges[:-1][offsets[1:] > offsets[:-1]]] = True
+    return leads[cut]
 
 
 class Encoder:
@@ -49,31 +71,99 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self._known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self._bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():  # one character stands for one byte
+            self._bytes[number] = len(token)
+        self._row: dict[bytes, int] = {}
+        self._ids, self._first = np.zeros(0, self.kind), np.zeros(1, np.int64)
+
+    def _forget(self) -> None:
+        """Forgets the half that was learned first."""
+        half = len(self._row) // 2
+        self._row = {s: row - half for s, row in self._row.items() if row >= half}
+        self._ids = self._ids[self._first[half]:]
+        self._first = self._first[half:] - self._first[half]
+
+    def _learn(self, stretches: list[bytes]) -> None:
+        """Ids of new stretches.
+
+        Those that may stand side by side are encoded in runs, as an encoding of its own for
+        each word costs more than the word; the bytes of the tokens tell where a word ends.
+        """
+        alone, side_by_side = [], []
+        for s in stretches:
+            t = s.decode()
+            joins = t[0] == " " and not t[1:2].isspace() and not t[-1].isspace()
+            (side_by_side if joins and len(t) > 1 else alone).append(s)
+        held, sizes = [self._ids], []
+        runs = [side_by_side[k:k + _RUN] for k in range(0, len(side_by_side), _RUN)]
+        for run, made in zip(runs, self._encoded([b"".join(run) for run in runs])):
+            ids = np.array(made, self.kind)
+            ends = np.cumsum(self._bytes[ids])
+            wanted = np.cumsum([len(s) for s in run])
+            past = np.searchsorted(ends, wanted) + 1
+            if not len(ids) or not np.array_equal(ends[np.minimum(past, len(ids)) - 1], wanted):
+                alone += run  # the vocabulary's tokens are not the bytes of the text
+                continue
+            self._remember(run)
+            held.append(ids)
+            sizes.append(np.diff(past, prepend=0))
+        made = self._encoded(alone)
+        self._remember(alone)
+        held.append(np.fromiter((i for ids in made for i in ids), self.kind))
+        sizes.append(np.array([len(ids) for ids in made], np.int64))
+        past = self._first[-1] + np.cumsum(np.concatenate(sizes))
+        self._first = np.concatenate((self._first, past))
+        self._ids = np.concatenate(held)
+
+    def _encoded(self, texts: list[bytes]) -> list[list[int]]:
+        found = []
+        for first in range(0, len(texts), _AT_ONCE):  # without the places of ids in the text
+            part = [t.decode() for t in texts[first:first + _AT_ONCE]]
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(
+                part, add_special_tokens=False)]
+        return found
+
+    def _remember(self, stretches: list[bytes]) -> None:
+        self._row.update(zip(stretches, range(len(self._row), len(self._row) + len(stretches))))
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all texts, and where those of each text end. Null is empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        _, buffer, raw = texts.buffers()
+        offsets = np.zeros(len(texts) + 1, np.int64)
+        if buffer is not None and len(texts):
+            offsets = np.frombuffer(buffer, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        if offsets[-1] == offsets[0]:
+            return np.zeros(0, self.kind), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]]
+        offsets = offsets - offsets[0]
+        starts = _stretches(data, offsets)
+        # Stretches lie side by side, so the texts themselves are the data of an array of them.
+        bounds = np.append(starts, len(data)).astype(np.int64)
+        coded = pa.Array.from_buffers(
+            pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]
+        ).dictionary_encode()
+        stretches = coded.dictionary.to_pylist()
+        if len(self._row) > _REMEMBERED:
+            self._forget()
+        new = [s for s in stretches if s not in self._row]
+        if new:
+            self._learn(new)
+        rows = np.fromiter(map(self._row.__getitem__, stretches), np.int64, len(stretches))
+        rows = rows[coded.indices.to_numpy()]
+        counts = self._first[rows + 1] - self._first[rows]
+        past = np.cumsum(counts)
+        ids = self._ids[np.repeat(self._first[rows] - past + counts, counts) + np.arange(past[-1])]
+        return ids, np.append(0, past)[np.searchsorted(starts, offsets[1:])]
+
+    def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Serialized ids of every text."""
-        cut = [self._cut(t) for t in texts]
-        known = self._known
-        if len(known) > _REMEMBERED:
-            known.clear()
-        new = list({s for stretches in cut for s in stretches if s not in known})
-        for first in range(0, len(new), 4096):
-            part = new[first:first + 4096]
-            for s, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[s] = np.array(e.ids, self.kind).tobytes()
-        return [b"".join(map(known.__getitem__, stretches)) for stretches in cut]
-
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        if not text:
-            return []
-        if "  " in text or text[0].isspace() or text[-1].isspace():
-            return _CUT.split(text)
-        parts = text.split(" ")
-        if any(p[0].isspace() or p[-1].isspace() for p in parts):
-            return _CUT.split(text)
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        ids, ends = self.encode_array(pa.array(texts, pa.large_string()))
+        raw, width = memoryview(ids.tobytes()), ids.itemsize
+        places = [0, *(ends * width).tolist()]
+        return [bytes(raw[a:b]) for a, b in zip(places, places[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}  # one per worker, with what it remembers
@@ -175,9 +265,13 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch,
                 shared: bytes) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) and writes the files; (shard, part, first_id, data).
 
-    Shards are ranges of doc_id, ascending; so are the documents of a shard.
+    Shards are ranges of doc_id, ascending; so are the documents of a shard. The dictionary
+    is written with them: the folder of ``scratch`` is all that a reader needs.
     """
     mark = dictionary_hash(shared)
+    spark = docs.sparkSession
+    scratch.save(spark.createDataFrame(
+        [(f"{mark:016x}", bytearray(shared))], "hash string, data binary"), "dictionary")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, (writer, _) = _encoder(tokenizer), _tools(shared)
@@ -192,12 +286,11 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch,
                 names=["part", "first_id", "data"])
 
         for batch in batches:
-            names = batch.column("doc_id").to_pylist()
-            texts = batch.column("text").to_pylist()
-            for first in range(0, len(texts), 256):
-                made = encoder.encode([t or "" for t in texts[first:first + 256]])
-                for name, ids in zip(names[first:first + 256], made):
-                    raw = ids + end
+            for some in slices(batch, size=_TEXT_AT_ONCE):
+                ids, ends = encoder.encode_array(some.column("text"))
+                places = [0, *ends.tolist()]
+                for name, a, b in zip(some.column("doc_id").to_pylist(), places, places[1:]):
+                    raw = ids[a:b].tobytes() + end
                     frame = writer.compress(raw)
                     held.append((_NO_ID if name is None else name, frame, len(raw) // width))
                     size += len(frame)
@@ -214,6 +307,29 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, scratch: Scratch,
     return scratch.save(files.withColumn("shard", F.spark_partition_id()), "files")
 
 
+def stored_dictionary(spark: SparkSession, folder: str) -> bytes:
+    """The dictionary of the files in a folder that ``write_files`` wrote."""
+    row = spark.read.parquet(f"{folder}/dictionary").first()
+    data = bytes(row.data)
+    if row.hash != f"{dictionary_hash(data):016x}":
+        raise ValueError(f"{folder}: not the dictionary of its hash")
+    return data
+
+
+def find_document(spark: SparkSession, folder: str, doc_id: int) -> np.ndarray:
+    """The ids of one document of a folder of files; KeyError if there is none of that id.
+
+    Only the file that may hold it is read. Of repeated ids the one that is met first.
+    """
+    files = spark.read.parquet(f"{folder}/files").where(F.col("first_id") <= doc_id)
+    last = files.agg(F.max("first_id")).first()[0]
+    if last is None:
+        raise KeyError(doc_id)
+    held = files.where(F.col("first_id") == last).orderBy(
+        F.desc("shard"), F.desc("part")).select("data").first().data
+    return one_document(held, stored_dictionary(spark, folder), doc_id)
+
+
 def read_back(files: DataFrame, shared: bytes) -> DataFrame:
     """(doc_id, shard, part, place, n_tokens, ids_crc32) of every document in the files."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +362,8 @@ def token_index(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "tokens")
     shared = dictionary(docs.select("doc_id", "text"), tokenizer)
     files = write_files(docs, tokenizer, end_id, scratch, shared)
-    found = scratch.save(read_back(files, shared), "index")
+    stored = stored_dictionary(docs.sparkSession, scratch.folder)
+    found = scratch.save(read_back(files, stored), "index")
     # Prefix sums in two steps: over the files (few), then inside each.
     totals = found.groupBy("shard", "part").agg(F.sum("n_tokens").alias("held"))
     shards = totals.groupBy("shard").agg(F.sum("held").alias("held"))
