@@ -3,7 +3,7 @@ from collections import Counter
 import cases
 import pytest
 
-from paylens.llm.mixing import cycle_plan, in_mixed_order, mixed
+from paylens.llm.mixing import block_slots, cycle_plan, in_mixed_order, mixed
 
 
 def test_every_row_once(spark):
@@ -81,3 +81,44 @@ def test_deviation_from_the_target_does_not_add_up(spark, weights):
             break  # a source has run out
         assert all(abs(share[s] - t * w / total) < 2 for s, w in weights.items()), t
     assert t > 8_000
+
+
+@pytest.mark.parametrize("others", [1, 2, 19, 100, 1_000])
+def test_less_than_one_block_off_with_many_sources(spark, others):
+    """One source of weight 0.5 beside equal ones, over several stretches."""
+    weights = {"hot": 0.5, **{f"s{k:04}": 0.5 / others for k in range(others)}}
+    blocks = {s: 2 + 6_000 // len(weights) for s in weights} | {"hot": 3_000}
+    sizes = spark.createDataFrame(list(blocks.items()), "source string, size long")
+    plan = sorted(block_slots(sizes, weights, 1, 100).select("slot", "source", "k").collect())
+    assert [r.slot for r in plan] == list(range(sum(blocks.values())))
+    done, hot = Counter(), weights["hot"]
+    for t, r in enumerate(plan, 1):
+        assert r.k == done[r.source]
+        done[r.source] += 1
+        if done["hot"] * 1.01 >= blocks["hot"]:
+            break  # a source is about to run out
+        assert abs(done["hot"] - t * hot) < 1
+        assert abs(done[r.source] - t * weights[r.source]) < 1
+        if t % 97 == 0:
+            assert all(abs(done[s] - t * w) < 1 for s, w in weights.items())
+    assert t > 2_000
+
+
+def test_stretches_give_what_one_run_gives(spark):
+    sizes = spark.createDataFrame([(None, 900), ("a", 37), ("b", 410), ("c", 1), ("d", 160)],
+                                  "source string, size long")
+    one, many = (sorted(block_slots(sizes, None, 1, cycle).select("slot", "source", "k").collect())
+                 for cycle in (5_000, 60))
+    assert one == many and len(one) == 1508
+
+
+def test_ideal_goes_on_after_a_source_has_run_out(spark):
+    sizes = spark.createDataFrame([("a", 20), ("b", 300), ("c", 300)], "source string, size long")
+    plan = sorted(block_slots(sizes, {"a": 0.6, "b": 0.3, "c": 0.1}, 1, 50)
+                  .select("slot", "source").collect())
+    done = Counter()
+    for t, r in enumerate(plan, 1):
+        done[r.source] += 1
+        if t * 0.6 > 20 and done["b"] < 299:
+            rest = t - 20  # both keep their shares of what is left: 0.75 and 0.25
+            assert abs(done["b"] - 0.75 * rest) < 1.01
