@@ -1,13 +1,12 @@
 """Quality by perplexity under a modified Kneser-Ney model of trusted text.
 
-Text is read as a sequence of 64 character classes (letters by case, blanks,
-digits, kinds of punctuation), so an n-gram of order four is a number below 2**24.
-That bounds every table of the model, whatever the corpus, and with it what each
-task holds to score a text. All n-grams of all trusted documents are counted:
-summed in the tasks, then by shuffled groups. The tables of an order and of its
-contexts and suffixes are joined shard by shard (hash partitions of the context or
-the suffix) to interpolated probabilities with three discounts per order. Each
-language gets its threshold from trusted documents that the model has not seen.
+``classified`` scores documents by the model of ``character_model`` and gives each
+language its threshold from trusted documents that the model has not seen.
+
+``counted``, ``model_tables`` and ``scored`` are a smaller model, which ``classified``
+does not use. It reads 64 character classes (letters by case, blanks, digits, kinds of
+punctuation), so an n-gram of order four is a number below 2**24 and every table is
+bounded, but all letters from U+0250 on are the same to it.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .character_model import perplexities
 from .scratch import Scratch
 
 ORDER = 4
@@ -212,13 +212,8 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = 0.99,
     """
     scratch = Scratch(docs.sparkSession, "perplexity")
     trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                        F.col("text").cast("string").alias("text"))
     apart = F.expr(f"pmod(xxhash64(doc_id), {held_out}) = 0")
-    # Labels grow with the corpus: the same shuffled join at every size.
-    known_ids = trusted.where(~apart).hint("merge")
-    top = scratch.save(counted(texts.join(known_ids, "doc_id", "left_semi")), f"grams-{ORDER}")
-    scores = scratch.save(scored(docs, model_tables(top, scratch)), "scores")
+    scores = scratch.save(perplexities(docs, trusted.where(~apart), scratch), "scores")
     known = scores.where("perplexity IS NOT NULL").join(trusted, "doc_id", "left_semi")
     at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * margin
     unseen = known.where(apart)

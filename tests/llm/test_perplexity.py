@@ -5,6 +5,7 @@ import cases
 import numpy as np
 import pytest
 
+from paylens.llm import character_model
 from paylens.llm.perplexity import (
     ORDER, _codes, _dense, _discounts, classified, counted, model_tables, scored,
 )
@@ -96,3 +97,74 @@ def test_no_trusted_text_and_empty_table(spark):
     assert found.count() == docs.count()
     assert found.where("perplexity IS NOT NULL AND NOT kept").count() == 0
     assert classified(cases.frame(spark, []), labels).count() == 0
+
+
+GREEK = "τα παιδια παιζουν στον κηπο και η μητερα τους μαγειρευει στην κουζινα για το βραδυ"
+CYRILLIC = "дети играют в саду а мама готовит на кухне ужин для всей большой семьи и гостей"
+HAN = "孩子们在花园里玩耍妈妈在厨房里做饭今天晚上有客人来家里吃饭大家都很高兴"
+
+
+@pytest.mark.parametrize("base", [GREEK, CYRILLIC, HAN])
+def test_scrambled_letters_of_any_script_go(spark, base):
+    rnd = np.random.default_rng(5)
+    units = base.split() if " " in base else [base[k:k + 3] for k in range(0, len(base), 3)]
+    joint = " " if " " in base else ""
+    texts = [joint.join(rnd.choice(units, 80)) for _ in range(90)]
+    letters = [c for c in base if c != " "]
+    bad = ["".join(c if c == " " else rnd.choice(letters) for c in t) for t in texts[:15]]
+    docs = cases.frame(spark, [cases.row(k, t, "xx") for k, t in enumerate(texts)]
+                       + [cases.row(1000 + k, t, "xx") for k, t in enumerate(bad)])
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(60)],
+                                   "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r for r in classified(docs, labels).collect()}
+    assert all(r.kept for k, r in found.items() if k < 1000)
+    assert not any(r.kept for k, r in found.items() if k >= 1000)
+
+
+def brute_perplexities(trusted, texts):
+    """Interpolated modified Kneser-Ney from dictionaries of strings."""
+    pad = "\U0010ffff" * 3
+    levels = [Counter((pad + t)[i:i + 4] for t in trusted for i in range(len(t)))]
+    for _ in range(3):
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
+    discounts = []
+    for held in levels:
+        n1, n2, n3, n4 = (sum(n == k for n in held.values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0
+        found = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3] \
+            if n1 and n2 and n3 else [0.5, 0.75, 0.9]
+        discounts.append([min(max(d, 0.1), k - 0.05) for k, d in enumerate(found, 1)]
+                         if n1 and n2 and n3 else found)
+    around = [defaultdict(list) for _ in levels]
+    for held, by in zip(levels, around):
+        for g, n in held.items():
+            by[g[:-1]].append(n)
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(levels[0]) + 1)
+        k = len(gram) - 1
+        total = sum(around[k].get(gram[:-1], []))
+        if not total:
+            return p(gram[1:])
+        d, n = discounts[k], levels[k].get(gram, 0)
+        own = n - d[min(n, 3) - 1] if n else 0
+        return (own + sum(d[min(x, 3) - 1] for x in around[k][gram[:-1]]) * p(gram[1:])) / total
+
+    return [math.exp(-sum(math.log(p((pad + t)[i:i + 4])) for i in range(len(t))) / len(t))
+            for t in texts]
+
+
+def test_perplexities_equal_the_textbook(spark, monkeypatch):
+    monkeypatch.setattr(character_model, "CHUNK_ROWS", 3)
+    trusted = [cases.prose(k, 30) for k in range(6)] + [GREEK, HAN, "😀 ok"]
+    other = [cases.prose(9, 40), GREEK[::-1], "zzz \U0001f600", "a", "\x00￿"]
+    docs = cases.frame(spark, [cases.row(k, t) for k, t in enumerate(trusted + other)]
+                       + [cases.row(None, other[0]), cases.row(500, None), cases.row(501, "")])
+    ids = spark.createDataFrame([(k,) for k in range(len(trusted))], "doc_id long")
+    found = {r.doc_id: r.perplexity for r in character_model.perplexities(
+        docs, ids, Scratch(spark, "test")).collect()}
+    expected = brute_perplexities(trusted, trusted + other)
+    assert found.pop(500) is None and found.pop(501) is None
+    assert found.pop(None) == pytest.approx(expected[len(trusted)])
+    assert [found[k] for k in range(len(expected))] == pytest.approx(expected)
