@@ -13,7 +13,9 @@ everything before it is final and leaves the window.
 Paths always meet where no piece can span: before a word-start mark that follows
 other text, around a line break, and between letters and other characters (all
 checked on the vocabulary). The stretches between such places are searched once
-and remembered, up to a bounded number of them.
+and remembered, up to a bounded number of them. What ends at a boundary depends on
+the text before it alone, so stretches that begin alike share what was found for
+their common beginning; that is remembered too.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ _LETTERS, _OTHERS = r"[^\W\d_²³¹]", rf"(?:[^\w{_MARK}\n]|[\d_²³¹])"
 _STRETCH = re.compile(rf"{_MARK}*{_LETTERS}+|{_MARK}*{_OTHERS}+|{_MARK}+|\n")
 _MIXED = re.compile(rf"{_LETTERS}{_OTHERS}|{_OTHERS}{_LETTERS}|[^{_MARK}]{_MARK}|.\n|\n.")
 _REMEMBERED = 300_000
+_TAIL = 4  # characters at the end of a piece by which its possible lengths are looked up
+_BEGINNING = 24  # characters of a beginning that is remembered
 
 
 class Vocabulary:
@@ -57,6 +61,12 @@ class Vocabulary:
                 self.ids[piece] = i
                 self.ranks[piece] = -model.get_score(i)
         self.longest = max(map(len, self.ids))
+        # Lengths, longest first, of the pieces that end with a tail; shorter ones always count.
+        lengths: dict[str, set[int]] = {}
+        for piece in self.ids:
+            if len(piece) >= _TAIL:
+                lengths.setdefault(piece[-_TAIL:], set(range(1, _TAIL))).add(len(piece))
+        self.by_tail = {t: sorted(found, reverse=True) for t, found in lengths.items()}
         if any(map(_MIXED.search, self.ids)):
             raise ValueError("pieces that span words, or letters and others, are not supported")
 
@@ -88,6 +98,8 @@ class Search:
         self._pairs: dict[int, bool] = {}
         self._whole: dict[str, int] = {}  # piece to id; -1 if it is not its own encoding
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}  # what was known before the last time it was full
+        self._ends: dict[str, int] = {}  # beginning of a stretch to the piece that ends there
 
     def _standing(self, piece: str) -> int:
         """The id of a piece that is its own encoding, else -1."""
@@ -114,19 +126,32 @@ class Search:
         piece that ends at boundary k: its id, or -1 for a character without one.
         """
         ids, longest, lengths = self.vocabulary.ids, self.vocabulary.longest, self._lengths
-        whole, pairs = self._whole, self._pairs
+        whole, pairs, ends_ = self._whole, self._pairs, self._ends
+        by_tail, short = self.vocabulary.by_tail, range(_TAIL - 1, 0, -1)
         window, last, done, limit = "", [-1], 0, 2 * longest
+        if len(ends_) > 2 * _REMEMBERED:
+            ends_.clear()
+        beginning = True  # nothing has left the window yet
         for part in parts:
             for first in range(0, len(part), limit):
                 window += part[first:first + limit]
                 for end in range(done + 1, len(window) + 1):
+                    if beginning and end <= _BEGINNING:
+                        chosen = ends_.get(window[:end])
+                        if chosen is not None:
+                            last.append(chosen)
+                            continue
                     chosen = -1
-                    for start in range(end - longest if end > longest else 0, end):
-                        piece = window[start:end]
-                        if piece not in ids:
+                    tail = window[end - _TAIL:end] if end >= _TAIL else ""
+                    for length in by_tail.get(tail, short):
+                        start = end - length
+                        if start < 0:
                             continue
+                        piece = window[start:end]
                         number = whole.get(piece)
                         if number is None:
+                            if piece not in ids:
+                                continue
                             number = self._standing(piece)
                         if number < 0:
                             continue
@@ -142,6 +167,8 @@ class Search:
                             chosen = number
                             break
                     last.append(chosen)
+                    if beginning and end <= _BEGINNING:
+                        ends_[window[:end]] = chosen
                 done = len(window)
                 if done >= limit:
                     # Boundaries that a later piece can start from, and where their paths meet.
@@ -155,6 +182,7 @@ class Search:
                         yield self._path(window, last, meet)
                         # What comes next depends on the piece before the cut, which stays.
                         window, last, done = window[meet:], last[meet:], done - meet
+                        beginning = False
         yield self._path(window, last, done)
 
     def _path(self, window: str, last: list[int], end: int) -> bytes:
@@ -183,11 +211,12 @@ class Search:
         except KeyError:
             pass
         if len(self._known) > _REMEMBERED:
-            self._known.clear()
+            self._known, self._older = {}, self._known
+        known, older = self._known, self._older
         for stretch in stretches:
-            if stretch not in self._known:
-                self._known[stretch] = self._ids_of(stretch)
-        return b"".join(map(self._known.__getitem__, stretches))
+            if stretch not in known:
+                known[stretch] = older.get(stretch) or self._ids_of(stretch)
+        return b"".join(map(known.__getitem__, stretches))
 
     def decode(self, ids: bytes) -> str:
         """The text of encoded ids: marks become spaces, the leading one goes."""

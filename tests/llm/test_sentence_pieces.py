@@ -5,6 +5,7 @@ import cases
 import numpy as np
 import sentencepiece
 
+from paylens.llm import sentence_pieces
 from paylens.llm.sentence_pieces import (
     Search, Vocabulary, decoded, digests, encoded, piece_model,
 )
@@ -37,6 +38,26 @@ def test_ids_are_final_before_the_text_ends():
     assert "".join(LIBRARY.id_to_piece(i) for i in whole) == "tionthe" * 120
 
 
+def test_full_memory_forgets_no_stretch_in_use(monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "_REMEMBERED", 20)
+    search, rnd, searched = Search(Vocabulary(piece_model())), random.Random(8), []
+    whole = search._ids_of
+    monkeypatch.setattr(search, "_ids_of", lambda s: searched.append(s) or whole(s))
+    for _ in range(300):
+        text = "often " + "".join(rnd.choice("aeiontrs") for _ in range(rnd.randint(1, 30)))
+        assert np.frombuffer(search.encode(text), "<u4").tolist() == ids_of(text)
+    assert searched.count("▁often") == 1
+
+
+def test_common_beginnings_are_searched_once():
+    search = Search(Vocabulary(piece_model()))
+    search.encode("unfathomable")
+    before = len(search._ends)
+    for text in ("unfathomably", "unfathomablest", "unfathom"):
+        assert np.frombuffer(search.encode(text), "<u4").tolist() == ids_of(text)
+    assert len(search._ends) == before + 3
+
+
 def test_awkward_rows(spark):
     docs = cases.frame(spark)
     found = encoded(docs, piece_model())
