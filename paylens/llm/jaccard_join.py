@@ -18,8 +18,10 @@ same leader (one class per list, chosen by one order of the classes) are merged,
 and each class is compared with its leaders first. Only where a merged list then
 holds several components, the rest of its pairs is looked at: in blocks of
 bounded size, by a bound on the symmetric difference from two 1,024-bit parity
-vectors, which is never above the true one. Of thousands of near copies, only
-pairs about as close as the threshold leave a block.
+vectors, which is never above the true one. First every class is compared with its
+nearest ones of other components alone, which unites most of them; then all pairs
+that still lie in different components follow, so none is left out. Of thousands of
+near copies, a few pairs for each leave the blocks, not their square.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from .scratch import Scratch
 
 _BLOCK = 512  # classes in one side of a block
 _BITS = 1024  # of a parity vector
+_NEAREST = 8  # pairs of a class that are looked at before all others
 _SEEDS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
@@ -153,8 +156,12 @@ def _led(members: DataFrame, percent: int) -> DataFrame:
     return members.join(leaders, "token").select("lead", "lead_n", "fp", "n").distinct()
 
 
-def _near_in_block(left: dict, right: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs between two sides that size and parity vectors allow."""
+def _near_in_block(left: dict, right: dict, percent: int,
+                   nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs between two sides that size and parity vectors allow.
+
+    With ``nearest`` only so many for each class of the left side, nearest first.
+    """
     both = left["n"][:, None] + right["n"][None, :]
     low = np.minimum(left["n"][:, None], right["n"][None, :])
     fits = (low * 100 >= (both - low) * percent) \
@@ -162,10 +169,16 @@ def _near_in_block(left: dict, right: dict, percent: int) -> tuple[np.ndarray, n
     i, j = np.nonzero(fits)
     bits = np.bitwise_count(left["parity"][i] ^ right["parity"][j]).sum(axis=1, dtype=np.int64)
     near = bits * (100 + percent) <= (100 - percent) * both[i, j]
-    return i[near], j[near]
+    i, j = i[near], j[near]
+    if nearest is None:
+        return i, j
+    order = np.lexsort((bits[near] / both[i, j], i))
+    i, j = i[order], j[order]
+    chosen = np.arange(len(i)) - np.searchsorted(i, i) < nearest
+    return i[chosen], j[chosen]
 
 
-def _block_pairs(percent: int):
+def _block_pairs(percent: int, nearest: int | None):
     """Sorted rows (lead, i, j, side, fp, n, root, parity) to the pairs that stay possible."""
 
     def sides(rows: pa.Table) -> tuple[dict, dict]:
@@ -182,7 +195,7 @@ def _block_pairs(percent: int):
         out_a, out_b = [], []
         for first in range(0, len(left["fp"]), 128):  # bounds the matrices
             part = {k: v[first:first + 128] for k, v in left.items()}
-            i, j = _near_in_block(part, right, percent)
+            i, j = _near_in_block(part, right, percent, nearest)
             a, b = part["fp"][i], right["fp"][j]
             out_a.append(np.minimum(a, b))
             out_b.append(np.maximum(a, b))
@@ -208,7 +221,8 @@ def _block_pairs(percent: int):
     return run
 
 
-def _crossing(led: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _crossing(led: DataFrame, roots: DataFrame, sets: DataFrame, percent: int,
+              nearest: int | None = None) -> DataFrame:
     """Pairs of one merged list and two components that may still be linked."""
     found = led.select("lead", "fp", "n").join(
         roots.withColumnRenamed("node", "fp"), "fp", "left"
@@ -224,7 +238,7 @@ def _crossing(led: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
         "fp", "n", "root", "parity")
     dealt = spread.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
-    return dealt.mapInArrow(_block_pairs(percent), "a long, b long").distinct()
+    return dealt.mapInArrow(_block_pairs(percent, nearest), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -272,9 +286,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
         F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
     found = _verified(with_leader, sets, percent)
     roots = components(links.union(found), scratch, "roots-1")
-    crossing = _verified(_crossing(led, roots, sets, percent), sets, percent)
-    tied = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(tied.union(crossing), scratch, "roots-2")
+    for step, nearest in enumerate((_NEAREST, None), start=2):
+        crossing = _verified(_crossing(led, roots, sets, percent, nearest), sets, percent)
+        tied = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(tied.union(crossing), scratch, f"roots-{step}")
     scratch.drop("sets", "led", "members")
 
     placed = described.select("doc_id", "n", "fp").join(

@@ -1,6 +1,7 @@
 import cases
 import pytest
 
+from paylens.llm import jaccard_join
 from paylens.llm.jaccard_join import jaccard_components, keep_one_per_component
 
 
@@ -32,6 +33,24 @@ def test_many_near_copies_of_one_text(spark):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, 4, 85)
 
 
+def test_links_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
+    """All pairs of 150 copies with an edit each are linked; a few links of each are enough."""
+    base = cases.prose(12, 160)
+    rows = [cases.row(i, cases.edited(base, [i + 5])) for i in range(150)]
+    made, inner = [], jaccard_join.components
+
+    def counted(links, scratch, label):
+        made.append(links.count())
+        return inner(links, scratch, label)
+
+    monkeypatch.setattr(jaccard_join, "components", counted)
+    # Leaders are left out, so that the blocks alone must find the links.
+    monkeypatch.setattr(jaccard_join, "_near_size", lambda *_: jaccard_join.F.lit(False))
+    got = jaccard_components(cases.frame(spark, rows), 4, 85).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 4, 85)
+    assert max(made) <= 150 * 9
+
+
 def test_small_sets_at_the_threshold(spark):
     """All sizes up to 40 words, each with one to three edits."""
     rows = []
