@@ -10,9 +10,9 @@ from .sizing import fits_broadcast
 _SPREAD = 1 << 16
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, times: int = 1) -> DataFrame:
     """Marked for broadcast if its size allows, otherwise as it is."""
-    return F.broadcast(df) if fits_broadcast(df) else df
+    return F.broadcast(df) if fits_broadcast(df, times) else df
 
 
 def rows_with_key_in(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rates import split_sum, tally
 from ..tables import Tables
-from .sizing import fits_broadcast
+from .sizing import WIDE, fits_broadcast
 
 
 @dataclass(frozen=True)
@@ -264,7 +264,9 @@ def rollup_through(
     by_lookup = as_keys(k.name for k in keys)
     everything = [*keys, *fact_keys]
 
-    direct = all(k.name != on for k in keys) and distinct_as is None and fits_broadcast(parents)
+    times = 1 if reduce_first else WIDE  # else every row of the fact table would move
+    direct = (all(k.name != on for k in keys) and distinct_as is None
+              and fits_broadcast(parents, times))
     if direct:
         df = rows.join(F.broadcast(parents), on)
         df = _spreads(_grouped(df, [*by_lookup, *fact_keys], _measures(measures)), measures)

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 
 # Parquet files grow when decoded; the file size is scaled by this factor.
 _DECODED = 3
+# A side many times the threshold still costs less to send than moving a wide table; more
+# than this many times it would not fit beside the tasks.
+WIDE = 8
 
 
 def _limit_bytes(df: DataFrame) -> int:
@@ -18,8 +21,8 @@ def _limit_bytes(df: DataFrame) -> int:
     return int(text)
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """True if everything ``df`` is read from is below the broadcast threshold.
+def fits_broadcast(df: DataFrame, times: int = 1) -> bool:
+    """True if everything ``df`` is read from is below ``times`` the broadcast threshold.
 
     Uses the sizes Spark itself knows for the scanned relations, so no job runs.
     ``df`` must not produce more rows than it reads (a filter, a projection, a
@@ -36,4 +39,4 @@ def fits_broadcast(df: DataFrame) -> bool:
             total += int(leaves.next().stats().sizeInBytes())
     except AttributeError:
         return False
-    return total * _DECODED <= limit
+    return total * _DECODED <= limit * times

@@ -6,6 +6,7 @@ from ..functions.rates import rounded, split_sum, tally
 from ..operators.fanout import children, copies, times as multiplied
 from ..operators.joins import left_join_many, left_lookup, small
 from ..operators.rollup import MONEY_DIGITS, rollup_through
+from ..operators.sizing import WIDE
 from .catalog import report
 from .common import (
     ACCOUNTS, ALERTS, CUSTOMERS, DEVICES, FEEDBACK, MERCHANTS, TXN, VALUE, average_2dp,
@@ -60,7 +61,7 @@ def fraud_analyst(t):
     shops = t.scan(MERCHANTS, "merchant_id", "merchant_name", "merchant_type", "risk_score")
     shops = shops.withColumnRenamed("risk_score", "merchant_risk_score")
     rows = left_join_many(txns, alerts, "transaction_id")
-    rows = rows.join(small(owners), "customer_id").join(small(devices), "device_id")
+    rows = rows.join(small(owners, WIDE), "customer_id").join(small(devices, WIDE), "device_id")
     return left_lookup(rows, shops, "merchant_id", spread_by="transaction_id").select(
         "transaction_id", "customer_id", "full_name", "region", "customer_risk_score", "amount",
         "transaction_type", "channel", "device_type", "is_rooted", "status", "fraud_flag",

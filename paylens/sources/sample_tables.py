@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.joins import small
+from ..operators.sizing import WIDE
 from ..tables import Tables
 
 # The moments "now" stands for: the sample events are older than the clock.
@@ -165,7 +167,7 @@ class SampleTables(Tables):
             rows = rows.join(owners, F.col("l_orderkey") == F.col("o_orderkey"), "left")
         if "device_type" in columns:
             kinds = self._read("part").select("p_partkey", "p_type")
-            rows = rows.join(kinds, F.col("l_partkey") == F.col("p_partkey"), "left")
+            rows = rows.join(small(kinds, WIDE), F.col("l_partkey") == F.col("p_partkey"), "left")
         return self._project(rows, "transaction_history", columns)
 
     def _fraud_alert(self, columns):
