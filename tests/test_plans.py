@@ -197,3 +197,19 @@ def test_of_a_large_parent_only_wanted_keys_are_shuffled(tables, monkeypatch):
     monkeypatch.setattr(audit, "fits_broadcast", lambda df: "Generate" in plan(df))  # alerts
     text = plan(build("q1_09_orphan_alert_txn", tables))
     assert "LeftSemi" in text and len(re.findall(r"hashpartitioning\(tag", text)) == 1
+
+
+def test_lookup_above_the_threshold_spares_a_wide_table(spark, tables):
+    from paylens.operators.joins import small
+    from paylens.operators.sizing import WIDE
+
+    owners = tables.scan("customer_details", "customer_id", "full_name")
+    plan_ = owners._jdf.queryExecution().optimizedPlan()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    size = int(plan_.collectLeaves().head().stats().sizeInBytes())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(size))
+    try:
+        assert not fits_broadcast(owners) and fits_broadcast(owners, WIDE)
+        assert "broadcast" in small(owners, WIDE)._jdf.queryExecution().logical().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
