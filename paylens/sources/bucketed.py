@@ -11,11 +11,13 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LOAD, MONTH = "load_", "month_"
+_FILES_A_YEAR = 96  # of one load, as long as a stretch is not longer than all of its rows
+_STRETCHES = (1, 2, 3, 4, 6, 12)  # months; beyond, whole years
 
 
 def default_buckets(spark: SparkSession) -> int:
@@ -23,6 +25,22 @@ def default_buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def stretch_months(buckets: int) -> int:
+    """How many months the files of a bucket cover each.
+
+    Files per load are buckets times stretches: the more buckets, the longer the stretches.
+    """
+    wanted = -(-12 * buckets // _FILES_A_YEAR)
+    return next((n for n in _STRETCHES if n >= wanted), 12 * -(-wanted // 12))
+
+
+def _first_month(order: str, months: int) -> Column:
+    """The stretch a date or moment is in, by its first month as yyyymm."""
+    month = F.year(order) * 12 + F.month(order) - 1
+    first = month - F.pmod(month, F.lit(months))
+    return (F.floor(first / 12) * 100 + F.pmod(first, F.lit(12)) + 1).cast("int")
+
+
 @contextmanager
 def _declared(
     spark: SparkSession, schema: T.StructType, by: str, buckets: int, path: str,
@@ -45,13 +63,14 @@ def write(
 ) -> None:
     """Writes a load to ``path``/``load``, and marks its rows with the load.
 
-    With an ``order`` column, a date or moment, files hold one month each and are sorted by
-    it. Partitions are balanced: a key with most of the rows is written by many tasks.
+    With an ``order`` column, a date or moment, files hold a stretch of months each (see
+    ``stretch_months``) and are sorted by it. Partitions are balanced: a key with most of the
+    rows is written by many tasks.
     """
     rows = rows.withColumn(LOAD, F.lit(load))
     more = sort = ""
     if order:
-        rows = rows.withColumn(MONTH, (F.year(order) * 100 + F.month(order)).cast("int"))
+        rows = rows.withColumn(MONTH, _first_month(order, stretch_months(buckets)))
         more, sort = f"PARTITIONED BY ({MONTH})", f"SORTED BY (`{order}`)"
     schema = rows.schema
     rows = rows.hint("rebalance", buckets, by)

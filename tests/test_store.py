@@ -369,6 +369,38 @@ def test_a_report_on_stored_transactions_opens_the_months_it_needs(spark, tmp_pa
     assert t.scan(TXN).columns == TABLES[TXN].names
 
 
+def test_more_buckets_do_not_make_more_files_a_year(spark, tmp_path):
+    """Four years of transactions in 40 buckets: stretches of six months, named by the first."""
+    txns = spark.range(20_000).selectExpr(
+        "concat('t', id) AS transaction_id", "'u' AS upi_id", "'c' AS customer_id",
+        "CASE WHEN id > 0 THEN timestampadd(DAY, CAST(id % 1461 AS INT),"
+        " TIMESTAMP_NTZ'2021-01-01') END AS timestamp",
+        "1.5D AS amount", "'send' AS transaction_type", "CAST(NULL AS STRING) AS merchant_id",
+        "'x' AS counterparty_upi", "'success' AS status", "'d' AS device_id",
+        "'phone' AS device_type", "'app' AS channel", "false AS fraud_flag",
+        "false AS reversal_flag", "CAST(NULL AS STRING) AS failure_reason")
+    folder = str(tmp_path)
+    store.load(spark, txns, TXN, folder, "x", buckets=40)
+    rows = store.read_stored(spark, TXN, f"{folder}/{TXN}")
+    files_ = rows.inputFiles()
+    assert len(files_) <= 4 * 96 + 1
+    assert {f.rsplit("month_=", 1)[1].split("/")[0] for f in files_} == {
+        "__HIVE_DEFAULT_PARTITION__", *(f"{y}{m}" for y in range(2021, 2025) for m in ("01", "07"))}
+    assert rows.select("transaction_id", "timestamp").exceptAll(
+        txns.select("transaction_id", "timestamp")).count() == 0 and rows.count() == 20_000
+    since = datetime(2024, 10, 1)
+    part = store.read_stored(spark, TXN, f"{folder}/{TXN}", zones.Span(since, None))
+    assert {f.rsplit("month_=", 1)[1][:6] for f in part.inputFiles()} == {"202407"}
+    recent = [df.where(F.col("timestamp") >= F.lit(since).cast("timestamp_ntz")).count()
+              for df in (rows, part)]
+    assert recent[0] == recent[1] > 0
+
+
+def test_stretches_of_months():
+    assert [bucketed.stretch_months(n) for n in (1, 8, 9, 20, 40, 96, 97, 600, 1000)] == [
+        1, 1, 2, 3, 6, 12, 24, 84, 132]
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
 def test_spans_of_dates_in_any_time_zone(spark, tmp_path, uncoalesced, zone):
     """The day of a boundary is inside, wherever the session is."""
