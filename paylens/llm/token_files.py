@@ -21,6 +21,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -77,13 +78,26 @@ class Encoder:
             self._bytes[number] = len(token)
         self._row: dict[bytes, int] = {}
         self._ids, self._first = np.zeros(0, self.kind), np.zeros(1, np.int64)
+        self._uses = np.zeros(0, np.float32)  # lately, in calls
 
     def _forget(self) -> None:
-        """Forgets the half that was learned first."""
-        half = len(self._row) // 2
-        self._row = {s: row - half for s, row in self._row.items() if row >= half}
-        self._ids = self._ids[self._first[half]:]
-        self._first = self._first[half:] - self._first[half]
+        """Forgets the half that was used least; of equally used ones what was learned first."""
+        kept = np.sort(np.argsort(self._uses, kind="stable")[len(self._row) // 2:])
+        mask = np.zeros(len(self._row), bool)
+        mask[kept] = True
+        # Stretches are in the order of their rows.
+        self._row = {s: row for row, s in enumerate(compress(self._row, mask.tolist()))}
+        self._ids, past = self._ids_of(kept)
+        self._first = np.append(0, past)
+        self._uses = self._uses[kept] / 2
+
+    def _ids_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these rows one after the other, and where those of each row end."""
+        counts = self._first[rows + 1] - self._first[rows]
+        past = np.cumsum(counts)
+        places = np.repeat(self._first[rows] - past + counts, counts)
+        places += np.arange(len(places))
+        return self._ids[places], past
 
     def _learn(self, stretches: list[bytes]) -> None:
         """Ids of new stretches.
@@ -148,14 +162,15 @@ class Encoder:
         stretches = coded.dictionary.to_pylist()
         if len(self._row) > _REMEMBERED:
             self._forget()
-        new = [s for s in stretches if s not in self._row]
-        if new:
+        rows = np.fromiter(map(self._row.get, stretches, repeat(-1)), np.int64, len(stretches))
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new = [stretches[k] for k in missing.tolist()]
             self._learn(new)
-        rows = np.fromiter(map(self._row.__getitem__, stretches), np.int64, len(stretches))
-        rows = rows[coded.indices.to_numpy()]
-        counts = self._first[rows + 1] - self._first[rows]
-        past = np.cumsum(counts)
-        ids = self._ids[np.repeat(self._first[rows] - past + counts, counts) + np.arange(past[-1])]
+            rows[missing] = np.fromiter(map(self._row.__getitem__, new), np.int64, len(new))
+            self._uses = np.append(self._uses, np.zeros(len(new), np.float32))
+        self._uses[rows] += 1
+        ids, past = self._ids_of(rows[coded.indices.to_numpy()])
         return ids, np.append(0, past)[np.searchsorted(starts, offsets[1:])]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:

@@ -56,6 +56,21 @@ def test_stretches_encoded_in_runs_and_alone(monkeypatch):
         "some words here")[:-1]
 
 
+def test_what_is_used_often_is_kept(monkeypatch):
+    """A few words of every text, learned first, and many that are met once."""
+    monkeypatch.setattr(token_files, "_REMEMBERED", 100)
+    encoder, learned = Encoder(PATH), []
+    real = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda new: (learned.extend(new), real(new)))
+    common = [f"common{chr(97 + k)}" for k in range(20)]
+    for n in range(30):
+        text = " ".join(["first", *common, *[f"once{n}x{k}" for k in range(20)]])
+        got = np.frombuffer(encoder.encode([text])[0], encoder.kind)
+        assert got.tolist() == ids_of(text)[:-1]
+    assert len(encoder._row) == len(encoder._uses) == len(encoder._first) - 1 <= 120
+    assert [learned.count(f" {word}".encode()) for word in common] == [1] * 20
+
+
 def test_index_of_awkward_rows(spark):
     rows = cases.awkward()
     got = token_index(cases.frame(spark, rows), PATH).collect()
