@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import TABLES
-from ..session import shared_folder
+from ..session import released_shuffles, shared_folder
 from ..sources import files
 from ..sources.cleaning import clean
 from ..sources.full_load import run_load
@@ -57,15 +57,18 @@ def _home(t):
     spark = t.scan(TXN, "transaction_id").sparkSession
     home = f"{shared_folder(spark)}/loads/{uuid.uuid4().hex}"
     try:
-        yield spark, home
+        with released_shuffles(spark):
+            yield spark, home
     finally:
         files.remove(spark, home)
 
 
 def _as_csv(t, folder: str) -> None:
+    """Packed, as text takes several times the room of the tables it is made from."""
+    packed = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
     for name, table in TABLES.items():
-        raw_text(t, name).write.option("header", True).option("escape", '"').csv(
-            f"{folder}/{table.raw_name}.csv")
+        raw_text(t, name).write.option("header", True).option("escape", '"').options(
+            **packed).csv(f"{folder}/{table.raw_name}.csv")
 
 
 @report("e19_load_from_csv")

@@ -31,10 +31,17 @@ def is_folder(spark: SparkSession, place: str) -> bool:
 
 
 def first_line(spark: SparkSession, file: str, limit: int = 1 << 16) -> str:
-    """The first line of a text file, without its end; at most ``limit`` bytes are read."""
+    """The first line of a text file, without its end; at most ``limit`` bytes of text are read.
+
+    A file whose name ends as a codec's does is unpacked, as Spark's readers do.
+    """
     system, path = _path(spark, file)
     stream = system.open(path)
+    codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(
+        spark._jsc.hadoopConfiguration()).getCodec(path)
     try:
+        if codec is not None and system.getFileStatus(path).getLen():
+            stream = codec.createInputStream(stream)
         head = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(
             spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, limit)))
     finally:

@@ -13,18 +13,19 @@ from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import TABLES, Table
 from ..operators.sizing import fits_broadcast
-from ..session import shared_folder
+from ..session import released_shuffles, shared_folder
 from . import bucketed, files, manifest, zones
 from .manifest import Batch, ConcurrentLoad, Version
 from .zones import Span
 
 BATCH, STAMP = "batch_id", "uploaded_at"
+_LARGE, _SLICES = 100, 4  # broadcast thresholds that make a batch large; what it is divided into
 __all__ = ["BATCH", "STAMP", "ConcurrentLoad", "CountMismatch", "LoadResult", "Prepared", "Span",
            "clean_up", "commit", "load", "load_report", "new_rows", "prepare", "quality_report",
            "read_bucketed", "read_loads", "read_stored", "stored_batches"]
@@ -173,18 +174,24 @@ def prepare(
         df = df.dropDuplicates([table.key])
     before = sum(b.rows for b in others)
     try:
-        if before:
-            with _staged(spark, df, name) as staged:
-                incoming, nulls = _nulls(staged)
-                keys = _stored_keys(spark, table, path, others, buckets)
-                fresh = new_rows(
-                    staged, keys, table.key, any(b.null_keys for b in others), buckets)
-                made = _write(spark, fresh, table, path, run, batch, buckets)
-        else:
-            made, incoming = _write(spark, df, table, path, run, batch, buckets), None
-            nulls = {}
-            if made.rows:
-                nulls = _nulls(_files(spark, name, f"{path}/data/{run}").select(*df.columns))[1]
+        with released_shuffles(spark):
+            slices = _slices(df, table, buckets)
+            if before or len(slices) > 1:
+                with _staged(spark, df, name) as staged:
+                    incoming, nulls = _nulls(staged)
+                    parts = [staged.where(s) for s in slices]
+                    if before:
+                        keys = _stored_keys(spark, table, path, others, buckets)
+                        a_null = any(b.null_keys for b in others)
+                        parts = [new_rows(part, keys.where(s), table.key, a_null, buckets)
+                                 for part, s in zip(parts, slices)]
+                    made = _write(spark, parts, table, path, run, batch, buckets)
+            else:
+                made, incoming = _write(spark, [df], table, path, run, batch, buckets), None
+                nulls = {}
+                if made.rows:
+                    nulls = _nulls(_files(spark, name, f"{path}/data/{run}").select(
+                        *df.columns))[1]
     except BaseException:
         _remove(spark, path, run)
         raise
@@ -218,12 +225,26 @@ def _remove(spark: SparkSession, path: str, run: str) -> None:
         files.remove(spark, f"{path}/{part}/{run}")
 
 
+def _slices(df: DataFrame, table: Table, buckets: int) -> list[Column]:
+    """Tests that divide a large batch by the buckets of its keys; else one that all rows pass.
+
+    What a slice shuffles is deleted before the next. Only tables in buckets of their key are
+    divided: no bucket is in two slices, so a load has no more files for it, and stored keys
+    are divided by the same test.
+    """
+    if table.bucket_by != table.key or fits_broadcast(df, _LARGE):
+        return [F.lit(True)]
+    n = min(_SLICES, buckets)
+    bucket = F.pmod(F.hash(F.col(table.key).cast(table.schema[table.key].dataType)), F.lit(buckets))
+    return [F.pmod(bucket, F.lit(n)) == k for k in range(n)]
+
+
 @contextmanager
 def _staged(spark: SparkSession, df: DataFrame, name: str) -> Iterator[DataFrame]:
     """The batch as a table of its own: it is read several times, but parsed only once."""
     place = f"{shared_folder(spark)}/staging/{uuid.uuid4().hex}"
     try:
-        df.write.parquet(f"{place}/{name}")
+        df.write.option("compression", bucketed.CODEC).parquet(f"{place}/{name}")
         yield spark.read.schema(df.schema).parquet(f"{place}/{name}")
     finally:
         files.remove(spark, place)
@@ -246,25 +267,32 @@ def _stored_keys(
 
 
 def _write(
-    spark: SparkSession, fresh: DataFrame, table: Table, path: str, run: str, batch: str,
+    spark: SparkSession, parts: list[DataFrame], table: Table, path: str, run: str, batch: str,
     buckets: int,
 ) -> Batch:
     """Writes rows, zones and keys of a load; the batch with the rows that are really there."""
-    written = Observation(f"load {table.name}")
-    rows = fresh.withColumn(STAMP, F.current_timestamp().cast("timestamp_ntz"))
-    rows = rows.withColumn(BATCH, F.lit(batch)).select(*_schema(table.name).names)
-    if table.bucket_by:
-        bucketed.write(
-            rows, table.bucket_by, f"{path}/data", run, buckets, table.order, written)
-    else:
-        if table.order:  # each file a short stretch; the key splits a moment with many rows
-            rows = rows.repartitionByRange(table.order, table.key)
-            rows = rows.sortWithinPartitions(table.order)
-        rows = rows.observe(written, F.count(F.lit(1)).alias("n"))
-        rows.write.parquet(f"{path}/data/{run}")
+    total = 0
+    stamp = F.current_timestamp()
+    if len(parts) > 1:  # the same for all
+        stamp = F.timestamp_micros(F.lit(
+            spark.range(1).select(F.unix_micros(stamp)).first()[0]))
+    for fresh in parts:
+        written = Observation(f"load {table.name}")
+        rows = fresh.withColumn(STAMP, stamp.cast("timestamp_ntz"))
+        rows = rows.withColumn(BATCH, F.lit(batch)).select(*_schema(table.name).names)
+        if table.bucket_by:
+            bucketed.write(
+                rows, table.bucket_by, f"{path}/data", run, buckets, table.order, written)
+        else:
+            if table.order:  # each file a short stretch; the key splits a moment with many rows
+                rows = rows.repartitionByRange(table.order, table.key)
+                rows = rows.sortWithinPartitions(table.order)
+            rows = rows.observe(written, F.count(F.lit(1)).alias("n"))
+            rows.write.option("compression", bucketed.CODEC).parquet(f"{path}/data/{run}")
+        total += written.get["n"]
     found = _count(spark, table.name, f"{path}/data/{run}")
-    if found != written.get["n"]:
-        raise CountMismatch(f"{table.name}: {written.get['n']} rows written, {found} found")
+    if found != total:
+        raise CountMismatch(f"{table.name}: {total} rows written, {found} found")
     made = Batch(batch, run, found)
     if not found:
         _remove(spark, path, run)
