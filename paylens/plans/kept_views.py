@@ -20,6 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.rollup import combined, rollup
+from ..session import released_shuffles
 from ..sources import files
 from ..sources.store import read_loads
 from ..tables import StoredTables, Tables
@@ -70,12 +71,13 @@ class KeptViews:
         rows = read_loads(self._spark, TXN, f"{self._tables_folder}/{TXN}", [load])
         owners = t.scan(CUSTOMERS)
         of_load = Tables({TXN: rows, CUSTOMERS: owners})
-        kpi_shares(of_load).write.parquet(f"{place}/matched")
         lost = rows.where("customer_id IS NOT NULL").join(
             owners.select("customer_id"), "customer_id", "left_anti")
-        rollup(Tables({TXN: lost}), TXN, ["customer_id", *KPI_KEYS], KPI_FACETS).write.parquet(
-            f"{place}/unmatched")
-        per_customer(of_load).write.parquet(f"{place}/per_customer")
+        unmatched = rollup(Tables({TXN: lost}), TXN, ["customer_id", *KPI_KEYS], KPI_FACETS)
+        with released_shuffles(self._spark):
+            kpi_shares(of_load).write.parquet(f"{place}/matched")
+            unmatched.write.parquet(f"{place}/unmatched")
+            per_customer(of_load).write.parquet(f"{place}/per_customer")
         # Without this file, which comes last, the share does not count.
         files.create(self._spark, f"{place}/made.json", json.dumps(sorted(t.loads(CUSTOMERS))))
 
